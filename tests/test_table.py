@@ -1,0 +1,182 @@
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tests.helpers import plan, raw_rows
+from wattline.operators.last_write import last_write
+from wattline.restriction import DAY_MS, TimeRestriction
+from wattline.schemas import RAW_POWER, WINDOWED_POWER
+from wattline.sources.readers import CORRUPT, text_records
+from wattline.sources.table import KeyedTable
+
+
+@pytest.fixture
+def table(tmp_path):
+    return KeyedTable(str(tmp_path / "table"), RAW_POWER, "timestamp")
+
+
+def contents(rows):
+    return sorted(tuple(r) for r in rows.collect())
+
+
+def test_empty_table_reads_as_no_rows(spark, table):
+    assert table.is_empty(spark)
+    assert table.read(spark).count() == 0
+    assert table.read(spark).columns == RAW_POWER.names
+    assert table.compact(spark) == 0 and table.vacuum(spark, 10**15) == 0
+
+
+def test_later_batches_overwrite(spark, table):
+    table.write_batch(raw_rows(spark, [("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 3.0)]), 0)
+    table.write_batch(raw_rows(spark, [("a", 2, 20.0), ("c", DAY_MS, 4.0)]), 1)
+    expected = [("a", 1, 1.0), ("a", 2, 20.0), ("b", 1, 3.0), ("c", DAY_MS, 4.0)]
+    assert contents(table.read(spark)) == expected
+    # Batch numbers decide, not the order of writing.
+    table.write_batch(raw_rows(spark, [("a", 2, 2.0), ("a", 1, 1.0), ("b", 1, 3.0)]), 0)
+    assert contents(table.read(spark)) == expected
+
+
+def test_arrival_decides_inside_a_batch(spark, table):
+    rows = raw_rows(spark, [("a", 1, 9.0), ("a", 1, 5.0), ("a", 1, 7.0)])
+    ordered = rows.withColumn("offset", F.when(F.col("valueInW") == 5.0, 3).otherwise(1).cast("long"))
+    table.write_batch(ordered, 0, arrival=["offset"])
+    assert contents(table.read(spark)) == [("a", 1, 5.0)]
+    table.write_batch(rows, 1)
+    assert contents(table.read(spark)) == [("a", 1, 9.0)]
+
+
+def test_replayed_batch_changes_nothing(spark, table):
+    for _ in range(2):
+        table.write_batch(raw_rows(spark, [("a", 1, 1.0)]), 0)
+        table.write_batch(raw_rows(spark, [("a", 1, 2.0)]), 1)
+    assert contents(table.read(spark)) == [("a", 1, 2.0)]
+
+
+def test_restricted_reads_skip_periods(spark, table):
+    table.write_batch(raw_rows(spark, [("a", d * DAY_MS, float(d)) for d in range(-2, 5)]), 0)
+    restriction = TimeRestriction(from_=DAY_MS, to=2 * DAY_MS)
+    assert [p.period for p in table.segment_parts(spark, restriction)] == [1, 2]
+    assert contents(table.read(spark, restriction)) == [("a", DAY_MS, 1.0), ("a", 2 * DAY_MS, 2.0)]
+    assert contents(table.read(spark, TimeRestriction(to=-1))) == [("a", -2 * DAY_MS, -2.0), ("a", -DAY_MS, -1.0)]
+
+
+def test_unfinished_writes_are_invisible(spark, table, tmp_path):
+    table.write_batch(raw_rows(spark, [("a", 1, 1.0)]), 0)
+    table.write_batch(raw_rows(spark, [("a", 1, 2.0)]), 1)
+    (tmp_path / "table" / "segment=batch-000000000001" / "_SUCCESS").unlink()
+    assert contents(table.read(spark)) == [("a", 1, 1.0)]
+
+
+def test_compaction_keeps_contents_and_removes_the_shuffle(spark, table):
+    for batch in range(3):
+        table.write_batch(raw_rows(spark, [("a", 1, float(batch)), ("b", batch * DAY_MS, 0.5)]), batch)
+    before = contents(table.read(spark))
+    assert "Exchange" in plan(table.read(spark))
+    assert table.compact(spark) == 1
+    assert contents(table.read(spark)) == before
+    assert "Exchange" not in plan(table.read(spark))
+    assert table.compact(spark) == 0
+    # Later writes still win, and a replay of an old batch does not come back.
+    table.write_batch(raw_rows(spark, [("b", 0, 9.0)]), 3)
+    table.write_batch(raw_rows(spark, [("a", 1, 1.0), ("b", DAY_MS, 0.5)]), 1)
+    assert dict(((i, t), v) for i, t, v in contents(table.read(spark)))["b", 0] == 9.0
+    assert ("a", 1, 2.0) in contents(table.read(spark))
+
+
+def test_interrupted_compaction_is_harmless(spark, table):
+    table.write_batch(raw_rows(spark, [("a", 1, 1.0), ("b", 1, 1.0)]), 0)
+    table.write_batch(raw_rows(spark, [("a", 1, 2.0)]), 1)
+    # The copy has been written, nothing has been removed yet.
+    table._write(table.resolved(spark, table.segment_parts(spark)), "compact-000000000001-0", 1)
+    assert contents(table.read(spark)) == [("a", 1, 2.0), ("b", 1, 1.0)]
+    assert table.compact(spark) == 1
+    assert contents(table.read(spark)) == [("a", 1, 2.0), ("b", 1, 1.0)]
+
+
+def windows(spark, *rows):
+    return spark.createDataFrame([(i, s, s + 60, 1, v, 0.0, v, v) for i, s, v in rows], WINDOWED_POWER)
+
+
+def test_expiry(spark, tmp_path):
+    table = KeyedTable(str(tmp_path / "w"), WINDOWED_POWER, "startTimestamp")
+    table.write_batch(windows(spark, ("a", 0, 1.0), ("b", 0, 1.0)), 0, unique=True, written_at_ms=1000, ttl_ms=100)
+    table.write_batch(windows(spark, ("b", 0, 2.0)), 1, unique=True, written_at_ms=1050, ttl_ms=100)
+    table.write_batch(windows(spark, ("c", 0, 3.0)), 2, unique=True, written_at_ms=1050)
+
+    def seen(as_of):
+        return sorted((r.identifier, r["mean"]) for r in table.read(spark, as_of_ms=as_of).collect())
+
+    assert seen(1099) == [("a", 1.0), ("b", 2.0), ("c", 3.0)]
+    assert seen(1100) == [("b", 2.0), ("c", 3.0)]
+    assert seen(1150) == [("c", 3.0)]
+    assert table.vacuum(spark, 1100) == 1
+    assert table.read(spark).count() == 2
+    assert seen(1100) == [("b", 2.0), ("c", 3.0)]
+    assert table.vacuum(spark, 1100) == 0
+    assert table.vacuum(spark, 2000) == 1
+    assert seen(0) == [("c", 3.0)]
+
+
+def test_an_expired_row_hides_what_it_overwrote(spark, tmp_path):
+    table = KeyedTable(str(tmp_path / "w"), WINDOWED_POWER, "startTimestamp")
+    table.write_batch(windows(spark, ("a", 0, 1.0)), 0, unique=True)
+    table.write_batch(windows(spark, ("a", 0, 2.0)), 1, unique=True, written_at_ms=0, ttl_ms=10)
+    assert table.read(spark, as_of_ms=10).count() == 0
+    table.vacuum(spark, 10)
+    assert table.read(spark).count() == 0
+
+
+def test_single_arrival_column_hash_aggregates(spark):
+    rows = raw_rows(spark, [("a", 1, 1.0)]).withColumn("offset", F.lit(1).cast("long"))
+    text = plan(last_write(rows, ["identifier", "timestamp"], ["offset"]))
+    assert text.count("HashAggregate") == 2 and "SortAggregate" not in text
+    assert "partial_max_by" in text[text.index("Exchange"):]
+
+
+def test_a_third_of_all_rows_under_one_key(spark):
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("identifier"),
+        F.lit(5).cast("long").alias("timestamp"),
+        F.col("id").cast("double").alias("valueInW"),
+        F.col("id").alias("offset"),
+    )
+    found = {r.identifier: r.valueInW for r in last_write(rows, ["identifier", "timestamp"], ["offset"]).collect()}
+    assert len(found) == 20_001 and found["hot"] == 29_997.0
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    batches=st.lists(
+        st.lists(
+            st.tuples(st.sampled_from("ab"), st.integers(0, 3).map(lambda d: d * DAY_MS), st.floats(0, 9)),
+            max_size=6,
+        ),
+        min_size=1,
+        max_size=4,
+    ),
+    compact_after=st.integers(0, 3),
+)
+def test_table_equals_a_dict(spark, tmp_path_factory, batches, compact_after):
+    table = KeyedTable(str(tmp_path_factory.mktemp("t")), RAW_POWER, "timestamp")
+    expected = {}
+    for number, batch in enumerate(batches):
+        rows = raw_rows(spark, batch).withColumn("offset", F.monotonically_increasing_id())
+        numbered = spark.createDataFrame(
+            [(*row, i) for i, row in enumerate(batch)], rows.schema
+        )
+        table.write_batch(numbered, number, arrival=["offset"])
+        expected.update({(i, t): v for i, t, v in batch})
+        if number == compact_after:
+            table.compact(spark)
+    assert contents(table.read(spark)) == sorted((i, t, v) for (i, t), v in expected.items())
+
+
+def test_undecodable_text_is_kept_aside(spark, tmp_path):
+    (tmp_path / "in.json").write_text(
+        '{"identifier": "a", "timestamp": 1, "valueInW": 2.5}\n{"identifier": "a", "timesta\n'
+        '{"identifier": "a", "timestamp": "x", "valueInW": 2.5}\n'
+    )
+    rows = text_records(spark, str(tmp_path / "in.json"), RAW_POWER).cache()
+    assert [tuple(r)[:3] for r in rows.filter(F.col(CORRUPT).isNull()).collect()] == [("a", 1, 2.5)]
+    assert rows.filter(F.col(CORRUPT).isNotNull()).count() == 2
