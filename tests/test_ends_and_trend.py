@@ -104,6 +104,19 @@ def test_trend(spark, values, k, expected):
     assert same(result.trend, expected)
 
 
+def test_one_point_trend_is_one_aggregate(spark):
+    text = plan(trend(Series.raw(skewed(spark)), points_to_smooth=1))
+    assert text.count("Exchange") == 1 and "Join" not in text
+
+
+def test_trend_joins_without_another_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert plan(trend(Series.raw(skewed(spark)))).count("Exchange") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_trend_of_named_identifier_without_records(spark):
     series = Series.raw(in_time_order(spark, [1.0, 2.0]))
     found = {r.identifier: r.trend for r in trend(series, points_to_smooth=1, identifiers=["s", "x"]).collect()}

@@ -53,7 +53,7 @@ class PowerHistory:
         restriction: TimeRestriction = UNRESTRICTED,
         as_of_ms: int | None = None,
     ) -> Series:
-        """The series published under ``api``, without the rows expired at ``as_of_ms``."""
+        """The series published under ``api``, without the rows expired at ``as_of_ms`` (now)."""
         for resolution in self.resolutions:
             if resolution.api == api:
                 return Series.windowed(self.windowed_table(resolution).read(spark, restriction, as_of_ms))

@@ -28,9 +28,7 @@ def trend(
     is not positive gives 1; an identifier asked for by name but without records gives -1.
     """
     rows = series.values(restriction, identifiers)
-    start = _mean_of_end(rows, points_to_smooth, newest=False, name="start")
-    end = _mean_of_end(rows, points_to_smooth, newest=True, name="end")
-    trends = start.join(end, "identifier").select(
+    trends = _ends_of(rows, points_to_smooth).select(
         "identifier", growth_ratio(F.col("start"), F.col("end")).alias("trend")
     )
     if identifiers is None:
@@ -40,6 +38,20 @@ def trend(
     )
 
 
+def _ends_of(rows: DataFrame, n: int) -> DataFrame:
+    """Mean of the oldest (start) and of the newest (end) ``n`` values per identifier.
+
+    Two scans, so that each can cut its input before the shuffle; the results are already
+    distributed by identifier when they are joined. A single point needs one aggregate only.
+    """
+    if n == 1:
+        return rows.groupBy("identifier").agg(
+            F.min_by("value", "time").alias("start"), F.max_by("value", "time").alias("end")
+        )
+    start = _mean_of_end(rows, n, newest=False, name="start")
+    return start.join(_mean_of_end(rows, n, newest=True, name="end"), "identifier")
+
+
 def _mean_of_end(rows: DataFrame, n: int, *, newest: bool, name: str) -> DataFrame:
     return (
         outermost(rows, "identifier", "time", n, newest=newest)

@@ -37,6 +37,10 @@ TARGET_FILE_BYTES = 256 * 1024 * 1024
 _SEGMENT_PART = re.compile(r"/segment=(?P<segment>(?:batch|compact)-(?P<batch>\d+)[^/]*)/period=(?P<period>-?\d+)$")
 
 
+def _alive(as_of: Column) -> Column:
+    return F.col(EXPIRES_AT).isNull() | (F.col(EXPIRES_AT) > as_of)
+
+
 @dataclass(frozen=True)
 class SegmentPart:
     """One segment's share of one period: the unit that is read, compacted and removed."""
@@ -159,16 +163,15 @@ class KeyedTable:
         restriction: TimeRestriction = UNRESTRICTED,
         as_of_ms: int | None = None,
     ) -> DataFrame:
-        """The table's rows: latest version per key, without those expired at ``as_of_ms``.
+        """The table's rows: latest version per key, without those expired at ``as_of_ms`` (now).
 
         Expiry is checked after resolution: an expired row still hides what it overwrote.
         """
         rows = self.resolved(spark, self.segment_parts(spark, restriction))
         if restriction != UNRESTRICTED:
             rows = rows.filter(restriction.to_column(self.time))
-        if as_of_ms is not None:
-            rows = rows.filter(F.col(EXPIRES_AT).isNull() | (F.col(EXPIRES_AT) > F.lit(as_of_ms)))
-        return rows.select(*self.schema.names)
+        as_of = F.unix_millis(F.current_timestamp()) if as_of_ms is None else F.lit(as_of_ms)
+        return rows.filter(_alive(as_of)).select(*self.schema.names)
 
     # -- maintenance -----------------------------------------------------------------------
 
@@ -203,7 +206,7 @@ class KeyedTable:
             return 0
         rows = self.resolved(spark, replaced)
         if as_of_ms is not None:
-            rows = rows.filter(F.col(EXPIRES_AT).isNull() | (F.col(EXPIRES_AT) > F.lit(as_of_ms)))
+            rows = rows.filter(_alive(F.lit(as_of_ms)))
         stored = sum(folders.size_bytes(spark, p.path) for p in replaced)
         segment = f"compact-{max(p.batch for p in replaced):012d}-{uuid.uuid4().hex[:8]}"
         self._write(rows, segment, max(1, -(-stored // TARGET_FILE_BYTES)))

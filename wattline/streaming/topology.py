@@ -88,6 +88,8 @@ class HistoryTopology:
         def write(rows: DataFrame, batch_id: int) -> None:
             rows.persist()
             try:
+                if rows.count() == 0:
+                    return  # a batch that only closed windows
                 # Update mode emits each changed window once per micro-batch.
                 table.write_batch(
                     rows, batch_id, unique=True, written_at_ms=self.clock(), ttl_ms=resolution.ttl_ms
