@@ -153,6 +153,29 @@ def test_written_records_are_observed(spark, feeder):
     assert [s.asDict() for s in seen] == [{"records": 2, "firstTimestamp": 3, "lastTimestamp": 9}]
 
 
+def test_a_batch_of_windows_is_one_file(feeder, tmp_path):
+    feeder.arrive([(f"s{i}", 0, 1.0) for i in range(100)])
+    feeder.drain()
+    assert len(list((tmp_path / "tables/windowed/hours").rglob("*.parquet"))) == 1
+
+
+def test_maintenance_between_runs(spark, tmp_path):
+    feeder = Feeder(spark, tmp_path, default_resolutions())
+    feeder.options["clock"] = lambda: 1_000
+    for value in (1.0, 3.0):
+        feeder.arrive([("a", 0, value), ("b", int(value), value)], [("g", 0, 1, value, value)])
+        feeder.drain()
+    assert feeder.history.compact(spark) == 4
+    assert feeder.history.compact(spark) == 0
+    feeder.arrive([("a", 1, 5.0)])
+    feeder.drain()
+    assert tuple(feeder.windows()["a", 0])[3:5] == (3, 3.0)
+    assert ranges.total_count(feeder.history.raw(spark)).first()["count"] == 4
+    assert feeder.history.vacuum(spark, 10**14) == 1
+    assert feeder.history.windowed(spark, "minutely", as_of_ms=0).records.count() == 0
+    assert len(feeder.windows()) == 3
+
+
 def test_windows_expire_but_hours_stay(spark, tmp_path):
     feeder = Feeder(spark, tmp_path, default_resolutions())
     feeder.options["clock"] = lambda: 1_000

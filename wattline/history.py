@@ -30,6 +30,18 @@ class PowerHistory:
     def windowed_table(self, resolution: Resolution) -> KeyedTable:
         return KeyedTable(f"{self.root}/windowed/{resolution.table}", WINDOWED_POWER, "startTimestamp")
 
+    def tables(self) -> list[KeyedTable]:
+        return [self.raw_table, self.aggregated_table, *map(self.windowed_table, self.resolutions)]
+
+    def compact(self, spark: SparkSession) -> int:
+        """Merge what micro-batches have left in all tables; to be run regularly."""
+        return sum(table.compact(spark) for table in self.tables())
+
+    def vacuum(self, spark: SparkSession, as_of_ms: int) -> int:
+        """Drop expired windows from storage."""
+        expiring = [self.windowed_table(r) for r in self.resolutions if r.ttl_ms is not None]
+        return sum(table.vacuum(spark, as_of_ms) for table in expiring)
+
     def received_folder(self) -> str:
         """Per-batch counts of received raw records, for the reconciliation."""
         return f"{self.root}/received"

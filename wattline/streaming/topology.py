@@ -18,6 +18,8 @@ from wattline.sources.table import KeyedTable
 from wattline.streaming.feeds import Feed, file_feed
 from wattline.streaming.windows import windowed_stream
 
+ROWS_PER_FILE = 1_000_000
+
 AGGREGATED_VALUES = ("count", "sumInW", "averageInW")
 
 
@@ -88,13 +90,16 @@ class HistoryTopology:
         def write(rows: DataFrame, batch_id: int) -> None:
             rows.persist()
             try:
-                if rows.count() == 0:
+                changed = rows.count()
+                if changed == 0:
                     return  # a batch that only closed windows
+                # State has many partitions, a micro-batch few rows: do not write a file for each.
+                merged = rows.coalesce(-(-changed // ROWS_PER_FILE))
                 # Update mode emits each changed window once per micro-batch.
                 table.write_batch(
-                    rows, batch_id, unique=True, written_at_ms=self.clock(), ttl_ms=resolution.ttl_ms
+                    merged, batch_id, unique=True, written_at_ms=self.clock(), ttl_ms=resolution.ttl_ms
                 )
-                feed(rows, batch_id)
+                feed(merged, batch_id)
             finally:
                 rows.unpersist()
 
