@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -59,7 +60,7 @@ def by_hand(values, n):
     series=st.dictionaries(
         st.sampled_from("abcd"), st.lists(st.floats(-1e6, 1e6, width=32), min_size=1, max_size=25), min_size=1
     ),
-    buckets=st.integers(1, 9),
+    buckets=st.sampled_from([1, 2, 3, 7, 9, 33, 40]),
 )
 def test_bounds_and_counts_are_exact(spark, series, buckets):
     frame = raw_rows(spark, [(k, i, v) for k, values in series.items() for i, v in enumerate(values)])
@@ -69,24 +70,37 @@ def test_bounds_and_counts_are_exact(spark, series, buckets):
     assert found == {k: by_hand(values, buckets) for k, values in series.items()}
 
 
+@pytest.mark.parametrize("buckets", [13, 45])
 @pytest.mark.parametrize("limit_bytes", [0, BROADCAST_LIMIT_BYTES])
-def test_skewed_series_loses_nothing(spark, limit_bytes):
+def test_skewed_series_loses_nothing(spark, limit_bytes, buckets):
     rows = skewed(spark)
     values = defaultdict(list)
     for identifier, _, value in rows.collect():
         values[identifier].append(value)
     found = defaultdict(list)
-    result = distribution(Series.raw(rows), buckets=13, limit_bytes=limit_bytes)
+    result = distribution(Series.raw(rows), buckets=buckets, limit_bytes=limit_bytes)
     for row in result.orderBy("identifier", "bucket").collect():
         found[row.identifier].append((row.lower, row.upper, row.elements))
-    assert found == {k: by_hand(v, 13) for k, v in values.items()}
+    assert found == {k: by_hand(v, buckets) for k, v in values.items()}
 
 
 def test_only_bounded_sides_are_broadcast(spark):
     rows = skewed(spark).select("identifier", "valueInW")
-    facts = durable(rows.groupBy("identifier").agg({"valueInW": "max", "*": "count"}).toDF("identifier", "top", "rows"))
-    assert "SortMergeJoin" not in plan(join_facts(rows, facts))
-    beyond = plan(join_facts(rows, facts, limit_bytes=0))
+    sizes = rows.groupBy("identifier").agg(F.max("valueInW").alias("top"), F.count("*").alias("rows"))
+    facts = durable(sizes.select("identifier", "top"))
+    totals = durable(sizes.select("identifier", "rows"))
+    assert "SortMergeJoin" not in plan(join_facts(rows, facts, totals))
+    beyond = join_facts(rows, facts, totals, limit_bytes=0)
     # Hot identifiers are joined by broadcast and kept out of the shuffled rest.
-    assert "SortMergeJoin" in beyond and "LeftAnti" in beyond
-    assert join_facts(rows, facts, limit_bytes=0).count() == rows.count()
+    assert "SortMergeJoin" in plan(beyond) and "LeftAnti" in plan(beyond)
+    assert beyond.count() == rows.count()
+
+
+@pytest.mark.parametrize("limit_bytes", [0, BROADCAST_LIMIT_BYTES])
+def test_left_join_keeps_rows_without_facts(spark, limit_bytes):
+    rows = skewed(spark).select("identifier", "valueInW")
+    totals = durable(rows.groupBy("identifier").agg(F.count("*").alias("rows")))
+    facts = durable(rows.filter("identifier like 's1%'").groupBy("identifier").agg(F.max("valueInW").alias("top")))
+    joined = join_facts(rows, facts, totals, how="left", limit_bytes=limit_bytes)
+    assert joined.count() == rows.count()
+    assert joined.filter("(top is null) = (identifier like 's1%')").count() == 0

@@ -14,6 +14,10 @@ from wattline.restriction import UNRESTRICTED, TimeRestriction
 from wattline.series import Series
 
 
+# Up to this many buckets, counters are columns of one aggregate; beyond, rows of their own.
+WIDE_LIMIT = 32
+
+
 def distribution(
     series: Series,
     restriction: TimeRestriction = UNRESTRICTED,
@@ -40,40 +44,53 @@ def distribution(
         )
         .select("identifier", "low", ((F.col("high") - F.col("low")) / F.lit(buckets)).alias("width"), "rows")
     )
-    counts = (
-        join_facts(rows, ranges, limit_bytes=limit_bytes)
-        .withColumn("bucket", bucket_index(F.col("value"), F.col("low"), F.col("width"), buckets))
-        .groupBy("identifier", "bucket")
-        .agg(F.count("*").alias("elements"))
+    facts = ranges.select("identifier", "low", "width")
+    totals = ranges.select("identifier", "rows")
+    placed = join_facts(rows, facts, totals, limit_bytes=limit_bytes).withColumn(
+        "bucket", bucket_index(F.col("value"), F.col("low"), F.col("width"), buckets)
+    )
+    counted = _counted_wide(placed, buckets) if buckets <= WIDE_LIMIT else _counted_long(placed, facts, buckets)
+    return _with_bounds(counted).select(
+        "identifier", "bucket", "lower", "upper", F.col("elements").cast("int").alias("elements")
     )
+
+
+def _counted_wide(placed: DataFrame, buckets: int) -> DataFrame:
+    """One counter column per bucket, unfolded into rows after the aggregation."""
+    counters = [F.count_if(F.col("bucket") == i) for i in range(buckets)]
     return (
-        bucket_bounds(ranges, buckets)
-        .join(counts, ["identifier", "bucket"], "left")
+        placed.groupBy("identifier")
+        .agg(
+            F.any_value("low").alias("low"),
+            F.any_value("width").alias("width"),
+            *(c.alias(f"_{i}") for i, c in enumerate(counters)),
+        )
         .select(
             "identifier",
-            "bucket",
-            "lower",
-            "upper",
-            F.coalesce("elements", F.lit(0)).cast("int").alias("elements"),
+            "low",
+            "width",
+            F.posexplode(F.array(*(f"_{i}" for i in range(buckets)))).alias("bucket", "elements"),
         )
     )
 
 
-def bucket_bounds(ranges: DataFrame, buckets: int) -> DataFrame:
-    """All buckets of all identifiers. Each bound adds one width to the one before it.
+def _counted_long(placed: DataFrame, facts: DataFrame, buckets: int) -> DataFrame:
+    """One row per occupied bucket, completed with the empty ones."""
+    counts = placed.groupBy("identifier", "bucket").agg(F.count("*").alias("elements"))
+    skeleton = facts.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return skeleton.join(counts, ["identifier", "bucket"], "left").withColumn(
+        "elements", F.coalesce("elements", F.lit(0))
+    )
+
+
+def _with_bounds(counted: DataFrame) -> DataFrame:
+    """Adds lower and upper. Each bound adds one width to the one before it.
 
     The running sum adds in bucket order, so the rounding of repeated addition is kept and
     the last upper bound may differ from the maximum in its last bits.
     """
-    skeleton = ranges.select(
-        "identifier", "low", "width", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")
-    )
     in_order = Window.partitionBy("identifier").orderBy("bucket")
     step = F.when(F.col("bucket") == 0, F.col("low") + F.col("width")).otherwise(F.col("width"))
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return skeleton.withColumn("upper", F.sum(step).over(so_far)).select(
-        "identifier",
-        "bucket",
-        F.when(F.col("bucket") == 0, F.col("low")).otherwise(F.lag("upper").over(in_order)).alias("lower"),
-        "upper",
-    )
+    lower = F.when(F.col("bucket") == 0, F.col("low")).otherwise(F.lag("upper").over(in_order))
+    return counted.withColumn("upper", F.sum(step).over(so_far)).withColumn("lower", lower)

@@ -88,28 +88,38 @@ def _by_buckets(
 ) -> DataFrame:
     """Exact for any ``n``, without ever ranking a whole identifier.
 
-    Count per time bucket, find the bucket in which the n-th record lies, keep the buckets
-    beyond it whole and rank only inside (identifier, bucket).
+    Identifiers with at most ``n`` records are kept as they are. For the others, records are
+    counted per time bucket to find the one in which the n-th lies: buckets beyond that cut
+    are kept whole, and only the records of the cut bucket are ranked.
     """
     bucket = F.col(time) - F.pmod(F.col(time), F.lit(BUCKET_MS))
     keyed = rows.withColumn("identifier", F.col(identifier)).withColumn("_bucket", bucket)
-    sizes = keyed.groupBy("identifier", "_bucket").agg(F.count("*").alias("_size"))
+    totals = durable(keyed.groupBy("identifier").agg(F.count("*").alias("rows")))
+    long = totals.filter(F.col("rows") > F.lit(n)).select("identifier")
+    cuts = durable(_cuts(join_facts(keyed, long, totals, limit_bytes=limit_bytes), n, newest))
+
+    placed = join_facts(keyed, cuts, totals, how="left", limit_bytes=limit_bytes)
+    outside = F.col("_bucket") > F.col("_cut") if newest else F.col("_bucket") < F.col("_cut")
+    whole = placed.filter(F.col("_cut").isNull() | outside)
+    partial = placed.filter(F.col("_bucket") == F.col("_cut"))
+    partial = _ranked(partial, ["identifier"], _direction(time, newest), F.lit(n) - F.col("_beyond"))
+    return whole.select(*rows.columns).unionByName(partial.select(*rows.columns))
+
+
+def _cuts(keyed: DataFrame, n: int, newest: bool) -> DataFrame:
+    """Per identifier, the bucket of the n-th record and how many records lie beyond it.
 
+    The running sum sees one row per identifier and bucket, so its length is bounded by the
+    time span of the data, not by its amount.
+    """
+    sizes = keyed.groupBy("identifier", "_bucket").agg(F.count("*").alias("_size"))
     outward = Window.partitionBy("identifier").orderBy(_direction("_bucket", newest))
-    running = F.sum("_size").over(outward.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    reached = sizes.withColumn("_reached", running)
-    # The cut is the first bucket, walking inward, at which n records are reached.
-    inside = F.col("_reached") - F.col("_size") < F.lit(n)
-    edge = F.min if newest else F.max
-    cuts = durable(
-        reached.groupBy("identifier").agg(
-            edge(F.when(inside, F.col("_bucket"))).alias("_cut"),
-            F.max(F.when(inside, F.col("_reached") - F.col("_size"))).alias("_beyond"),
-            F.sum("_size").alias("_rows"),
-        )
+    so_far = outward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beyond = F.sum("_size").over(so_far) - F.col("_size")
+    # Walking inward, the cut is the last bucket before which n records were not reached yet.
+    return (
+        sizes.withColumn("_beyond", beyond)
+        .filter(F.col("_beyond") < F.lit(n))
+        .groupBy("identifier")
+        .agg((F.min if newest else F.max)("_bucket").alias("_cut"), F.max("_beyond").alias("_beyond"))
     )
-    kept = join_facts(keyed, cuts, rows_column="_rows", limit_bytes=limit_bytes)
-    kept = kept.filter(F.col("_bucket") >= F.col("_cut") if newest else F.col("_bucket") <= F.col("_cut"))
-    quota = F.when(F.col("_bucket") == F.col("_cut"), F.lit(n) - F.col("_beyond")).otherwise(F.lit(n))
-    chosen = _ranked(kept, ["identifier", "_bucket"], _direction(time, newest), quota)
-    return chosen.select(*rows.columns)

@@ -32,27 +32,26 @@ def fits_broadcast(facts: DataFrame, limit_bytes: int) -> bool:
 def join_facts(
     rows: DataFrame,
     facts: DataFrame,
+    totals: DataFrame,
     *,
-    rows_column: str = "rows",
+    how: str = "inner",
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
-    """Inner join of ``rows`` with durable ``facts`` (one per identifier) on ``identifier``.
+    """Join ``rows`` with durable ``facts`` (at most one per identifier); ``how`` is inner or left.
 
     Facts within the size limit are broadcast: the rows are not shuffled at all. Beyond it,
-    only the facts of hot identifiers are broadcast (at most ``HOT_SHARE`` of them, whatever
+    only what concerns hot identifiers is broadcast (fewer than ``HOT_SHARE`` of them, whatever
     the data), and the remaining rows, none of whose identifiers is large, are shuffled.
-    ``facts[rows_column]`` is the number of rows per identifier.
+    ``totals`` holds (identifier, rows) for every identifier.
     """
-    payload = [c for c in facts.columns if c != rows_column]
     if fits_broadcast(facts, limit_bytes):
-        return rows.join(F.broadcast(facts.select(*payload)), "identifier")
-
-    total = facts.agg(F.sum(rows_column)).first()[0]
-    is_hot = F.col(rows_column) * F.lit(HOT_SHARE) > F.lit(total)
-    hot = facts.filter(is_hot).select(*payload)
-    cold = facts.filter(~is_hot).select(*payload)
-    hot_rows = rows.join(F.broadcast(hot), "identifier")
-    cold_rows = rows.join(F.broadcast(hot.select("identifier")), "identifier", "left_anti").join(
-        cold.hint("merge"), "identifier"
+        return rows.join(F.broadcast(facts), "identifier", how)
+
+    everything = totals.agg(F.sum("rows")).first()[0]
+    hot = totals.filter(F.col("rows") * F.lit(HOT_SHARE) > F.lit(everything)).select("identifier")
+    hot_facts = facts.join(F.broadcast(hot), "identifier", "left_semi")
+    hot_rows = rows.join(F.broadcast(hot), "identifier", "left_semi")
+    other_rows = rows.join(F.broadcast(hot), "identifier", "left_anti")
+    return hot_rows.join(F.broadcast(hot_facts), "identifier", how).unionByName(
+        other_rows.join(facts.hint("merge"), "identifier", how)
     )
-    return hot_rows.unionByName(cold_rows)
