@@ -7,6 +7,10 @@ from wattline.plans.catalog import AS_OF, DAY_MS, FIRST_HOUR, HOUR_MS, LAST, LAT
 from wattline.plans.tables import LINEITEM_ARRIVAL
 
 
+def _single(value: str) -> str:
+    return f"CAST(CAST({value} AS REAL) AS DOUBLE)"
+
+
 def _raw(identifier: str) -> str:
     return (
         f'SELECT CAST({identifier} AS VARCHAR) AS identifier, epoch_us(ts) // 1000 AS "timestamp", '
@@ -18,7 +22,7 @@ RAW = _raw("user_id")
 DENSE = _raw("event_type")
 GROUPED = f"""
     SELECT identifier, "timestamp" // {HOUR_MS} * {HOUR_MS} AS "timestamp", count(*) AS "count",
-           round(sum("valueInW"), 6) AS "sumInW", round(avg("valueInW"), 6) AS "averageInW"
+           round(sum("valueInW"), 6) AS "sumInW", {_single('avg("valueInW")')} AS "averageInW"
     FROM ({DENSE}) GROUP BY ALL"""
 LINEITEM = """
     SELECT CAST(l_suppkey AS VARCHAR) AS identifier, epoch_us(l_shipdate) // 1000 AS "timestamp",
@@ -33,11 +37,11 @@ STORED_LINEITEM = f"""
 COMBINED = f'{DENSE} UNION ALL SELECT identifier, "timestamp", "sumInW" AS "valueInW" FROM ({GROUPED})'
 
 
-def _windows(source: str, size: int, variance: str = "round(var_pop(\"valueInW\"), 6)") -> str:
+def _windows(source: str, size: int) -> str:
     return f"""
     SELECT identifier, "timestamp" // {size} * {size} AS "startTimestamp",
            "timestamp" // {size} * {size} + {size} AS "endTimestamp", count(*) AS "count",
-           round(avg("valueInW"), 6) AS mean, {variance} AS "populationVariance",
+           {_single('avg("valueInW")')} AS mean, {_single('var_pop("valueInW")')} AS "populationVariance",
            min("valueInW") AS "min", max("valueInW") AS "max"
     FROM ({source}) GROUP BY ALL"""
 
@@ -79,7 +83,7 @@ def _trend(source: str, time: str, value: str, n: int) -> str:
         SELECT identifier, avg(v) FILTER (WHERE oldest <= {n}) AS first_mean,
                avg(v) FILTER (WHERE newest <= {n}) AS last_mean
         FROM ranked GROUP BY identifier)
-    SELECT identifier, round(CASE WHEN first_mean > 0 THEN last_mean / first_mean ELSE 1 END, 6) AS trend
+    SELECT identifier, {_single("CASE WHEN first_mean > 0 THEN last_mean / first_mean ELSE 1 END")} AS trend
     FROM means"""
 
 
@@ -122,9 +126,7 @@ ORACLES: dict[str, str] = {
     "windowed_minutely": _windows(RAW, MINUTE_MS),
     "windowed_hourly": HOURLY,
     "windowed_hourly_dense": _windows(DENSE, HOUR_MS),
-    "windowed_daily_lineitem": _windows(
-        LINEITEM, DAY_MS, variance='CAST(CAST(var_pop("valueInW") AS REAL) AS DOUBLE)'
-    ),
+    "windowed_daily_lineitem": _windows(LINEITEM, DAY_MS),
     "aggregated_as_power": f'SELECT identifier, "timestamp", "sumInW" AS "valueInW" FROM ({GROUPED})',
     "combined": COMBINED,
     "windowed_combined_hourly": _windows(COMBINED, HOUR_MS),

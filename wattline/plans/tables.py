@@ -47,6 +47,10 @@ def epoch_ms(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
+def single_precision(value: Column) -> Column:
+    return value.cast("float").cast("double")
+
+
 def _use_utc(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -100,13 +104,16 @@ def events_stream(spark: SparkSession, sf_dir: str, identifier: str = "user_id")
 
 
 def events_grouped(spark: SparkSession, sf_dir: str, restriction: TimeRestriction = UNRESTRICTED) -> DataFrame:
-    """Hourly sums per event type. Sums are rounded: their last bits depend on the order of rows."""
+    """Hourly sums per event type, without the last bits, which depend on the order of rows.
+
+    Values have two decimals, so rounding to six recovers their exact sum.
+    """
     rows = events_raw(spark, sf_dir, identifier="event_type")
     hour = (F.col("timestamp") - F.pmod(F.col("timestamp"), F.lit(HOUR_MS))).alias("timestamp")
     grouped = rows.groupBy("identifier", hour).agg(
         F.count("*").alias("count"),
         F.round(F.sum("valueInW"), 6).alias("sumInW"),
-        F.round(F.avg("valueInW"), 6).alias("averageInW"),
+        single_precision(F.avg("valueInW")).alias("averageInW"),
     )
     return grouped if restriction == UNRESTRICTED else grouped.filter(restriction.to_column("timestamp"))
 
