@@ -8,7 +8,8 @@ def spark():
     spark = session(
         "wattline-tests",
         spark__master="local[8]",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="3",
+        spark__default__parallelism="3",
         spark__ui__enabled="false",
         spark__driver__memory="4g",
         spark__sql__maxMetadataStringLength="10000",

@@ -85,6 +85,27 @@ def test_compaction_keeps_contents_and_removes_the_shuffle(spark, table):
     assert ("a", 1, 2.0) in contents(table.read(spark))
 
 
+def test_filters_reach_every_file(spark, table):
+    """Below the resolution of versions as well: keys can be filtered before it."""
+    table.write_batch(raw_rows(spark, [("a", 1, 1.0), ("b", DAY_MS, 1.0)]), 0)
+    table.write_batch(raw_rows(spark, [("a", 1, 2.0)]), 1)
+    rows = table.read(spark, TimeRestriction(to=2 * DAY_MS)).filter("identifier = 'a'")
+    text = plan(rows)
+    assert text.count("EqualTo(identifier,a)") == 2
+    assert text.count(f"LessThanOrEqual(timestamp,{2 * DAY_MS})") == 2
+    assert contents(rows) == [("a", 1, 2.0)]
+
+
+def test_compacted_files_are_sorted(spark, table, tmp_path):
+    for batch in range(2):
+        table.write_batch(raw_rows(spark, [(f"s{i % 7}", i, float(batch)) for i in range(50)]), batch)
+    table.compact(spark)
+    files = list((tmp_path / "table").rglob("*.parquet"))
+    assert len(files) == 1
+    keys = [tuple(r) for r in spark.read.parquet(str(files[0])).coalesce(1).select("identifier", "timestamp").collect()]
+    assert keys == sorted(keys) and len(keys) == 50
+
+
 def test_interrupted_compaction_is_harmless(spark, table):
     table.write_batch(raw_rows(spark, [("a", 1, 1.0), ("b", 1, 1.0)]), 0)
     table.write_batch(raw_rows(spark, [("a", 1, 2.0)]), 1)

@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 REASON = "reason"
 
+# Spark timestamps count microseconds in a BIGINT.
+MAX_TIME_MS = (2**63 - 1) // 1000
+
 
 def rejection_reason(time: str = "timestamp", required: Sequence[str] = ("valueInW",)) -> Column:
-    """Why a record is unusable, null for a good one. Missing key, time or value; negative time."""
+    """Why a record is unusable, null for a good one.
+
+    Missing key, time or value; a time before the epoch or beyond what a timestamp can hold.
+    """
     reason = F.when(F.col("identifier").isNull(), F.lit("missing identifier"))
     reason = reason.when(F.col(time).isNull(), F.lit(f"missing {time}"))
     reason = reason.when(F.col(time) < 0, F.lit(f"negative {time}"))
+    reason = reason.when(F.col(time) > F.lit(MAX_TIME_MS), F.lit(f"{time} out of range"))
     for column in required:
         reason = reason.when(F.col(column).isNull(), F.lit(f"missing {column}"))
     return reason

@@ -196,7 +196,7 @@ class KeyedTable:
     def _period(self) -> Column:
         # Integer arithmetic: dividing as doubles is inexact for large times.
         start = F.col(self.time) - F.pmod(F.col(self.time), F.lit(self.period_ms))
-        return F.call_function("div", start, F.lit(self.period_ms)).cast("int")
+        return F.call_function("div", start, F.lit(self.period_ms))
 
     def _rewrite(
         self, spark: SparkSession, parts: Sequence[SegmentPart], periods: set[int], as_of_ms: int | None
