@@ -168,7 +168,7 @@ def test_a_third_of_all_rows_under_one_key(spark):
     assert len(found) == 20_001 and found["hot"] == 29_997.0
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     batches=st.lists(
         st.lists(
