@@ -542,5 +542,7 @@ def stream_aggregated_store(spark, sf_dir):
 @registered
 def stream_reconciliation(spark, sf_dir):
     history = _run_once(spark, sf_dir, "raw")
-    received = spark.read.parquet(history.received_folder()).groupBy("identifier").agg(F.sum("received").alias("received"))
-    return reconcile.reconcile_counts(received, ranges.count(history.raw(spark)).withColumnRenamed("count", "stored"))
+    batches = spark.read.parquet(history.received_folder())
+    received = batches.groupBy("identifier").agg(F.sum("received").alias("received"))
+    stored = ranges.count(history.raw(spark)).withColumnRenamed("count", "stored")
+    return reconcile.reconcile_counts(received, stored)
