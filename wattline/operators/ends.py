@@ -48,14 +48,22 @@ def newest_first(rows: DataFrame, series: Series) -> DataFrame:
     return rows.orderBy(F.col(series.identifier), F.col(series.time).desc())
 
 
-def outermost(rows: DataFrame, identifier: str, time: str, n: int, *, newest: bool) -> DataFrame:
+def outermost(
+    rows: DataFrame, identifier: str, time: str, n: int, *, newest: bool, totals: DataFrame | None = None
+) -> DataFrame:
+    """``totals``, from ``record_totals``, spares a pass when both ends of the same rows are wanted."""
     if n <= 0:
         raise InvalidQueryError(f"The number of records must be positive, got {n}.")
     if n == 1:
         return _single(rows, identifier, time, newest)
     if n <= RANKED_LIMIT:
         return _ranked(rows, [identifier], _direction(time, newest), F.lit(n))
-    return _by_buckets(rows, identifier, time, n, newest)
+    return _by_buckets(rows, identifier, time, n, newest, totals)
+
+
+def record_totals(rows: DataFrame, identifier: str) -> DataFrame:
+    """Durable number of records per identifier."""
+    return durable(rows.groupBy(F.col(identifier).alias("identifier")).agg(F.count("*").alias("rows")))
 
 
 def _direction(time: str, newest: bool) -> Column:
@@ -84,6 +92,7 @@ def _by_buckets(
     time: str,
     n: int,
     newest: bool,
+    totals: DataFrame | None = None,
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Exact for any ``n``, without ever ranking a whole identifier.
@@ -94,7 +103,8 @@ def _by_buckets(
     """
     bucket = F.col(time) - F.pmod(F.col(time), F.lit(BUCKET_MS))
     keyed = rows.withColumn("identifier", F.col(identifier)).withColumn("_bucket", bucket)
-    totals = durable(keyed.groupBy("identifier").agg(F.count("*").alias("rows")))
+    if totals is None:
+        totals = record_totals(rows, identifier)
     long = totals.filter(F.col("rows") > F.lit(n)).select("identifier")
     cuts = durable(_cuts(join_facts(keyed, long, totals, limit_bytes=limit_bytes), n, newest))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.numeric import growth_ratio
-from wattline.operators.ends import outermost
+from wattline.operators.ends import RANKED_LIMIT, outermost, record_totals
 from wattline.operators.ranges import named
 from wattline.restriction import UNRESTRICTED, TimeRestriction
 from wattline.series import Series
@@ -48,13 +48,14 @@ def _ends_of(rows: DataFrame, n: int) -> DataFrame:
         return rows.groupBy("identifier").agg(
             F.min_by("value", "time").alias("start"), F.max_by("value", "time").alias("end")
         )
-    start = _mean_of_end(rows, n, newest=False, name="start")
-    return start.join(_mean_of_end(rows, n, newest=True, name="end"), "identifier")
+    totals = record_totals(rows, "identifier") if n > RANKED_LIMIT else None
+    start = _mean_of_end(rows, n, totals, newest=False, name="start")
+    return start.join(_mean_of_end(rows, n, totals, newest=True, name="end"), "identifier")
 
 
-def _mean_of_end(rows: DataFrame, n: int, *, newest: bool, name: str) -> DataFrame:
+def _mean_of_end(rows: DataFrame, n: int, totals: DataFrame | None, *, newest: bool, name: str) -> DataFrame:
     return (
-        outermost(rows, "identifier", "time", n, newest=newest)
+        outermost(rows, "identifier", "time", n, newest=newest, totals=totals)
         .groupBy("identifier")
         .agg(F.avg("value").alias(name))
     )
