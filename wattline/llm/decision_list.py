@@ -138,15 +138,14 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], sought: np.ndarray) -> Rule:
 def learn(x: dict[str, np.ndarray], sought: np.ndarray, *, precision: float = PRECISION) -> list[Rule]:
     """Ordered rules for the class marked by ``sought``; rows are taken in the given order."""
     pruning = np.arange(len(sought)) % 3 == 2
-    rules, left = [], np.ones(len(sought), bool)
+    rules, left, banned = [], np.ones(len(sought), bool), set()
 
     def part(which: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        return {name: values[which] for name, values in x.items()}, sought[which]
+        return {name: values[which] for name, values in x.items() if name not in banned}, sought[which]
 
     def precise(rule: Rule, which: np.ndarray, least: int) -> bool:
-        px, py = part(which)
-        mask = rule.mask(px) if len(py) else np.zeros(0, bool)
-        good, total = int((mask & py).sum()), int(mask.sum())
+        mask = rule.mask(x) & which
+        good, total = int((mask & sought).sum()), int(mask.sum())
         return good >= least and good >= precision * total
 
     while (left & sought).any():
@@ -158,9 +157,10 @@ def learn(x: dict[str, np.ndarray], sought: np.ndarray, *, precision: float = PR
             if precise(candidate, left & ~pruning, LEAST_COVER) and precise(candidate, left & pruning, 0):
                 rules.append(candidate)
                 left &= ~candidate.mask(x)
+                banned.clear()
                 break
-        else:
-            break
+        else:  # no rule that begins with this statistic is precise: grow from the others
+            banned.add(rule.tests[0].statistic)
     return rules
 
 

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from wattline.llm.decision_list import quality_rules
 from wattline.llm.decontaminate import contamination
+from wattline.llm.html_wrapper import main_text
 from wattline.llm.license_index import license_scan
 from wattline.llm.mixing import mix
+from wattline.llm.near_duplicates import near_duplicates
 from wattline.llm.quality_qda import quality_scores
+from wattline.llm.sanitise import personal_data
 from wattline.llm.token_prefix import prefix_counts, total_tokens
 
 TOKEN_LIMIT = 2048
@@ -46,10 +49,22 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source", "epochs")
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -58,7 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_license_scan,
         op5_quality_rules,
         op6_mix_sources,
+        op7_html_main_text,
         op8_decontamination,
+        op9_near_duplicates,
+        op10_personal_data,
     )
 }
 ORACLES: dict[str, str] = {}
