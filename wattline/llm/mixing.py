@@ -73,19 +73,20 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total_share=TOTAL_SHARE, limit=LI
     )
 
 
-def mix(docs: DataFrame, *, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, seed: str = SEED, carry: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken (and source, epochs) for each row of ``docs``.
 
-    Null sources are a source of their own; null and empty texts have size 0 and nothing is taken of
+    With ``carry`` all columns of the row come along as one struct, ``row``: sizes and keys are then computed
+    again beside the text, so that no text is ever joined by its id. Null sources are a source of their own; null and empty texts have size 0 and nothing is taken of
     them. Equal rows are interchangeable: ties are broken by id and size, so reruns agree.
     """
-    sized = docs.select(
-        "doc_id",
-        "source",
+    columns = (
+        docs["doc_id"],
+        docs["source"],
         size_of(docs["text"]).alias("size"),
         (-F.log(uniform(docs["doc_id"], seed)) / quality_of(docs["text"])).alias("key"),
     )
-    sized = stored(sized, "mix-sizes")
+    sized = stored(docs.select(*columns), "mix-sizes")
     per_source = sized.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("n_docs"), F.avg("key").alias("mean_key")
     )
@@ -96,10 +97,7 @@ def mix(docs: DataFrame, *, seed: str = SEED) -> DataFrame:
     plan = plan.withColumn("ranges", F.ceil(F.col("n_docs") / RANGE_ROWS))
     plan = stored(plan, "mix-plan")
 
-    ranged = _with_facts(sized, plan.select("source", "ranges", "mean_key"))
-    # A rising function of the key that spreads exponential keys evenly over the ranges.
-    place = F.floor((1 - F.exp(-F.col("key") / F.greatest(F.col("mean_key"), F.lit(1e-300)))) * F.col("ranges"))
-    ranged = ranged.withColumn("range", F.least(place, F.col("ranges") - 1)).drop("ranges", "mean_key")
+    ranged = _in_ranges(_with_facts(sized, plan.select("source", "ranges", "mean_key")))
 
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -117,7 +115,11 @@ def mix(docs: DataFrame, *, seed: str = SEED) -> DataFrame:
     ).select(F.col("s").alias("source"), "source_size", "target", "epochs", "budget", "cut", "cut_before")
     facts = stored(facts, "mix-facts")
 
-    told = _with_facts(ranged, facts)
+    rows = ranged
+    if carry:
+        rows = _with_facts(docs.select(*columns, F.struct("*").alias("row")), plan.select("source", "ranges", "mean_key"))
+        rows = _in_ranges(rows)
+    told = _with_facts(rows, facts)
     inside = F.col("cut").isNull() | (F.col("range") < F.col("cut"))
     whole = told.filter(F.col("cut").isNull() | (F.col("range") != F.col("cut"))).withColumn(
         "extra", F.when(inside, F.col("size")).otherwise(0)
@@ -137,9 +139,16 @@ def mix(docs: DataFrame, *, seed: str = SEED) -> DataFrame:
         (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
         "source",
         F.col("epochs").cast("long").alias("epochs"),
+        *(["row"] if carry else []),
     )
 
 
+def _in_ranges(rows: DataFrame) -> DataFrame:
+    """The range of each row's key: a rising function of the key that spreads exponential keys evenly."""
+    place = F.floor((1 - F.exp(-F.col("key") / F.greatest(F.col("mean_key"), F.lit(1e-300)))) * F.col("ranges"))
+    return rows.withColumn("range", F.least(place, F.col("ranges") - 1)).drop("ranges", "mean_key")
+
+
 def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows with the facts of their source; facts are broadcast if their real number allows it."""
     side = facts.withColumnRenamed("source", "s")

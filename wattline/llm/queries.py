@@ -17,6 +17,8 @@ from wattline.llm.near_duplicates import near_duplicates
 from wattline.llm.quality_qda import quality_scores
 from wattline.llm.sanitise import personal_data
 from wattline.llm.token_prefix import prefix_counts, total_tokens
+from wattline.llm.warc_revisit import ORACLE_SQL as WARC_SQL
+from wattline.llm.warc_revisit import crawl_records, header_lines, resolve_revisits
 
 TOKEN_LIMIT = 2048
 
@@ -37,6 +39,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(crawl_records(table(spark, sf_dir, "pages")))
+    return found.select(
+        "record_id",
+        "canonical_url",
+        F.coalesce("refers_to", F.lit(-1)).alias("refers_to"),
+        "outcome",
+        F.coalesce(header_lines(F.col("headers")), F.lit("")).alias("headers"),
+        F.coalesce("payload_bytes", F.lit(0)).alias("payload_bytes"),
+    )
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -70,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op1_quality_classifier,
         op2_token_counts,
+        op3_revisits,
         op4_license_scan,
         op5_quality_rules,
         op6_mix_sources,
@@ -79,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_personal_data,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_revisits": WARC_SQL}
