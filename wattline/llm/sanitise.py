@@ -162,9 +162,9 @@ def disclosing_terms(docs: DataFrame, *, witnesses: int = WITNESSES, generalise:
 
 
 def with_spans(docs: DataFrame, *, witnesses: int = WITNESSES, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
-    """``docs`` (doc_id, text and others) with ``base`` and ``extra``: arrays of (kind, start, end, value).
+    """row (all columns of ``docs``), ``base`` and ``extra`` (arrays of (kind, start, end, value)) for each row.
 
-    ``extra`` are the disclosing terms, of kind ``removed`` or ``general``, outside base spans. Null
+    ``docs`` has doc_id, text and any others. ``extra`` are the disclosing terms, of kind ``removed`` or ``general``, outside base spans. Null
     and empty texts have none. Rows that repeat a doc_id share the terms found for it.
     """
     keyed = docs.select(F.struct("doc_id").alias("key"), "text")
@@ -186,7 +186,7 @@ def with_spans(docs: DataFrame, *, witnesses: int = WITNESSES, remove: float = R
     extra = F.transform(terms_here, lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     none = F.array().cast(f"array<{SPAN}>")
     return marked.withColumn("extra", F.coalesce(F.when(F.col("disclosing").isNotNull(), extra), none)).select(
-        "row.*", "base", "extra"
+        "row", "base", "extra"
     )
 
 
@@ -206,7 +206,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(
-        "doc_id",
+        "row.doc_id",
         *map(number, KINDS),
         F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
         span_text(F.concat("base", by_kind)).alias("spans"),
@@ -235,5 +235,5 @@ def sanitised_text(text: Column, base: Column, extra: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in ``text``; all other columns as they are."""
     marked = with_spans(docs)
-    text = sanitised_text(F.col("text"), F.col("base"), F.col("extra"))
-    return marked.select(*(text.alias("text") if name == "text" else F.col(name) for name in docs.columns))
+    text = sanitised_text(F.col("row.text"), F.col("base"), F.col("extra"))
+    return marked.select(*(text.alias("text") if name == "text" else F.col("row")[name].alias(name) for name in docs.columns))
