@@ -4,7 +4,7 @@ from wattline.session import session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     spark = session(
         "wattline-tests",
         spark__master="local[8]",
@@ -14,6 +14,7 @@ def spark():
         spark__driver__memory="4g",
         spark__sql__maxMetadataStringLength="10000",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark

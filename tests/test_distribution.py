@@ -60,7 +60,7 @@ def by_hand(values, n):
     series=st.dictionaries(
         st.sampled_from("abcd"), st.lists(st.floats(-1e6, 1e6, width=32), min_size=1, max_size=25), min_size=1
     ),
-    buckets=st.sampled_from([1, 2, 3, 7, 9, 33, 40]),
+    buckets=st.sampled_from([1, 2, 3, 7, 32, 33, 40]),
 )
 def test_bounds_and_counts_are_exact(spark, series, buckets):
     frame = raw_rows(spark, [(k, i, v) for k, values in series.items() for i, v in enumerate(values)])
@@ -104,3 +104,23 @@ def test_left_join_keeps_rows_without_facts(spark, limit_bytes):
     joined = join_facts(rows, facts, totals, how="left", limit_bytes=limit_bytes)
     assert joined.count() == rows.count()
     assert joined.filter("(top is null) = (identifier like 's1%')").count() == 0
+
+
+def test_both_ways_of_counting_agree(spark):
+    """32 buckets are columns, 33 are rows: the same data, the shared range of buckets compared whole."""
+    rows = skewed(spark)
+    for buckets in (32, 33):
+        found = distribution(Series.raw(rows), buckets=buckets, keep_values=buckets == 33)
+        assert found.schema["elements"].dataType.simpleString() == "bigint"
+        values = defaultdict(list)
+        for identifier, _, value in rows.collect():
+            values[identifier].append(value)
+        seen = defaultdict(list)
+        for row in found.orderBy("identifier", "bucket").collect():
+            seen[row.identifier].append((row.lower, row.upper, row.elements))
+        assert seen == {k: by_hand(v, buckets) for k, v in values.items()}
+
+
+def test_null_identifiers_belong_to_no_series(spark):
+    rows = raw_rows(spark, [("a", 1, 1.0), (None, 2, 5.0), ("a", None, 9.0)])
+    assert [tuple(r) for r in distribution(Series.raw(rows), buckets=1).collect()] == [("a", 0, 1.0, 1.0, 1)]

@@ -37,11 +37,58 @@ def test_ends_of_skewed_series(spark, n, newest):
     assert set(found) == expected
 
 
-@pytest.mark.parametrize("limit_bytes", [0, ends.BROADCAST_LIMIT_BYTES])
-def test_bucket_selection_with_either_join(spark, limit_bytes):
+@pytest.mark.parametrize("broadcast", [-1, 10 * 1024 * 1024])
+def test_bucket_selection_with_either_join(spark, broadcast):
     rows = skewed(spark)
-    found = ends._by_buckets(rows, "identifier", "timestamp", 333, True, limit_bytes=limit_bytes)
-    assert {tuple(r) for r in found.collect()} == brute_force([tuple(r) for r in rows.collect()], 333, True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = ends._by_buckets(rows, "identifier", "timestamp", 333, True).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {tuple(r) for r in found} == brute_force([tuple(r) for r in rows.collect()], 333, True)
+
+
+@pytest.mark.parametrize("n", [1, 2, 100, 101])
+@pytest.mark.parametrize("newest", [True, False])
+def test_null_keys_and_times_take_no_part(spark, n, newest):
+    good = [("a", t, float(t)) for t in range(150)] + [("b", 5, 1.0)]
+    odd = [(None, t, 1.0) for t in range(300)] + [("a", None, 1.0), ("c", None, 2.0)]
+    series = Series.raw(raw_rows(spark, good + odd))
+    find = ends.latest if newest else ends.earliest
+    assert {tuple(r) for r in find(series, count=n).collect()} == brute_force(good, n, newest)
+    trends = {r.identifier: r.trend for r in trend(series, points_to_smooth=n).collect()}
+    assert trends.keys() == {"a", "b"} and trends["b"] == 1.0
+    start, end = [float(t) for t in range(n)][:150], [float(t) for t in range(150)][-n:]
+    expected = sum(end) / len(end) / (sum(start) / len(start)) if sum(start) > 0 else 1.0
+    assert same(trends["a"], expected, 1e-9)
+
+
+def jobs_started_by(spark, build):
+    group = f"jobs-{build!r}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        build()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("n", [1, 100, 101])
+def test_nothing_runs_before_the_result_is_used(spark, n):
+    series = Series.raw(skewed(spark))
+    assert jobs_started_by(spark, lambda: ends.latest(series, count=n)) == 0
+    assert jobs_started_by(spark, lambda: trend(series, points_to_smooth=n)) == 0
+
+
+@pytest.mark.parametrize("query", ["latest", "trend"])
+def test_many_records_take_two_scans(spark, tmp_path, query):
+    skewed(spark).write.parquet(str(tmp_path / "t"))
+    series = Series.raw(spark.read.parquet(str(tmp_path / "t")))
+    rows = ends.latest(series, count=500) if query == "latest" else trend(series, points_to_smooth=500)
+    rows.collect()
+    final = plan(rows).split("== Initial Plan ==")[0]
+    kept_whole_and_cut = 2 if query == "latest" else 1
+    assert final.count("FileScan") <= 1 + kept_whole_and_cut
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -123,6 +170,15 @@ def test_trend_of_named_identifier_without_records(spark):
     assert found == {"s": 2.0, "x": -1.0}
 
 
+def test_identifiers_without_records_are_observed(spark):
+    from pyspark.sql import Observation
+
+    series = Series.raw(in_time_order(spark, [1.0, 2.0]))
+    rows = trend(series, points_to_smooth=1, identifiers=["s", "x", "y"])
+    assert "CollectMetrics" in plan(rows)
+    assert Observation and rows.count() == 3
+
+
 def test_trend_of_skewed_series(spark):
     rows = [tuple(r) for r in skewed(spark).collect()]
     found = {r.identifier: r.trend for r in trend(Series.raw(skewed(spark)), points_to_smooth=120).collect()}

@@ -139,9 +139,8 @@ def test_unusable_records_and_reconciliation(spark, feeder):
         "timestamp out of range",
     ]
     assert feeder.windows().keys() == {("a", 0), ("b", 0)}
-    received = spark.read.parquet(feeder.history.received_folder())
     compared = reconcile.reconcile_counts(
-        received.groupBy("identifier").agg(F.sum("received").alias("received")),
+        feeder.history.received(spark),
         ranges.count(feeder.history.raw(spark)).withColumnRenamed("count", "stored"),
     )
     found = {r.identifier: tuple(r)[1:] for r in compared.collect()}
@@ -169,7 +168,7 @@ def test_maintenance_between_runs(spark, tmp_path):
     for value in (1.0, 3.0):
         feeder.arrive([("a", 0, value), ("b", int(value), value)], [("g", 0, 1, value, value)])
         feeder.drain()
-    assert feeder.history.compact(spark) == 4
+    assert feeder.history.compact(spark) == 5
     assert feeder.history.compact(spark) == 0
     feeder.arrive([("a", 1, 5.0)])
     feeder.drain()
@@ -214,6 +213,49 @@ def test_other_keys_and_event_times(spark, tmp_path):
     assert sorted(tuple(r) for r in feeder.history.raw(spark).records.collect()) == [("a", 1, 1.0), ("b", 2, 3.0)]
 
 
+def test_windows_check_the_columns_they_use(spark, tmp_path):
+    """A payload without identifier counts under its message key; a null key is written aside."""
+    feeder = Feeder(spark, tmp_path, [HOURLY])
+    schema = "identifier string, timestamp long, valueInW double, messageKey string, messageTime long"
+    rows = [(None, 1, 1.0, "k", 5), ("b", 2, 3.0, None, 5), ("c", 3, 4.0, "k", -5)]
+    spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/raw")
+    topology = HistoryTopology(
+        feeder.history, file_stream(spark, f"{tmp_path}/raw", spark.createDataFrame([], schema).schema), None,
+        f"{tmp_path}/checkpoints", trigger={"availableNow": True}, key="messageKey", event_time="messageTime",
+    )
+    for query in topology.start():
+        query.awaitTermination()
+    assert {k: r["count"] for k, r in feeder.windows().items()} == {("k", 0): 1}
+    assert sorted(r.identifier for r in feeder.history.raw(spark).records.collect()) == ["b", "c"]
+    rejected = spark.read.parquet(feeder.history.rejected_folder("raw"))
+    assert sorted(r.reason for r in rejected.collect()) == [
+        "missing identifier", "not in windows: missing messageKey", "not in windows: negative messageTime"
+    ]
+
+
+def test_the_last_line_of_a_file_wins(spark, tmp_path):
+    """Text streams: order inside files, later files after earlier ones, undecodable lines with their text."""
+    feeder = Feeder(spark, tmp_path, [])
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines/1.csv").write_text("a,1,9.0\na,1,5.0\nb,1,7.0\nb,x,1.0\n")
+    topology = HistoryTopology(
+        feeder.history, file_stream(spark, f"{tmp_path}/lines", RAW_POWER, file_format="csv"), None,
+        f"{tmp_path}/checkpoints", trigger={"availableNow": True},
+    )
+    topology.start_raw_store().awaitTermination()
+    assert sorted(tuple(r) for r in feeder.history.raw(spark).records.collect()) == [("a", 1, 5.0), ("b", 1, 7.0)]
+    rejected = spark.read.parquet(feeder.history.rejected_folder("raw")).collect()
+    assert [(r["_corrupt_record"], r.reason) for r in rejected] == [("b,x,1.0", "undecodable")]
+
+
+def test_nothing_is_left_by_batches_without_rejects(feeder, tmp_path):
+    feeder.arrive([("a", 0, 1.0), ("a", 0, 2.0)])
+    feeder.drain()
+    assert not (tmp_path / "tables/rejected").exists()
+    # The reader's own order: the row further down in the file was written last.
+    assert [r.valueInW for r in feeder.history.raw(feeder.spark).records.collect()] == [2.0]
+
+
 def test_lost_checkpoint_does_not_overwrite_the_table(feeder, tmp_path):
     feeder.arrive([("a", 0, 1.0)])
     feeder.drain()

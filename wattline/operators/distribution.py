@@ -12,7 +12,7 @@ from wattline.functions.numeric import bucket_index, nan_aware_min
 from wattline.operators.per_identifier import BROADCAST_LIMIT_BYTES, durable, join_facts
 from wattline.restriction import UNRESTRICTED, TimeRestriction
 from wattline.series import Series
-
+from wattline.session import new_work_dir
 
 # Up to this many buckets, counters are columns of one aggregate; beyond, rows of their own.
 WIDE_LIMIT = 32
@@ -25,9 +25,13 @@ def distribution(
     identifiers: str | Sequence[str] | None = None,
     *,
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    keep_values: bool = False,
 ) -> DataFrame:
     """Rows (identifier, bucket, lower, upper, elements), empty buckets included.
 
+    ``keep_values`` writes (identifier, value) to shared storage between the passes: right where
+    the series is itself the result of a shuffle, as windows and resolved versions are.
+
     Two passes over (identifier, value): the value range per identifier, then the counts. The
     ranges are joined back by ``join_facts``, so rows are normally not shuffled before they
     are counted, and counting starts inside each task.
@@ -35,14 +39,14 @@ def distribution(
     if buckets <= 0:
         raise InvalidQueryError(f"The number of buckets must be positive, got {buckets}.")
     rows = series.values(restriction, identifiers).select("identifier", "value")
+    if keep_values:
+        path = new_work_dir(rows.sparkSession, "values")
+        rows.write.parquet(path)
+        rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     ranges = durable(
-        rows.groupBy("identifier")
-        .agg(
-            nan_aware_min(F.col("value")).alias("low"),
-            F.max("value").alias("high"),
-            F.count("*").alias("rows"),
+        value_ranges(rows).select(
+            "identifier", "low", ((F.col("high") - F.col("low")) / F.lit(buckets)).alias("width"), "rows"
         )
-        .select("identifier", "low", ((F.col("high") - F.col("low")) / F.lit(buckets)).alias("width"), "rows")
     )
     facts = ranges.select("identifier", "low", "width")
     totals = ranges.select("identifier", "rows")
@@ -50,8 +54,13 @@ def distribution(
         "bucket", bucket_index(F.col("value"), F.col("low"), F.col("width"), buckets)
     )
     counted = _counted_wide(placed, buckets) if buckets <= WIDE_LIMIT else _counted_long(placed, facts, buckets)
-    return _with_bounds(counted).select(
-        "identifier", "bucket", "lower", "upper", F.col("elements").cast("int").alias("elements")
+    return _with_bounds(counted).select("identifier", "bucket", "lower", "upper", "elements")
+
+
+def value_ranges(rows: DataFrame) -> DataFrame:
+    """Smallest and largest value and number of rows per identifier; NaN counts as both."""
+    return rows.groupBy("identifier").agg(
+        nan_aware_min(F.col("value")).alias("low"), F.max("value").alias("high"), F.count("*").alias("rows")
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.errors import InvalidQueryError
-from wattline.operators.per_identifier import BROADCAST_LIMIT_BYTES, durable, join_facts
 from wattline.restriction import UNRESTRICTED, TimeRestriction
 from wattline.series import Series
 
@@ -48,22 +47,19 @@ def newest_first(rows: DataFrame, series: Series) -> DataFrame:
     return rows.orderBy(F.col(series.identifier), F.col(series.time).desc())
 
 
-def outermost(
-    rows: DataFrame, identifier: str, time: str, n: int, *, newest: bool, totals: DataFrame | None = None
-) -> DataFrame:
-    """``totals``, from ``record_totals``, spares a pass when both ends of the same rows are wanted."""
+def outermost(rows: DataFrame, identifier: str, time: str, n: int, *, newest: bool) -> DataFrame:
+    """The ``n`` outermost rows per identifier; rows without identifier or time do not take part.
+
+    The three ways differ in their plans only; none of them runs a job before the result is used.
+    """
     if n <= 0:
         raise InvalidQueryError(f"The number of records must be positive, got {n}.")
+    rows = rows.filter(F.col(identifier).isNotNull() & F.col(time).isNotNull())
     if n == 1:
         return _single(rows, identifier, time, newest)
     if n <= RANKED_LIMIT:
         return _ranked(rows, [identifier], _direction(time, newest), F.lit(n))
-    return _by_buckets(rows, identifier, time, n, newest, totals)
-
-
-def record_totals(rows: DataFrame, identifier: str) -> DataFrame:
-    """Durable number of records per identifier."""
-    return durable(rows.groupBy(F.col(identifier).alias("identifier")).agg(F.count("*").alias("rows")))
+    return _by_buckets(rows, identifier, time, n, newest)
 
 
 def _direction(time: str, newest: bool) -> Column:
@@ -86,50 +82,39 @@ def _ranked(rows: DataFrame, keys: list[str], order: Column, quota: Column) -> D
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= quota).select(*rows.columns)
 
 
-def _by_buckets(
-    rows: DataFrame,
-    identifier: str,
-    time: str,
-    n: int,
-    newest: bool,
-    totals: DataFrame | None = None,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
-) -> DataFrame:
-    """Exact for any ``n``, without ever ranking a whole identifier.
+def time_bucket(time: str) -> Column:
+    return F.col(time) - F.pmod(F.col(time), F.lit(BUCKET_MS))
+
 
-    Identifiers with at most ``n`` records are kept as they are. For the others, records are
-    counted per time bucket to find the one in which the n-th lies: buckets beyond that cut
-    are kept whole, and only the records of the cut bucket are ranked.
+def running_before(identifier: str, size: str, newest: bool) -> Column:
+    """Records of the identifier in buckets further out than this row's.
+
+    The running sum sees one row per identifier and bucket, so its length is bounded by the time
+    span of the data, not by its amount.
     """
-    bucket = F.col(time) - F.pmod(F.col(time), F.lit(BUCKET_MS))
-    keyed = rows.withColumn("identifier", F.col(identifier)).withColumn("_bucket", bucket)
-    if totals is None:
-        totals = record_totals(rows, identifier)
-    long = totals.filter(F.col("rows") > F.lit(n)).select("identifier")
-    cuts = durable(_cuts(join_facts(keyed, long, totals, limit_bytes=limit_bytes), n, newest))
-
-    placed = join_facts(keyed, cuts, totals, how="left", limit_bytes=limit_bytes)
-    outside = F.col("_bucket") > F.col("_cut") if newest else F.col("_bucket") < F.col("_cut")
-    whole = placed.filter(F.col("_cut").isNull() | outside)
-    partial = placed.filter(F.col("_bucket") == F.col("_cut"))
-    partial = _ranked(partial, ["identifier"], _direction(time, newest), F.lit(n) - F.col("_beyond"))
-    return whole.select(*rows.columns).unionByName(partial.select(*rows.columns))
-
-
-def _cuts(keyed: DataFrame, n: int, newest: bool) -> DataFrame:
-    """Per identifier, the bucket of the n-th record and how many records lie beyond it.
-
-    The running sum sees one row per identifier and bucket, so its length is bounded by the
-    time span of the data, not by its amount.
+    outward = Window.partitionBy(identifier).orderBy(_direction("_bucket", newest))
+    return F.sum(size).over(outward.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(size)
+
+
+def _by_buckets(rows: DataFrame, identifier: str, time: str, n: int, newest: bool) -> DataFrame:
+    """Exact for any ``n``, without ever ranking a whole identifier.
+
+    Records are counted per identifier and time bucket; buckets that begin before n records are
+    reached are wanted. Rows meet them on (identifier, bucket), of which none is large however hot
+    the identifier. Buckets that end before n are kept whole, only the last one is ranked.
     """
-    sizes = keyed.groupBy("identifier", "_bucket").agg(F.count("*").alias("_size"))
-    outward = Window.partitionBy("identifier").orderBy(_direction("_bucket", newest))
-    so_far = outward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    beyond = F.sum("_size").over(so_far) - F.col("_size")
-    # Walking inward, the cut is the last bucket before which n records were not reached yet.
-    return (
-        sizes.withColumn("_beyond", beyond)
-        .filter(F.col("_beyond") < F.lit(n))
-        .groupBy("identifier")
-        .agg((F.min if newest else F.max)("_bucket").alias("_cut"), F.max("_beyond").alias("_beyond"))
+    keyed = rows.withColumn("_identifier", F.col(identifier)).withColumn("_bucket", time_bucket(time))
+    sizes = keyed.groupBy("_identifier", "_bucket").agg(F.count("*").alias("_size"))
+    wanted = sizes.withColumn("_beyond", running_before("_identifier", "_size", newest)).filter(
+        F.col("_beyond") < F.lit(n)
+    )
+    placed = keyed.join(
+        wanted.select("_identifier", "_bucket", (F.lit(n) - F.col("_beyond")).alias("_quota"), "_size"),
+        ["_identifier", "_bucket"],
     )
+    # Already distributed by (identifier, bucket): ranking inside a bucket needs no other shuffle.
+    rank = F.row_number().over(Window.partitionBy("_identifier", "_bucket").orderBy(_direction(time, newest)))
+    whole = placed.filter(F.col("_size") <= F.col("_quota"))
+    cut = placed.filter(F.col("_size") > F.col("_quota")).withColumn("_rank", rank)
+    cut = cut.filter(F.col("_rank") <= F.col("_quota"))
+    return whole.select(*rows.columns).unionByName(cut.select(*rows.columns))

@@ -19,3 +19,15 @@ def last_write(rows: DataFrame, keys: Sequence[str], arrival: Sequence[str]) ->
     payload = [c for c in rows.columns if c not in keys]
     winners = rows.groupBy(*keys).agg(*(F.max_by(c, order).alias(c) for c in payload))
     return winners.select(*rows.columns)
+
+
+def one_write(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key where nothing says which was written last: copies collapse, different rows are an error."""
+    payload = [c for c in rows.columns if c not in keys]
+    digest = F.xxhash64(*payload)
+    grouped = rows.groupBy(*keys).agg(
+        F.min(digest).alias("_low"), F.max(digest).alias("_high"), *(F.max_by(c, digest).alias(c) for c in payload)
+    )
+    message = F.lit(f"Several rows for one key ({', '.join(keys)}) and no arrival columns to order them.")
+    checked = grouped.filter(F.when(F.col("_low") == F.col("_high"), True).otherwise(F.raise_error(message).cast("boolean")))
+    return checked.select(*rows.columns)

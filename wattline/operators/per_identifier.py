@@ -11,8 +11,9 @@ from wattline.session import ensure_checkpoint_dir
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 ROW_BYTES = 160
 
-# An identifier with more than 1/HOT_SHARE of all rows counts as hot: fewer than HOT_SHARE exist.
-HOT_SHARE = 1000
+# An identifier counts as hot from 1/HOT_SPLIT of an average shuffle partition on; there are at
+# most HOT_SPLIT times as many hot identifiers as partitions.
+HOT_SPLIT = 4
 
 
 def durable(facts: DataFrame) -> DataFrame:
@@ -40,15 +41,16 @@ def join_facts(
     """Join ``rows`` with durable ``facts`` (at most one per identifier); ``how`` is inner or left.
 
     Facts within the size limit are broadcast: the rows are not shuffled at all. Beyond it,
-    only what concerns hot identifiers is broadcast (fewer than ``HOT_SHARE`` of them, whatever
-    the data), and the remaining rows, none of whose identifiers is large, are shuffled.
+    only what concerns hot identifiers is broadcast (a few per shuffle partition, whatever the
+    data), and the remaining rows, none of whose identifiers fills a partition, are shuffled.
     ``totals`` holds (identifier, rows) for every identifier.
     """
     if fits_broadcast(facts, limit_bytes):
         return rows.join(F.broadcast(facts), "identifier", how)
 
     everything = totals.agg(F.sum("rows")).first()[0]
-    hot = totals.filter(F.col("rows") * F.lit(HOT_SHARE) > F.lit(everything)).select("identifier")
+    shares = HOT_SPLIT * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = totals.filter(F.col("rows") * F.lit(shares) > F.lit(everything)).select("identifier")
     hot_facts = facts.join(F.broadcast(hot), "identifier", "left_semi")
     hot_rows = rows.join(F.broadcast(hot), "identifier", "left_semi")
     other_rows = rows.join(F.broadcast(hot), "identifier", "left_anti")

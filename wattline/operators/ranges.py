@@ -13,7 +13,7 @@ from wattline.series import Series
 
 def identifiers(series: Series) -> DataFrame:
     """Every identifier that has a record."""
-    return series.records.select(F.col(series.identifier).alias("identifier")).distinct()
+    return series.restricted().select(F.col(series.identifier).alias("identifier")).distinct()
 
 
 def records(
@@ -52,7 +52,7 @@ def count(
 
 def total_count(series: Series) -> DataFrame:
     """All records, as one row."""
-    return series.records.agg(F.count("*").alias("count"))
+    return series.restricted().agg(F.count("*").alias("count"))
 
 
 def named(series: Series, identifiers: str | Sequence[str]) -> DataFrame:

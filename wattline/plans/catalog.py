@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.functions.numeric import nan_aware_min
 from wattline.history import PowerHistory
 from wattline.operators import ends, quality, ranges, reconcile
-from wattline.operators.distribution import distribution
+from wattline.operators.distribution import distribution, value_ranges
 from wattline.operators.last_write import last_write
 from wattline.operators.trend import trend
 from wattline.operators.windows import combined_power, power_from_aggregated, tumbling_windows
@@ -20,8 +19,9 @@ from wattline.restriction import TimeRestriction
 from wattline.schemas import AGGREGATED_POWER, RAW_POWER
 from wattline.series import Series
 from wattline.session import new_work_dir
-from wattline.sources.readers import file_stream
-from wattline.sources.table import KeyedTable
+from wattline.sources import folders
+from wattline.sources.readers import file_stream, text_records
+from wattline.sources.table import TARGET_FILE_BYTES, KeyedTable
 from wattline.streaming.topology import HistoryTopology
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,19 @@ def comparable(windows: DataFrame) -> DataFrame:
     return rounded(windows, "mean", "populationVariance")
 
 
+def exact_hourly(spark: SparkSession, sf_dir: str, identifier: str = "user_id") -> DataFrame:
+    return tumbling_windows(tables.events_raw(spark, sf_dir, identifier=identifier), HOUR_MS)
+
+
 def hourly(spark: SparkSession, sf_dir: str, identifier: str = "user_id") -> DataFrame:
-    return comparable(tumbling_windows(tables.events_raw(spark, sf_dir, identifier=identifier), HOUR_MS))
+    return comparable(exact_hourly(spark, sf_dir, identifier))
+
+
+def stored(spark: SparkSession, rows: DataFrame, purpose: str) -> DataFrame:
+    """Computed once, for queries that look at it several times."""
+    path = new_work_dir(spark, purpose)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def raw_series(spark: SparkSession, sf_dir: str, restriction=TimeRestriction()) -> Series:
@@ -75,12 +86,13 @@ def grouped_series(spark: SparkSession, sf_dir: str) -> Series:
 
 
 def windowed_series(spark: SparkSession, sf_dir: str) -> Series:
-    return Series.windowed(hourly(spark, sf_dir))
+    """Windows with all their digits; results are cut to comparable precision at the end."""
+    return Series.windowed(exact_hourly(spark, sf_dir))
 
 
 def stored_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.lineitem_raw(spark, sf_dir, arrival=True)
-    return last_write(rows, ["identifier", "timestamp"], tables.LINEITEM_ARRIVAL).select(*RAW_POWER.names)
+    return last_write(rows, ["identifier", "timestamp"], [tables.LINEITEM_ARRIVAL]).select(*RAW_POWER.names)
 
 
 # -- AGG1, AGG2, PRJ2, STR1: tumbling windows ------------------------------------------------
@@ -193,7 +205,8 @@ def range_aggregated(spark, sf_dir):
 
 @registered
 def range_windowed(spark, sf_dir):
-    return ranges.records(windowed_series(spark, sf_dir), TimeRestriction(from_=FIRST_HOUR, to=LAST))
+    restriction = TimeRestriction(from_=FIRST_HOUR, to=LAST)
+    return comparable(ranges.records(windowed_series(spark, sf_dir), restriction))
 
 
 @registered
@@ -233,7 +246,7 @@ def latest_aggregated(spark, sf_dir):
 
 @registered
 def latest_windowed(spark, sf_dir):
-    return ends.latest(windowed_series(spark, sf_dir), count=5)
+    return comparable(ends.latest(windowed_series(spark, sf_dir), count=5))
 
 
 @registered
@@ -301,12 +314,8 @@ def trend_stored_lineitem(spark, sf_dir):
 @registered
 def value_range(spark, sf_dir):
     """Smallest and largest value, as the distribution determines them."""
-    return (
-        raw_series(spark, sf_dir)
-        .values()
-        .groupBy("identifier")
-        .agg(nan_aware_min(F.col("value")).alias("min"), F.max("value").alias("max"))
-    )
+    found = value_ranges(raw_series(spark, sf_dir).values())
+    return found.select("identifier", F.col("low").alias("min"), F.col("high").alias("max"))
 
 
 @registered
@@ -338,12 +347,13 @@ def distribution_aggregated(spark, sf_dir):
 
 @registered
 def distribution_windowed(spark, sf_dir):
-    return distribution(windowed_series(spark, sf_dir))
+    """Here precision is cut before: in which bucket a mean falls is a yes or no of its last digit."""
+    return distribution(Series.windowed(hourly(spark, sf_dir)), keep_values=True)
 
 
 @registered
 def distribution_stored_lineitem(spark, sf_dir):
-    return distribution(Series.raw(stored_lineitem(spark, sf_dir)), buckets=10)
+    return distribution(Series.raw(stored_lineitem(spark, sf_dir)), buckets=10, keep_values=True)
 
 
 # -- Q7, Q8, AGG3, AGG4: counts --------------------------------------------------------------
@@ -394,15 +404,21 @@ def upsert_latest(spark, sf_dir):
 
 
 def _lineitem_in_batches(spark, sf_dir) -> KeyedTable:
-    """Line items written in four batches by order key, later batches overwriting earlier ones."""
+    """Line items written in four batches in order of arrival, later batches overwriting earlier ones.
+
+    One pass deals the rows out to batches; each batch then reads its own folder.
+    """
     table = KeyedTable(new_work_dir(spark, "lineitem"), RAW_POWER, "timestamp", period_ms=365 * DAY_MS)
     rows = tables.lineitem_raw(spark, sf_dir, arrival=True)
-    largest = rows.agg(F.max("l_orderkey")).first()[0]
-    step = largest // 4 + 1
-    for batch in range(4):
-        lower = F.lit(batch * step)
-        share = rows.filter((F.col("l_orderkey") >= lower) & (F.col("l_orderkey") < lower + F.lit(step)))
-        table.write_batch(share, batch, arrival=tables.LINEITEM_ARRIVAL, range_partitions=8)
+    largest = rows.agg(F.max(tables.LINEITEM_ARRIVAL)).first()[0] or 0
+    staged = new_work_dir(spark, "lineitem-batches")
+    batch = F.call_function("div", F.col(tables.LINEITEM_ARRIVAL), F.lit(largest // 4 + 1)).cast("int")
+    rows.withColumn("batch", batch).write.partitionBy("batch").parquet(staged)
+    for number in range(4):
+        if folders.exists(spark, f"{staged}/batch={number}"):
+            share = spark.read.schema(rows.schema).parquet(f"{staged}/batch={number}")
+            files = -(-folders.size_bytes(spark, f"{staged}/batch={number}") // TARGET_FILE_BYTES)
+            table.write_batch(share, number, arrival=[tables.LINEITEM_ARRIVAL], range_partitions=max(1, files))
     return table
 
 
@@ -411,6 +427,19 @@ def upsert_stored(spark, sf_dir):
     return _lineitem_in_batches(spark, sf_dir).read(spark)
 
 
+@registered
+def upsert_late_rows(spark, sf_dir):
+    """All resolved line items, and then a few corrections, which are looked up in them by key."""
+    table = KeyedTable(new_work_dir(spark, "corrected"), RAW_POWER, "timestamp", period_ms=365 * DAY_MS)
+    table.write_batch(stored_lineitem(spark, sf_dir), 0, unique=True)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter((F.col("l_quantity") <= 1) & (F.col("l_discount") == 0))
+    corrections = lines.groupBy(
+        F.col("l_suppkey").cast("string").alias("identifier"), tables.epoch_ms(F.col("l_shipdate")).alias("timestamp")
+    ).agg((-F.max("l_extendedprice")).alias("valueInW"))
+    table.write_batch(corrections, 1, unique=True)
+    return table.read(spark)
+
+
 @registered
 def upsert_stored_aggregated(spark, sf_dir):
     """Group records written twice: hour by hour as first seen, then all of them again."""
@@ -425,8 +454,8 @@ def upsert_stored_aggregated(spark, sf_dir):
 @registered
 def ttl_view(spark, sf_dir):
     """Hourly windows, written every ten days, seen when the earliest batch has expired."""
-    table = KeyedTable(new_work_dir(spark, "expiring"), hourly(spark, sf_dir).schema, "startTimestamp")
-    windows = hourly(spark, sf_dir)
+    windows = stored(spark, hourly(spark, sf_dir), "windows")
+    table = KeyedTable(new_work_dir(spark, "expiring"), windows.schema, "startTimestamp")
     bounds = windows.agg(F.min("startTimestamp"), F.max("startTimestamp")).first()
     step = 10 * DAY_MS
     for batch, begin in enumerate(range(bounds[0] // step * step, bounds[1] + 1, step)):
@@ -458,6 +487,19 @@ def quarantine_rejected(spark, sf_dir):
     return quality.rejected(_damaged(spark, sf_dir))
 
 
+@registered
+def quarantine_text(spark, sf_dir):
+    """Events as CSV lines, some with a field too many and some with a time that is no number."""
+    rows = tables.events_raw(spark, sf_dir)
+    damage = F.when(F.col("valueInW") < 50.0, ",more").otherwise("")
+    time = F.when(F.col("valueInW") > 450.0, F.lit("soon")).otherwise(F.col("timestamp").cast("string"))
+    lines = rows.select(F.concat_ws(",", "identifier", time, "valueInW").alias("line"), damage.alias("damage"))
+    folder = new_work_dir(spark, "lines")
+    lines.select(F.concat("line", "damage").alias("value")).write.text(folder)
+    rejected = quality.rejected(text_records(spark, folder, RAW_POWER, "csv"))
+    return rejected.select(F.col(quality.CORRUPT).alias("line"), quality.REASON)
+
+
 # -- Q10: reconciliation ---------------------------------------------------------------------
 
 
@@ -489,7 +531,6 @@ def _run_once(spark, sf_dir, part: str, resolution: Resolution | None = None, gr
         groups,
         f"{work}/checkpoints",
         trigger={"availableNow": True},
-        arrival=["arrival"] if part == "raw" else None,
         name=work.rsplit("/", 1)[-1],
     )
     if part == "windows":
@@ -539,10 +580,160 @@ def stream_aggregated_store(spark, sf_dir):
     return _run_once(spark, sf_dir, "aggregated", grouped=True).aggregated(spark).records
 
 
+# -- several micro-batches: files that arrive one after the other ----------------------------
+
+BATCHES = 6
+LATE_MS = 20 * DAY_MS
+A_LITTLE_LATE_MS = 6 * HOUR_MS
+
+
+def _with_batches(spark, sf_dir) -> DataFrame:
+    """Events in ``BATCHES`` groups by arrival."""
+    tables.use_utc(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    batch = F.call_function("div", F.col("event_id"), F.lit(last // BATCHES + 1)).cast("int")
+    return events.select(
+        F.col("user_id").cast("string").alias("identifier"),
+        tables.epoch_ms(F.col("ts")).alias("timestamp"),
+        F.col("value").alias("valueInW"),
+        F.col("event_id").alias("arrival"),
+        batch.alias("batch"),
+        "event_type",
+    )
+
+
+def _late(rows: DataFrame) -> DataFrame:
+    """In the last group, clicks come weeks too late and views some hours."""
+    last = F.col("batch") == BATCHES - 1
+    delay = F.when(last & (F.col("event_type") == "click"), LATE_MS).when(
+        last & (F.col("event_type") == "view"), A_LITTLE_LATE_MS
+    )
+    return rows.withColumn("timestamp", F.col("timestamp") - F.coalesce(delay, F.lit(0)))
+
+
+def _run_batches(spark, sf_dir, rows: DataFrame, part: str) -> PowerHistory:
+    """Drain one file per group, each in a micro-batch of its own.
+
+    With both inputs (``all``) there is one micro-batch: the sums of the whole month come in one file,
+    and one clock covers both inputs, so that events after it would be late.
+    """
+    work = new_work_dir(spark, "batches")
+    staged = stored(spark, rows.select("identifier", "timestamp", "valueInW", "arrival", "batch"), "staged")
+    history = PowerHistory(f"{work}/tables", default_resolutions())
+    folders.create(spark, f"{work}/raw")
+    schema = staged.drop("batch").schema
+    numbers = [row["batch"] for row in staged.select("batch").distinct().orderBy("batch").collect()]
+    for number in numbers:  # a handful, as many as BATCHES
+        share = staged.filter(F.col("batch") == number).drop("batch")
+        share.coalesce(1).write.mode("append").parquet(f"{work}/raw")
+    grouped = f"{work}/groups"
+    tables.events_grouped(spark, sf_dir).write.parquet(grouped)
+    topology = HistoryTopology(
+        history,
+        file_stream(spark, f"{work}/raw", schema, max_files_per_trigger=None if part == "all" else 1),
+        file_stream(spark, grouped, AGGREGATED_POWER) if part == "all" else None,
+        f"{work}/checkpoints",
+        trigger={"availableNow": True},
+        name=work.rsplit("/", 1)[-1],
+    )
+    if part == "all":
+        running = topology.start()
+    elif part == "windows":
+        running = [topology.start_windows(_resolution("hourly"))]
+    else:
+        running = [topology.start_raw_store()]
+    for query in running:
+        query.awaitTermination()
+    return history
+
+
+@registered
+def stream_windowed_late(spark, sf_dir):
+    """Hours late is counted; weeks late is dropped, as its window was closed in an earlier micro-batch."""
+    history = _run_batches(spark, sf_dir, _late(_with_batches(spark, sf_dir)), "windows")
+    return comparable(history.windowed(spark, "hourly").records)
+
+
+@registered
+def stream_change_feed_updates(spark, sf_dir):
+    """How often each window was published, and with how many records at last."""
+    history = _run_batches(spark, sf_dir, _with_batches(spark, sf_dir), "windows")
+    feed = spark.read.parquet(history.feed_folder(_resolution("hourly")))
+    return feed.groupBy("identifier", "startTimestamp").agg(
+        F.count("*").alias("published"), F.max_by("count", "batch_id").alias("count")
+    )
+
+
 @registered
 def stream_reconciliation(spark, sf_dir):
-    history = _run_once(spark, sf_dir, "raw")
-    batches = spark.read.parquet(history.received_folder())
-    received = batches.groupBy("identifier").agg(F.sum("received").alias("received"))
-    stored = ranges.count(history.raw(spark)).withColumnRenamed("count", "stored")
-    return reconcile.reconcile_counts(received, stored)
+    """The third group arrives twice: received again, but stored once."""
+    rows = _with_batches(spark, sf_dir)
+    again = rows.filter(F.col("batch") == 2).withColumn("batch", F.lit(BATCHES))
+    history = _run_batches(spark, sf_dir, rows.unionByName(again), "raw")
+    stored_rows = ranges.count(history.raw(spark)).withColumnRenamed("count", "stored")
+    return reconcile.reconcile_counts(history.received(spark), stored_rows)
+
+
+@registered
+def stream_topology(spark, sf_dir):
+    """Both stores and all resolutions at once: records and sums of every series."""
+    history = _run_batches(spark, sf_dir, _with_batches(spark, sf_dir), "all")
+    series = {"raw": history.raw(spark), "aggregated": history.aggregated(spark)}
+    series |= {r.api: history.windowed(spark, r.api, as_of_ms=0) for r in history.resolutions}
+    parts = [
+        s.restricted().groupBy("identifier").agg(F.count("*").alias("records")).withColumn("series", F.lit(name))
+        for name, s in series.items()
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result.select("series", "identifier", "records")
+
+
+# -- last write wins, for both inputs --------------------------------------------------------
+
+
+@registered
+def stream_raw_store_overwrites(spark, sf_dir):
+    """Line items of a key arrive from the dearest to the cheapest; the cheapest is kept."""
+    tables.use_utc(spark)
+    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    lines = file_stream(spark, sf_dir, schema, glob="lineitem.parquet")
+    raw = lines.select(
+        F.col("l_suppkey").cast("string").alias("identifier"),
+        tables.epoch_ms(F.col("l_shipdate")).alias("timestamp"),
+        F.col("l_extendedprice").alias("valueInW"),
+        (-F.round(F.col("l_extendedprice") * 100)).cast("long").alias("cheapness"),
+    )
+    work = new_work_dir(spark, "overwrites")
+    history = PowerHistory(f"{work}/tables", [], period_ms=365 * DAY_MS)
+    name = work.rsplit("/", 1)[-1]
+    topology = HistoryTopology(
+        history, raw, None, f"{work}/c", trigger={"availableNow": True}, raw_arrival=["cheapness"], name=name
+    )
+    topology.start_raw_store().awaitTermination()
+    return history.raw(spark).records
+
+
+@registered
+def stream_aggregated_store_overwrites(spark, sf_dir):
+    """Group records of a key arrive in falling order of their count; the smallest is kept."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    tables.use_utc(spark)
+    groups = lines.groupBy(
+        F.col("l_returnflag").alias("identifier"), tables.epoch_ms(F.col("l_shipdate")).alias("timestamp"), "l_linenumber"
+    ).agg(F.count("*").alias("count"))
+    work = new_work_dir(spark, "overwrites")
+    groups.select(
+        "identifier", "timestamp", "count", F.col("l_linenumber").cast("double").alias("sumInW"),
+        F.lit(0.0).alias("averageInW"), (-(F.col("count") * 8 + F.col("l_linenumber"))).cast("long").alias("order"),
+    ).write.parquet(f"{work}/groups")
+    schema = spark.read.parquet(f"{work}/groups").schema
+    history = PowerHistory(f"{work}/tables", [], period_ms=365 * DAY_MS)
+    topology = HistoryTopology(
+        history, tables.events_stream(spark, sf_dir), file_stream(spark, f"{work}/groups", schema), f"{work}/c",
+        trigger={"availableNow": True}, aggregated_arrival=["order"], name=work.rsplit("/", 1)[-1],
+    )
+    topology.start_aggregated_store().awaitTermination()
+    return history.aggregated(spark).records

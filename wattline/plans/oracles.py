@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from wattline.plans import catalog
-from wattline.plans.catalog import AS_OF, DAY_MS, FIRST_HOUR, HOUR_MS, LAST, LATER, MINUTE_MS, TTL_MS
-from wattline.plans.tables import LINEITEM_ARRIVAL
+from wattline.plans.catalog import (
+    A_LITTLE_LATE_MS,
+    AS_OF,
+    BATCHES,
+    DAY_MS,
+    FIRST_HOUR,
+    HOUR_MS,
+    LAST,
+    LATER,
+    MINUTE_MS,
+    TTL_MS,
+)
 
 
 def _single(value: str) -> str:
@@ -27,26 +39,27 @@ GROUPED = f"""
 LINEITEM = """
     SELECT CAST(l_suppkey AS VARCHAR) AS identifier, epoch_us(l_shipdate) // 1000 AS "timestamp",
            l_extendedprice AS "valueInW" FROM lineitem"""
-STORED_LINEITEM = f"""
+STORED_LINEITEM = """
     SELECT identifier, "timestamp", "valueInW" FROM (
         SELECT CAST(l_suppkey AS VARCHAR) AS identifier, epoch_us(l_shipdate) // 1000 AS "timestamp",
                l_extendedprice AS "valueInW",
                row_number() OVER (PARTITION BY l_suppkey, l_shipdate
-                                  ORDER BY {", ".join(c + " DESC" for c in LINEITEM_ARRIVAL)}) AS recency
+                                  ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) AS recency
         FROM lineitem) WHERE recency = 1"""
 COMBINED = f'{DENSE} UNION ALL SELECT identifier, "timestamp", "sumInW" AS "valueInW" FROM ({GROUPED})'
 
 
-def _windows(source: str, size: int) -> str:
+def _windows(source: str, size: int, cut: Callable[[str], str] = _single) -> str:
     return f"""
     SELECT identifier, "timestamp" // {size} * {size} AS "startTimestamp",
            "timestamp" // {size} * {size} + {size} AS "endTimestamp", count(*) AS "count",
-           {_single('avg("valueInW")')} AS mean, {_single('var_pop("valueInW")')} AS "populationVariance",
+           {cut('avg("valueInW")')} AS mean, {cut('var_pop("valueInW")')} AS "populationVariance",
            min("valueInW") AS "min", max("valueInW") AS "max"
     FROM ({source}) GROUP BY ALL"""
 
 
 HOURLY = _windows(RAW, HOUR_MS)
+EXACT_HOURLY = _windows(RAW, HOUR_MS, cut=lambda value: value)
 
 
 def _where(source: str, condition: str) -> str:
@@ -103,7 +116,7 @@ def _distribution(source: str, value: str, n: int) -> str:
         SELECT identifier, CAST(b AS INTEGER) AS bucket, {bound.format("b")} AS lower,
                {bound.format("b + 1")} AS upper
         FROM ranges, unnest(range({n})) AS t(b))
-    SELECT k.identifier, k.bucket, k.lower, k.upper, CAST(coalesce(c.elements, 0) AS INTEGER) AS elements
+    SELECT k.identifier, k.bucket, k.lower, k.upper, CAST(coalesce(c.elements, 0) AS BIGINT) AS elements
     FROM skeleton k LEFT JOIN counts c ON k.identifier = c.identifier AND k.bucket = c.bucket"""
 
 
@@ -121,6 +134,16 @@ _REJECTED = f"""
                    WHEN "valueInW" IS NULL THEN 'missing valueInW' END AS reason
     FROM ({_DAMAGED})"""
 _BLOCK = 10 * DAY_MS
+_BATCHED = f"""
+    SELECT CAST(user_id AS VARCHAR) AS identifier, epoch_us(ts) // 1000 AS "timestamp", "value" AS "valueInW", event_type,
+           event_id // ((SELECT max(event_id) FROM events) // {BATCHES} + 1) AS batch
+    FROM events"""
+# Clicks of the last group are weeks late and dropped, views are some hours late and counted.
+_AFTER_DELAYS = f"""
+    SELECT identifier, "valueInW", CASE WHEN batch = {BATCHES - 1} AND event_type = 'view'
+                                        THEN "timestamp" - {A_LITTLE_LATE_MS} ELSE "timestamp" END AS "timestamp"
+    FROM ({_BATCHED}) WHERE NOT (batch = {BATCHES - 1} AND event_type = 'click')"""
+_RAW_AND_GROUPED = f'{RAW} UNION ALL SELECT identifier, "timestamp", "sumInW" AS "valueInW" FROM ({GROUPED})'
 
 ORACLES: dict[str, str] = {
     "windowed_minutely": _windows(RAW, MINUTE_MS),
@@ -158,7 +181,7 @@ ORACLES: dict[str, str] = {
     "trend_in_range": _trend(_where(RAW, _AFTER_IN_RANGE), "timestamp", "valueInW", 3),
     "trend_many_points": _trend(DENSE, "timestamp", "valueInW", 150),
     "trend_aggregated": _trend(GROUPED, "timestamp", "sumInW", 10),
-    "trend_windowed": _trend(HOURLY, "startTimestamp", "mean", 10),
+    "trend_windowed": _trend(EXACT_HOURLY, "startTimestamp", "mean", 10),
     "trend_stored_lineitem": _trend(STORED_LINEITEM, "timestamp", "valueInW", 10),
     "value_range": f'SELECT identifier, min("valueInW") AS "min", max("valueInW") AS "max" FROM ({RAW}) GROUP BY ALL',
     "distribution_raw": _distribution(RAW, "valueInW", 4),
@@ -177,10 +200,22 @@ ORACLES: dict[str, str] = {
     "total_count_stored_lineitem": _total(STORED_LINEITEM),
     "upsert_latest": STORED_LINEITEM,
     "upsert_stored": STORED_LINEITEM,
+    "upsert_late_rows": f"""
+        WITH corrections AS (
+            SELECT CAST(l_suppkey AS VARCHAR) AS identifier, epoch_us(l_shipdate) // 1000 AS "timestamp",
+                   -max(l_extendedprice) AS value
+            FROM lineitem WHERE l_quantity <= 1 AND l_discount = 0 GROUP BY ALL)
+        SELECT identifier, "timestamp", coalesce(value, "valueInW") AS "valueInW"
+        FROM ({STORED_LINEITEM}) LEFT JOIN corrections USING (identifier, "timestamp")""",
     "upsert_stored_aggregated": GROUPED,
     "ttl_view": _where(HOURLY, f'"startTimestamp" // {_BLOCK} * {_BLOCK} + {_BLOCK + TTL_MS} > {AS_OF}'),
     "quarantine_accepted": f"SELECT * EXCLUDE (reason) FROM ({_REJECTED}) WHERE reason IS NULL",
     "quarantine_rejected": _where(_REJECTED, "reason IS NOT NULL"),
+    "quarantine_text": f"""
+        SELECT concat_ws(',', identifier, CASE WHEN "valueInW" > 450.0 THEN 'soon' ELSE CAST("timestamp" AS VARCHAR) END,
+                         "valueInW") || CASE WHEN "valueInW" < 50.0 THEN ',more' ELSE '' END AS line,
+               'undecodable' AS reason
+        FROM ({RAW}) WHERE "valueInW" < 50.0 OR "valueInW" > 450.0""",
     "reconciliation": f"""
         SELECT identifier, received, stored, received - stored AS difference
         FROM (SELECT identifier, count(*) AS received FROM ({LINEITEM}) GROUP BY identifier)
@@ -195,10 +230,32 @@ ORACLES: dict[str, str] = {
     "stream_change_feed": HOURLY,
     "stream_raw_store": RAW,
     "stream_aggregated_store": GROUPED,
+    "stream_windowed_late": _windows(_AFTER_DELAYS, HOUR_MS),
+    "stream_change_feed_updates": f"""
+        SELECT identifier, "timestamp" // {HOUR_MS} * {HOUR_MS} AS "startTimestamp",
+               count(DISTINCT batch) AS published, count(*) AS "count"
+        FROM ({_BATCHED}) GROUP BY ALL""",
     "stream_reconciliation": f"""
-        SELECT identifier, count(*) AS received, count(DISTINCT "timestamp") AS stored,
-               count(*) - count(DISTINCT "timestamp") AS difference
-        FROM ({RAW}) GROUP BY identifier""",
+        SELECT identifier, count(*) + count(*) FILTER (WHERE batch = 2) AS received,
+               count(DISTINCT "timestamp") AS stored,
+               count(*) + count(*) FILTER (WHERE batch = 2) - count(DISTINCT "timestamp") AS difference
+        FROM ({_BATCHED}) GROUP BY identifier""",
+    "stream_topology": " UNION ALL ".join(
+        f"SELECT '{name}' AS series, identifier, count(*) AS records FROM ({source}) GROUP BY identifier"
+        for name, source in (
+            ("raw", RAW),
+            ("aggregated", GROUPED),
+            ("minutely", _windows(_RAW_AND_GROUPED, MINUTE_MS)),
+            ("hourly", _windows(_RAW_AND_GROUPED, HOUR_MS)),
+        )
+    ),
+    "stream_raw_store_overwrites": f"""
+        SELECT identifier, "timestamp", min("valueInW") AS "valueInW" FROM ({LINEITEM}) GROUP BY ALL""",
+    "stream_aggregated_store_overwrites": """
+        SELECT identifier, "timestamp", min(n) AS "count", CAST(arg_min(l_linenumber, n * 8 + l_linenumber) AS DOUBLE) AS "sumInW",
+               CAST(0 AS DOUBLE) AS "averageInW"
+        FROM (SELECT l_returnflag AS identifier, epoch_us(l_shipdate) // 1000 AS "timestamp", l_linenumber, count(*) AS n
+              FROM lineitem GROUP BY ALL) GROUP BY ALL""",
 }
 
 assert ORACLES.keys() == catalog.QUERIES.keys()

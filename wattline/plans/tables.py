@@ -3,7 +3,8 @@
     events    identifier = user, time = ts, value = value, arrival = event_id
               or, for dense windows, identifier = event type
     grouped   events summed per type and hour, as sensor-group records
-    lineitem  identifier = supplier, time = ship date, value = extended price; keys collide
+    lineitem  identifier = supplier, time = ship date, value = extended price; keys collide;
+              arrival = order, line and price in one number
 """
 
 from __future__ import annotations
@@ -27,19 +28,7 @@ EVENTS_SCHEMA = T.StructType(
     ]
 )
 
-LINEITEM_ARRIVAL = (
-    "l_orderkey",
-    "l_partkey",
-    "l_suppkey",
-    "l_linenumber",
-    "l_quantity",
-    "l_extendedprice",
-    "l_discount",
-    "l_tax",
-    "l_returnflag",
-    "l_linestatus",
-    "l_shipdate",
-)
+LINEITEM_ARRIVAL = "arrival"
 
 
 def epoch_ms(ts: Column) -> Column:
@@ -51,7 +40,8 @@ def single_precision(value: Column) -> Column:
     return value.cast("float").cast("double")
 
 
-def _use_utc(spark: SparkSession) -> None:
+def use_utc(spark: SparkSession) -> None:
+    """Wall-clock times of the tables are UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -90,7 +80,7 @@ def events_raw(
     restriction: TimeRestriction = UNRESTRICTED,
     identifier: str = "user_id",
 ) -> DataFrame:
-    _use_utc(spark)
+    use_utc(spark)
     events = in_native_time(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", restriction)
     return raw_from_events(events, identifier).drop("arrival")
 
@@ -99,14 +89,15 @@ def events_stream(spark: SparkSession, sf_dir: str, identifier: str = "user_id")
     """The events file as a file stream."""
     from wattline.sources.readers import file_stream
 
-    _use_utc(spark)
+    use_utc(spark)
     return raw_from_events(file_stream(spark, sf_dir, EVENTS_SCHEMA, glob="events.parquet"), identifier)
 
 
 def events_grouped(spark: SparkSession, sf_dir: str, restriction: TimeRestriction = UNRESTRICTED) -> DataFrame:
-    """Hourly sums per event type, without the last bits, which depend on the order of rows.
+    """Hourly sums per event type, as a given input: stored records have fixed values.
 
-    Values have two decimals, so rounding to six recovers their exact sum.
+    Their last bits depend on the order of rows. Values have two decimals, so rounding to six
+    recovers the exact sum; the average, which no query computes with, is cut to single precision.
     """
     rows = events_raw(spark, sf_dir, identifier="event_type")
     hour = (F.col("timestamp") - F.pmod(F.col("timestamp"), F.lit(HOUR_MS))).alias("timestamp")
@@ -119,12 +110,13 @@ def events_grouped(spark: SparkSession, sf_dir: str, restriction: TimeRestrictio
 
 
 def lineitem_raw(spark: SparkSession, sf_dir: str, arrival: bool = False) -> DataFrame:
-    """Line items as measurements; ``arrival`` keeps the columns that order them."""
-    _use_utc(spark)
+    """Line items as measurements; ``arrival`` adds the number that orders them."""
+    number = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000_000 + F.round(F.col("l_extendedprice") * 100)
+    use_utc(spark)
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return lines.select(
         F.col("l_suppkey").cast("string").alias("identifier"),
         epoch_ms(F.col("l_shipdate")).alias("timestamp"),
         F.col("l_extendedprice").alias("valueInW"),
-        *(LINEITEM_ARRIVAL if arrival else ()),
+        *([number.cast("long").alias(LINEITEM_ARRIVAL)] if arrival else ()),
     )

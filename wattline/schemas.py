@@ -1,7 +1,8 @@
-"""Fixed record schemas. All timestamps are epoch milliseconds kept as BIGINT."""
+"""Record schemas. All timestamps are epoch milliseconds kept as BIGINT."""
 
 from pyspark.sql import types as T
 
+# Names and types of the fields are a public contract.
 RAW_POWER = T.StructType(
     [
         T.StructField("identifier", T.StringType()),
@@ -32,3 +33,12 @@ WINDOWED_POWER = T.StructType(
         T.StructField("max", T.DoubleType()),
     ]
 )
+
+# Our own: records received per identifier and micro-batch.
+RECEIVED = T.StructType(
+    [
+        T.StructField("identifier", T.StringType()),
+        T.StructField("batch", T.LongType()),
+        T.StructField("received", T.LongType()),
+    ]
+)

@@ -45,8 +45,11 @@ class Series:
         restriction: TimeRestriction = UNRESTRICTED,
         identifiers: str | Sequence[str] | None = None,
     ) -> DataFrame:
-        """Matching records, unordered. Both filters are on stored columns and reach the scan."""
-        rows = self.records
+        """Matching records, unordered. Both filters are on stored columns and reach the scan.
+
+        Records without identifier or time belong to no series and are left out of every query.
+        """
+        rows = self.records.filter(F.col(self.identifier).isNotNull() & F.col(self.time).isNotNull())
         if isinstance(identifiers, str):
             rows = rows.filter(F.col(self.identifier) == identifiers)
         elif identifiers is not None:

@@ -35,7 +35,7 @@ def session(app_name: str = "wattline", **settings: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable folder the cluster names; a local one only for local masters without it."""
+    """The reliable folder the cluster names. Only a driver that does all the work itself may use its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -44,7 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current is not None:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that every executor can reach.")
     folder = tempfile.mkdtemp(prefix="wattline-")
     spark.sparkContext.setCheckpointDir(folder)

@@ -29,3 +29,8 @@ def size_bytes(spark: SparkSession, text: str) -> int:
 def remove(spark: SparkSession, text: str) -> None:
     file_system, path = _path(spark, text)
     file_system.delete(path, True)
+
+
+def create(spark: SparkSession, text: str) -> None:
+    file_system, path = _path(spark, text)
+    file_system.mkdirs(path)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CORRUPT = "_corrupt_record"
+from wattline.operators.quality import CORRUPT
+
+# What readers add to say in which order records were written.
+ARRIVAL = "arrival"
 
 
 def file_stream(
@@ -18,13 +21,29 @@ def file_stream(
     glob: str | None = None,
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Records arriving as files in a folder."""
+    """Records arriving as files in a folder.
+
+    A schema without ``arrival`` gets one: time and path of the file, and the place in it. JSON and CSV
+    lines that cannot be decoded are kept in ``_corrupt_record`` for the quarantine.
+    """
+    text = file_format in ("json", "csv")
+    if text:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     reader = spark.readStream.format(file_format).schema(schema)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(folder)
+    if text:
+        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    rows = reader.load(folder)
+    return rows if ARRIVAL in schema.names else rows.select("*", _file_arrival(file_format).alias(ARRIVAL))
+
+
+def _file_arrival(file_format: str) -> Column:
+    # Parquet numbers its rows; elsewhere the block is known, and order inside it is that of reading.
+    place = "row_index" if file_format == "parquet" else "file_block_start"
+    return F.struct("_metadata.file_modification_time", "_metadata.file_path", f"_metadata.{place}")
 
 
 def text_records(spark: SparkSession, folder: str, schema: T.StructType, file_format: str = "json") -> DataFrame:
@@ -50,10 +69,11 @@ def kafka_stream(
 ) -> DataFrame:
     """Records of a topic with String keys and Avro values.
 
-    Adds ``messageKey``, ``messageTimestamp`` (epoch ms) and ``arrival`` (the offset: keys
-    stay in one topic partition, so it orders the writes of a key). ``header_bytes`` is what
-    precedes the Avro body: 5 with a schema registry, 0 without. A value that cannot be decoded
-    becomes nulls, for the quarantine. Needs the Kafka and Avro packages.
+    Adds ``messageKey``, ``messageTimestamp`` (epoch ms) and ``arrival`` (time, partition and
+    offset, because a payload's identifier may come from several partitions). ``header_bytes`` is
+    what precedes the Avro body: 5 with a schema registry, 0 without, as ``kafka_feed`` writes. A
+    value that cannot be decoded is kept, in base 64, in ``_corrupt_record``. Needs the Kafka and
+    Avro packages.
     """
     from pyspark.sql.avro.functions import from_avro
 
@@ -72,7 +92,15 @@ def kafka_stream(
             from_avro(body, avro_schema, {"mode": "PERMISSIVE"}).alias("record"),
             F.col("key").cast("string").alias("messageKey"),
             F.unix_millis("timestamp").alias("messageTimestamp"),
-            F.col("offset").alias("arrival"),
+            F.struct("timestamp", "partition", "offset").alias(ARRIVAL),
+            F.col("value"),
+        )
+        .select(
+            "record.*",
+            "messageKey",
+            "messageTimestamp",
+            ARRIVAL,
+            # A permissive decoder gives a record of nulls for what it cannot read.
+            F.when(F.col("record").isNull() | F.col("record.identifier").isNull(), F.base64("value")).alias(CORRUPT),
         )
-        .select("record.*", "messageKey", "messageTimestamp", "arrival")
     )

@@ -15,20 +15,33 @@ Feed = Callable[[DataFrame, int], None]
 
 
 def file_feed(folder: str, file_format: str = "parquet") -> Feed:
+    """A folder per batch; a batch without rows leaves none."""
+
     def publish(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").format(file_format).save(f"{folder}/batch_id={batch_id}")
+        if not rows.isEmpty():
+            rows.write.mode("overwrite").format(file_format).save(
+                f"{folder}/batch_id={batch_id}"
+            )
 
     return publish
 
 
-def kafka_feed(servers: str, topic: str, avro_schema: str) -> Feed:
-    """Avro values keyed by identifier. Needs the Kafka and Avro packages."""
+# Precedes an Avro body where a schema registry is used: a zero and the number of the schema.
+REGISTRY_HEADER = b"\x00\x00\x00\x00\x00"
+
+
+def kafka_feed(servers: str, topic: str, avro_schema: str, *, header: bytes = REGISTRY_HEADER) -> Feed:
+    """Avro values keyed by identifier, after ``header``, which is as long as the reader expects by default.
+
+    Needs the Kafka and Avro packages.
+    """
 
     def publish(rows: DataFrame, batch_id: int) -> None:
         from pyspark.sql.avro.functions import to_avro
 
         rows.select(
-            F.col("identifier").alias("key"), to_avro(F.struct(*rows.columns), avro_schema).alias("value")
+            F.col("identifier").alias("key"),
+            F.concat(F.lit(header), to_avro(F.struct(*rows.columns), avro_schema)).alias("value"),
         ).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
     return publish

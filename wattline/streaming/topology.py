@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from wattline.history import PowerHistory
-from wattline.operators.quality import accepted, rejected
+from wattline.operators.quality import REASON, accepted, reason_for
 from wattline.operators.windows import combined_power
 from wattline.resolution import Resolution
 from wattline.sources import folders
+from wattline.sources.readers import ARRIVAL
 from wattline.sources.table import KeyedTable
 from wattline.streaming.feeds import Feed, file_feed
 from wattline.streaming.windows import windowed_stream
 
 ROWS_PER_FILE = 1_000_000
 
+_POSITION = "_position"
+
 AGGREGATED_VALUES = ("count", "sumInW", "averageInW")
 
 
@@ -35,7 +38,9 @@ class HistoryTopology:
     count or store anything twice.
 
     ``event_time`` and ``key`` name the columns windows use; with Kafka these may be the message
-    timestamp and key. ``arrival`` orders records of one key within a micro-batch.
+    timestamp and key. ``raw_arrival`` and ``aggregated_arrival`` name the columns that order
+    records of one key within a micro-batch, the last one being kept; by default the column ``arrival``
+    that the readers supply. A stream without any must not have different records for one key.
     """
 
     def __init__(
@@ -46,7 +51,8 @@ class HistoryTopology:
         checkpoints: str,
         *,
         trigger: Mapping[str, object] | None = None,
-        arrival: Sequence[str] | None = None,
+        raw_arrival: Sequence[str] | None = None,
+        aggregated_arrival: Sequence[str] | None = None,
         key: str = "identifier",
         event_time: str = "timestamp",
         feeds: Mapping[str, Feed] | None = None,
@@ -58,7 +64,8 @@ class HistoryTopology:
         self.aggregated = aggregated
         self.checkpoints = checkpoints.rstrip("/")
         self.trigger = dict(trigger or {"processingTime": "1 second"})
-        self.arrival = arrival
+        self.raw_arrival = raw_arrival
+        self.aggregated_arrival = aggregated_arrival
         self.key = key
         self.event_time = event_time
         self.feeds = dict(feeds or {})
@@ -73,13 +80,13 @@ class HistoryTopology:
         return queries + [self.start_windows(r) for r in self.history.resolutions]
 
     def start_raw_store(self) -> StreamingQuery:
-        return self._start_store(
-            "raw", self.raw, self.history.raw_table, ("valueInW",), self.history.received_folder()
-        )
+        received = self.history.received_table
+        return self._start_store("raw", self.raw, self.history.raw_table, ("valueInW",), self.raw_arrival, received)
 
     def start_aggregated_store(self) -> StreamingQuery:
+        table = self.history.aggregated_table
         return self._start_store(
-            "aggregated", self.aggregated, self.history.aggregated_table, AGGREGATED_VALUES, None
+            "aggregated", self.aggregated, table, AGGREGATED_VALUES, self.aggregated_arrival, None
         )
 
     def start_windows(self, resolution: Resolution) -> StreamingQuery:
@@ -111,9 +118,8 @@ class HistoryTopology:
         """The combined series, with the columns windows group by in identifier and timestamp."""
 
         def prepared(rows: DataFrame, required: Sequence[str]) -> DataFrame:
-            good = accepted(rows, required=required)
-            grouped = good.withColumns({"identifier": F.col(self.key), "timestamp": F.col(self.event_time)})
-            return accepted(grouped, required=required)
+            good = accepted(rows, time=self.event_time, required=required, identifier=self.key)
+            return good.withColumns({"identifier": F.col(self.key), "timestamp": F.col(self.event_time)})
 
         raw = prepared(self.raw, ("valueInW",))
         if self.aggregated is None:
@@ -126,18 +132,26 @@ class HistoryTopology:
         stream: DataFrame,
         table: KeyedTable,
         required: Sequence[str],
-        received_folder: str | None,
+        arrival: Sequence[str] | None,
+        received: KeyedTable | None,
     ) -> StreamingQuery:
         rejected_feed = file_feed(self.history.rejected_folder(name))
-        received_feed = None if received_folder is None else file_feed(received_folder)
+        order = list(arrival) if arrival else [ARRIVAL] if ARRIVAL in stream.columns else None
+        if order and any("file_block_start" in stream.select(c).schema.simpleString() for c in order):
+            order.append(_POSITION)
 
         def write(rows: DataFrame, batch_id: int) -> None:
+            rows = rows.withColumn(_POSITION, F.monotonically_increasing_id())  # places inside blocks of text files
             rows.persist()
             try:
-                table.write_batch(accepted(rows, required=required), batch_id, arrival=self.arrival)
-                rejected_feed(rejected(rows, required=required), batch_id)
-                if received_feed is not None:
-                    received_feed(rows.groupBy("identifier").agg(F.count("*").alias("received")), batch_id)
+                if rows.isEmpty():
+                    return
+                table.write_batch(accepted(rows, required=required), batch_id, arrival=order)
+                rejected_feed(self._rejected(rows.drop(_POSITION), required), batch_id)
+                if received is not None:
+                    counts = rows.groupBy("identifier").agg(F.count("*").alias("received"))
+                    counts = counts.withColumn("batch", F.lit(batch_id).cast("long")).select(*received.schema.names)
+                    received.write_batch(counts.coalesce(1), batch_id, unique=True)
             finally:
                 rows.unpersist()
 
@@ -149,6 +163,13 @@ class HistoryTopology:
         )
         return self._start(observed.writeStream.foreachBatch(write), f"{name}-store", table)
 
+    def _rejected(self, rows: DataFrame, required: Sequence[str]) -> DataFrame:
+        """Records that the store, or only the windows, cannot use, with the reason."""
+        stored = reason_for(rows, required=required)
+        windowed = reason_for(rows, time=self.event_time, required=required, identifier=self.key)
+        reason = F.coalesce(stored, F.concat(F.lit("not in windows: "), windowed))
+        return rows.withColumn(REASON, reason).filter(F.col(REASON).isNotNull())
+
     def _start(self, writer: DataStreamWriter, name: str, table: KeyedTable) -> StreamingQuery:
         checkpoint = f"{self.checkpoints}/{name}"
         spark = self.raw.sparkSession
