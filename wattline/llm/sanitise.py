@@ -7,8 +7,9 @@ tells who is meant: with document counts over the whole corpus,
 
 which is 1 when the term stands only beside the entity and 0 when it is independent of it. In
 documents that mention the entity, terms beyond one threshold are removed and beyond a lower one
-generalised. Copies of one mention prove nothing, so a term counts only with several
-independent mentions: mentions with different surroundings. Only built-in functions are used.
+generalised. Copies of one mention prove nothing, however many there are and even if some are edited,
+so a term counts only with several independent mentions: with n(c) documents in which the entity has the
+surroundings c, their effective number is (sum of n) ** 2 / sum of n ** 2. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ PATTERNS = {
 # What a text must contain for a pattern to have a chance; cheap to test.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: Independent mentions of an entity, each with the term, before the term may count.
-WITNESSES = 3
+#: Effective number of independent mentions of an entity, with the term, before the term may count.
+WITNESSES = 4.0
 #: Disclosure from which a term is removed, and from which it is generalised.
 REMOVE, GENERALISE = 0.8, 0.6
 #: Characters on either side that tell one mention from a copy of another.
-SURROUNDING = 40
+SURROUNDING = 12
 
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
@@ -108,7 +109,13 @@ def entity_of(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], written)
 
 
-def disclosing_terms(docs: DataFrame, *, witnesses: int = WITNESSES, generalise: float = GENERALISE):
+def _effective(n: str) -> Column:
+    """Effective number of groups of sizes ``n``: their own number if all are equal, 1 if one holds nearly all."""
+    size = F.col(n).cast("double")
+    return F.sum(size) * F.sum(size) / F.sum(size * size)
+
+
+def disclosing_terms(docs: DataFrame, *, witnesses: float = WITNESSES, generalise: float = GENERALISE):
     """(mentions, terms): key and entity of each mention; entity, term and disclosure from ``generalise`` on.
 
     ``docs`` has key and text. All documents count. An entity in all documents tells nothing apart
@@ -124,8 +131,8 @@ def disclosing_terms(docs: DataFrame, *, witnesses: int = WITNESSES, generalise:
     mentions = stored(mentions.groupBy("key", "entity").agg(F.min("context").alias("context")), "pii-mentions")
 
     known = mentions.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(
-        F.sum("n").alias("n_entity"), F.count("*").alias("contexts")
-    ).filter(F.col("contexts") >= witnesses).select("entity", "n_entity")
+        F.sum("n").alias("n_entity"), _effective("n").alias("mentions")
+    ).filter(F.col("mentions") >= witnesses).select("entity", "n_entity")
     known = stored(known, "pii-entities")
     side = F.broadcast(known) if small_enough(known, 300) else known
     relevant = stored(mentions.join(side.select("entity"), "entity", "left_semi"), "pii-relevant")
@@ -139,8 +146,8 @@ def disclosing_terms(docs: DataFrame, *, witnesses: int = WITNESSES, generalise:
         .select("o.entity", "o.context", F.explode("terms").alias("term"))
         .filter(~F.contains("entity", F.col("term")))
         .groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
-        .filter(F.col("contexts") >= witnesses)
+        .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), _effective("n").alias("mentions"))
+        .filter(F.col("mentions") >= witnesses)
     )
     together = stored(together, "pii-together")
     wanted = stored(together.select("term").distinct(), "pii-terms")
@@ -161,7 +168,7 @@ def disclosing_terms(docs: DataFrame, *, witnesses: int = WITNESSES, generalise:
     return relevant, scored
 
 
-def with_spans(docs: DataFrame, *, witnesses: int = WITNESSES, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+def with_spans(docs: DataFrame, *, witnesses: float = WITNESSES, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """row (all columns of ``docs``), ``base`` and ``extra`` (arrays of (kind, start, end, value)) for each row.
 
     ``docs`` has doc_id, text and any others. ``extra`` are the disclosing terms, of kind ``removed`` or ``general``, outside base spans. Null
