@@ -32,13 +32,15 @@ def test_equals_sql(spark, name):
     assert_same(QUERIES[name](spark, SF_DIR).toPandas(), connect(SF_DIR).sql(ORACLES[name]).df())
 
 
-def test_quality_on_held_out_rows(spark, texts, labels):
-    rows = result(spark, "op1_quality_classifier")
-    assert rows.keys() == texts.keys()
+def test_quality_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"  # the smallest table has some ten documents of class 0
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist()}
+    rows = {r["doc_id"]: r for r in QUERIES["op1_quality_classifier"](spark, folder).collect()}
+    assert rows.keys() == set(pq.read_table(f"{folder}/documents.parquet")["doc_id"].to_pylist())
     held = [i for i in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert {i for i, r in rows.items() if r["held_out"]} == set(held)
     judged = [i for i in held if i in labels]
-    assert sum(rows[i]["predicted"] == labels[i] for i in judged) >= 0.9 * len(judged)
+    assert sum(rows[i]["predicted"] == labels[i] for i in judged) >= 0.95 * len(judged)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows.values())
 
 
