@@ -107,7 +107,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     full = named.filter("full").select(
         F.col("record_id").alias("refers_to"), F.col("headers").alias("stored"), "payload_bytes"
     ).dropDuplicates(["refers_to"])
-    met = revisits.join(full, "refers_to", "left")
+    # Revisits that refer to nothing stay out of the join: their null keys would all meet in one task.
+    lost = revisits.filter(F.col("refers_to").isNull())
+    for name in ("stored", "payload_bytes"):
+        lost = lost.withColumn(name, F.lit(None).cast(full.schema[name].dataType))
+    met = revisits.filter(F.col("refers_to").isNotNull()).join(full, "refers_to").unionByName(lost)
     agree = validators_agree(F.col("stored"), F.col("headers"))
     outcome = (
         F.when(F.col("canonical_url").isNull(), "no url")
