@@ -217,6 +217,33 @@ def test_members_outside_the_main_class_are_compared(documents):
     assert {r["class_id"] for r in found} == {0}
 
 
+def test_edited_copies_whose_original_has_the_largest_id(documents):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(304)]
+    texts = []
+    for c in range(220):
+        edited = list(base)
+        for at in rng.sample(range(5, 299, 6), 5):
+            edited[at] = f"x{c}y{at}"
+        texts.append(" ".join(edited))
+    found = nd.near_duplicates(documents([*texts, " ".join(base)])).collect()
+    assert {r["class_id"] for r in found} == {0}
+
+
+def test_pairs_among_texts_that_share_a_passage(documents):
+    """Each pair is similar, all texts share most of their words, and no leader is of the same pair."""
+    passage = [f"p{i}" for i in range(200)]
+    texts = {}
+    for c in range(60):
+        own = [f"o{c}w{i}" for i in range(100)]
+        texts[c] = " ".join(passage + own)
+        texts[100 + c] = " ".join(passage + own[:-8] + [f"e{c}w{i}" for i in range(8)])
+    rows = [(i, t, "s") for i, t in texts.items()]
+    frame = documents([t for _, t, _ in sorted(rows)])
+    found = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(frame).collect()}
+    assert found == {i: i % 60 for i in range(120)}
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)]
