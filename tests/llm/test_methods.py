@@ -272,3 +272,20 @@ def test_terms_that_disclose_an_entity(documents):
         assert "fleet" not in words and "the" not in words
     assert all(rows[i]["extra"] == [] for i in range(5, len(texts)))
     assert [s["kind"] for s in rows[50]["base"]] == ["email"]
+
+
+def test_many_edited_copies_do_not_hide_independent_mentions(documents):
+    rng = random.Random(10)
+    prose = lambda n: " ".join(f"v{rng.randrange(5000)}" for _ in range(n))
+    texts = [f"{prose(20)} Zebulon {prose(9)} zeb@ships.org {prose(20)}" for _ in range(6)]
+    words = f"{prose(30)} Zebulon {prose(9)} zeb@ships.org {prose(30)}".split()
+    lone = f"{prose(30)} Quirinus {prose(9)} lone@ships.org {prose(30)}".split()
+    for template in (words, lone):
+        for c in range(60):
+            edited = list(template)
+            edited[rng.choice([3, 15, 24, 50, 65])] = f"x{c}"
+            texts.append(" ".join(edited))
+    texts += [prose(60) for _ in range(200)]
+    extra = {r["row"]["doc_id"]: {s["value"] for s in r["extra"]} for r in with_spans(documents(texts)).collect()}
+    assert all("Zebulon" in extra[i] for i in range(66))
+    assert all(extra[i] == set() for i in range(66, len(texts)))

@@ -8,8 +8,9 @@ tells who is meant: with document counts over the whole corpus,
 which is 1 when the term stands only beside the entity and 0 when it is independent of it. In
 documents that mention the entity, terms beyond one threshold are removed and beyond a lower one
 generalised. Copies of one mention prove nothing, however many there are and even if some are edited,
-so a term counts only with several independent mentions: with n(c) documents in which the entity has the
-surroundings c, their effective number is (sum of n) ** 2 / sum of n ** 2. Only built-in functions are used.
+so a term counts only with several independent mentions. Mentions whose surrounding words are the same or
+nearly so, directly or through others, are one (shared bands of minima over pairs of neighbouring words);
+document counts are over all documents. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm.common import WORD_ANY_CASE, lower_ascii, small_enough, stored
+from wattline.llm.components import connected_components
 from wattline.llm.decontaminate import words_of
 
 # The kinds and patterns of the contract, in its order. Possessive repeats and the
@@ -32,12 +34,14 @@ PATTERNS = {
 # What a text must contain for a pattern to have a chance; cheap to test.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: Effective number of independent mentions of an entity, with the term, before the term may count.
-WITNESSES = 4.0
+#: Independent mentions of an entity, with the term, before the term may count.
+WITNESSES = 3
 #: Disclosure from which a term is removed, and from which it is generalised.
 REMOVE, GENERALISE = 0.8, 0.6
-#: Characters on either side that tell one mention from a copy of another.
-SURROUNDING = 12
+#: Words on either side, and characters in which they are looked for, that tell one mention from a copy of another.
+SURROUNDING, WITHIN = 12, 160
+#: Minima in bands: copies that have 0.7 of their pairs of words in common share a band with probability 0.96.
+BANDS, ROWS = 8, 3
 
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
@@ -109,10 +113,38 @@ def entity_of(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], written)
 
 
-def _effective(n: str) -> Column:
-    """Effective number of groups of sizes ``n``: their own number if all are equal, 1 if one holds nearly all."""
-    size = F.col(n).cast("double")
-    return F.sum(size) * F.sum(size) / F.sum(size * size)
+def _surroundings(text: Column, span: Column) -> Column:
+    """Pairs of neighbouring words around a span; the span itself counts as one word."""
+    begin = F.greatest(span["start"] - WITHIN + 1, F.lit(1))
+    before = words_of(F.substring(text, begin, F.least(span["start"], F.lit(WITHIN))))
+    after = F.slice(words_of(F.substring(text, span["end"] + 1, F.lit(WITHIN))), 1, SURROUNDING)
+    before = F.slice(before, F.greatest(F.size(before) - SURROUNDING + 1, F.lit(1)), SURROUNDING)
+    words = F.transform(F.concat(before, F.array(F.lit("|")), after), lower_ascii)
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _independent(mentions: DataFrame, witnesses: float) -> DataFrame:
+    """entity, context, group for the entities with enough groups of contexts that are not copies of each other.
+
+    ``mentions`` has entity, context (a hash) and pairs (of words).
+    """
+    each = mentions.groupBy("entity", "context").agg(F.first("pairs").alias("pairs"))
+    enough = each.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= witnesses).select("entity")
+    node = F.xxhash64("entity", "context").alias("node")
+    each = stored(each.join(enough, "entity").select("entity", "context", node, "pairs"), "pii-contexts")
+
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform("pairs", lambda p: F.xxhash64(p, F.lit(seed))))
+
+    bands = F.array(*(F.xxhash64(F.lit(b), *(least(b * ROWS + r) for r in range(ROWS))) for b in range(BANDS)))
+    keyed = stored(each.select("entity", "node", F.explode(bands).alias("band")), "pii-bands")
+    first = keyed.groupBy("entity", "band").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter(F.col("a") < F.col("z"))
+    edges = keyed.join(first.select("entity", "band", "a"), ["entity", "band"]).filter(F.col("a") < F.col("node"))
+    edges = stored(edges.select("a", F.col("node").alias("b")).distinct(), "pii-copies")
+    if edges.isEmpty():
+        return each.select("entity", "context", F.col("node").alias("group"))
+    groups = connected_components(edges)
+    return each.join(groups, "node", "left").select("entity", "context", F.coalesce("component", "node").alias("group"))
 
 
 def disclosing_terms(docs: DataFrame, *, witnesses: float = WITNESSES, generalise: float = GENERALISE):
@@ -122,31 +154,30 @@ def disclosing_terms(docs: DataFrame, *, witnesses: float = WITNESSES, generalis
     and is left out, as is a term that is part of the entity's own text.
     """
     spotted = docs.select("key", "text", base_spans(F.col("text")).alias("base")).filter(F.size("base") > 0)
-    around = lambda s: F.xxhash64(
-        F.substring(F.col("text"), F.greatest(s["start"] - SURROUNDING + 1, F.lit(1)), F.least(s["start"], F.lit(SURROUNDING))),
-        F.substring(F.col("text"), s["end"] + 1, F.lit(SURROUNDING)),
-    )
-    each = F.explode(F.transform("base", lambda s: F.struct(entity_of(s).alias("entity"), around(s).alias("context"))))
-    mentions = spotted.select("key", each.alias("m")).select("key", "m.entity", "m.context")
-    mentions = stored(mentions.groupBy("key", "entity").agg(F.min("context").alias("context")), "pii-mentions")
-
-    known = mentions.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(
-        F.sum("n").alias("n_entity"), _effective("n").alias("mentions")
-    ).filter(F.col("mentions") >= witnesses).select("entity", "n_entity")
+    named = lambda s: F.struct(entity_of(s).alias("entity"), s["start"].alias("start"), _surroundings(F.col("text"), s).alias("pairs"))
+    each = F.explode(F.transform("base", named))
+    mentions = spotted.select("key", each.alias("m")).select("key", "m.*")
+    mentions = mentions.groupBy("key", "entity").agg(F.min_by("pairs", F.struct("start", "pairs")).alias("pairs"))
+    mentions = stored(mentions.withColumn("context", F.xxhash64("pairs")), "pii-mentions")
+
+    groups = stored(_independent(mentions, witnesses), "pii-groups")
+    several = groups.groupBy("entity").agg(F.countDistinct("group").alias("n")).filter(F.col("n") >= witnesses).select("entity")
+    known = mentions.join(several, "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_entity"))
     known = stored(known, "pii-entities")
     side = F.broadcast(known) if small_enough(known, 300) else known
-    relevant = stored(mentions.join(side.select("entity"), "entity", "left_semi"), "pii-relevant")
+    relevant = mentions.select("key", "entity", "context").join(side.select("entity"), "entity", "left_semi")
+    relevant = stored(relevant.join(groups, ["entity", "context"]).select("key", "entity", "group"), "pii-relevant")
 
-    by_document = relevant.groupBy("key").agg(F.collect_set(F.struct("entity", "context")).alias("of"))
+    by_document = relevant.groupBy("key").agg(F.collect_set(F.struct("entity", "group")).alias("of"))
     by_document = stored(by_document, "pii-documents")
     near = F.broadcast(by_document) if small_enough(by_document, 500) else by_document
     terms = F.array_distinct(F.transform(words_of(F.col("text")), lower_ascii))
     together = (
         docs.join(near, "key").select(F.explode("of").alias("o"), terms.alias("terms"))
-        .select("o.entity", "o.context", F.explode("terms").alias("term"))
+        .select("o.entity", "o.group", F.explode("terms").alias("term"))
         .filter(~F.contains("entity", F.col("term")))
-        .groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), _effective("n").alias("mentions"))
+        .groupBy("entity", "term", "group").agg(F.count("*").alias("n"))
+        .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("mentions"))
         .filter(F.col("mentions") >= witnesses)
     )
     together = stored(together, "pii-together")
