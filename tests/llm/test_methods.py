@@ -289,3 +289,14 @@ def test_many_edited_copies_do_not_hide_independent_mentions(documents):
     extra = {r["row"]["doc_id"]: {s["value"] for s in r["extra"]} for r in with_spans(documents(texts)).collect()}
     assert all("Zebulon" in extra[i] for i in range(66))
     assert all(extra[i] == set() for i in range(66, len(texts)))
+
+
+def test_words_of_an_entity_disclose_it_elsewhere(documents):
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"v{rng.randrange(5000)}" for _ in range(n))
+    texts = [f"{prose(20)} John {prose(9)} john.smith@x.org {prose(20)} Smith {prose(3)}" for _ in range(6)]
+    texts += [prose(60) for _ in range(200)]
+    rows = with_spans(documents(texts)).collect()
+    for r in rows:
+        expected = {"John", "Smith"} if r["row"]["doc_id"] < 6 else set()
+        assert {s["value"] for s in r["extra"] if s["kind"] == "removed"} == expected

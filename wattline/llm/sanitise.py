@@ -151,7 +151,7 @@ def disclosing_terms(docs: DataFrame, *, witnesses: float = WITNESSES, generalis
     """(mentions, terms): key and entity of each mention; entity, term and disclosure from ``generalise`` on.
 
     ``docs`` has key and text. All documents count. An entity in all documents tells nothing apart
-    and is left out, as is a term that is part of the entity's own text.
+    and is left out. Words of the entity's own text are terms like others.
     """
     spotted = docs.select("key", "text", base_spans(F.col("text")).alias("base")).filter(F.size("base") > 0)
     named = lambda s: F.struct(entity_of(s).alias("entity"), s["start"].alias("start"), _surroundings(F.col("text"), s).alias("pairs"))
@@ -175,7 +175,6 @@ def disclosing_terms(docs: DataFrame, *, witnesses: float = WITNESSES, generalis
     together = (
         docs.join(near, "key").select(F.explode("of").alias("o"), terms.alias("terms"))
         .select("o.entity", "o.group", F.explode("terms").alias("term"))
-        .filter(~F.contains("entity", F.col("term")))
         .groupBy("entity", "term", "group").agg(F.count("*").alias("n"))
         .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("mentions"))
         .filter(F.col("mentions") >= witnesses)
