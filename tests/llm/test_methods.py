@@ -139,6 +139,17 @@ def test_constant_text_outside_a_main_region_is_no_content():
     assert hw.extract(pages[0], frozenset(hw.content_paths(whole))).endswith("a\na text")
 
 
+def test_attributes_beyond_long_class_lists():
+    many = " ".join(f"u-{c}" for c in "abcdefghijklmnopqrstuvwxyz" * 2)
+    page = (
+        f"<body><div class='{many}' id='sidebar'>side</div><div class='{many}' role=navigation>go</div>"
+        f"<div class='{many}' role=main><div class='{many} x'>one</div><div class='{many} y promo'>buy</div></div>outside</body>"
+    )
+    keys = {event[1] for event in hw.walk(page) if event[0] == "open"}
+    assert len(keys) == 6 and max(map(len, keys)) <= 120
+    assert hw.extract(page, frozenset(hw.content_paths(hw.page_wrapper(page)))) == "one"
+
+
 def test_phrases_and_proximity(spark, documents):
     rng = random.Random(5)
     vocabulary = ["a", "b", "c", "D", "é", "É"]

@@ -33,6 +33,8 @@ GROUP = "()"
 LONGEST_PERIOD = 4
 #: Siblings in a wrapper beyond which their order is given up.
 LONGEST_SEQUENCE = 24
+#: Characters of an element's key beyond which a digest stands for it.
+LONGEST_KEY = 120
 #: Hosts whose partial wrappers a task keeps before it passes them on.
 HELD_HOSTS = 2000
 SALTS = 64
@@ -117,7 +119,16 @@ def key_of(name: str, data: str) -> str:
         return name
     names = [f"{kind.lower()}={value.strip('\"').strip(chr(39))}" for kind, value in _NAMES.findall(data)]
     # Numbers in names count items; they do not make another kind of element.
-    return re.sub(r"\d+", "0", " ".join([name, *sorted(names)]))[:120] if names else name
+    key = re.sub(r"\d+", "0", " ".join([name, *sorted(names)])) if names else name
+    return key if len(key) <= LONGEST_KEY else _short(key)
+
+
+def _short(key: str) -> str:
+    """A key by its digest, in digits, with what tells whether the element is aside or a main region."""
+    digest = int.from_bytes(blake2b(key.encode(), digest_size=8).digest(), "big")
+    aside = min(_words(key.partition(" ")[2]) & ASIDE_WORDS, default=None)
+    marks = [*([f"class={aside}"] if aside else []), *(["role=main"] if is_main(key) else [])]
+    return " ".join([key.partition(" ")[0], f"#{digest}", *marks])
 
 
 @dataclass
@@ -332,12 +343,15 @@ def _join_neighbours(children: list[Element]) -> list[Element]:
     return out
 
 
+def _words(names: str) -> set[str]:
+    return set(re.split(r"[^a-z]+", re.sub(r"\b(class|id|role)=", " ", names).lower()))
+
+
 def is_aside(key: str, inside_main: bool) -> bool:
     name, _, names = key.partition(" ")
     if name in ASIDE_TAGS or (name == "header" and not inside_main):
         return True
-    words = set(re.split(r"[^a-z]+", re.sub(r"\b(class|id|role)=", " ", names).lower()))
-    return not words.isdisjoint(ASIDE_WORDS) and name not in ("html", "body", "article", "main")
+    return not _words(names).isdisjoint(ASIDE_WORDS) and name not in ("html", "body", "article", "main")
 
 
 def is_main(key: str) -> bool:
