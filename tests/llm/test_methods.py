@@ -139,6 +139,20 @@ def test_constant_text_outside_a_main_region_is_no_content():
     assert hw.extract(pages[0], frozenset(hw.content_paths(whole))).endswith("a\na text")
 
 
+def test_a_host_with_and_without_main_regions(spark):
+    bare = "<body><nav><a>menu</a></nav><div class=top><p>Site</p></div><div class=body><h1>{0}</h1><p>{0} text</p></div></body>"
+    main = "<body><nav><a>menu</a></nav><div class=top><p>Site</p></div><article><h1>{0}</h1><p>{0} text</p></article></body>"
+    pages = [(f"{kind}{t}", f"https://h.org/{t}", page.format(t)) for kind, page in (("b", bare), ("m", main)) for t in "abc"]
+    pages += [("lone", "https://l.org/x", bare.format("x")), *((f"l{t}", "https://l.org/y", main.format(t)) for t in "yz")]
+    pages += [("empty", "https://h.org/e", "<body><div class=body><p>note</p></div><main></main></body>")]
+    rows = hw.main_text(spark.createDataFrame(pages, "page_id string, url string, html string")).collect()
+    found = {r["page_id"]: r["text"] for r in rows}
+    for t in "abc":
+        assert found[f"b{t}"] == found[f"m{t}"] == f"{t}\n{t} text"
+    assert found["lone"] == "x\nx text"
+    assert found["ly"] == "y\ny text" and found["empty"] == ""
+
+
 def test_attributes_beyond_long_class_lists():
     many = " ".join(f"u-{c}" for c in "abcdefghijklmnopqrstuvwxyz" * 2)
     page = (

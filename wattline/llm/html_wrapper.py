@@ -7,7 +7,7 @@ elements that only some pages have become optional, texts that differ become slo
 of two wrappers is a wrapper, so tasks infer from their own pages and partial wrappers are merged,
 first within salted parts of a host, then per host; every page takes part.
 
-The wrapper says which slots hold the article: those inside an article or main region, and without
+The wrapper says which slots hold the article: those inside an article or main region, and for pages without
 one those whose text differs from page to page; in neither case what is navigation, header, footer,
 sidebar, notice, advert, form, script, style or reader comment.
 """
@@ -359,32 +359,63 @@ def is_main(key: str) -> bool:
     return name in MAIN_TAGS or "role=main" in names
 
 
-def slots(wrapper: Element) -> Iterator[tuple[str, bool, bool, bool]]:
-    """(path of the parent element, whether in a main region, whether aside, whether its text differs) of each slot."""
-    todo = [(wrapper, "", False, False)]
+def slots(wrapper: Element) -> Iterator[tuple[str, bool, bool, bool, bool]]:
+    """(path of the parent element, whether in a main region, aside, of differing text, not on all pages) of each slot."""
+    todo = [(wrapper, "", False, False, False)]
     while todo:
-        node, path, main, aside = todo.pop()
+        node, path, main, aside, optional = todo.pop()
         for child in node.children:
+            rare = optional or child.optional
             if child.key == TEXT:
-                yield path, main, aside, child.constant is None
+                yield path, main, aside, child.constant is None, rare
             elif child.key == GROUP:
-                todo.append((child, path, main, aside))
+                todo.append((child, path, main, aside, rare))
             else:
                 inside = main or is_main(child.key)
-                todo.append((child, f"{path}>{child.key}", inside, aside or is_aside(child.key, main)))
+                todo.append((child, f"{path}>{child.key}", inside, aside or is_aside(child.key, main), rare))
 
 
 def content_paths(wrapper: Element) -> list[str]:
-    """Paths of the elements whose own text belongs to the article."""
-    found = list(slots(wrapper))
-    usable = [slot for slot in found if not slot[2]]
-    if any(main for _, main, _, _ in usable):
-        chosen = [slot for slot in usable if slot[1]]
-    elif any(differs for _, _, _, differs in usable):
-        chosen = [slot for slot in usable if slot[3]]
-    else:
-        chosen = usable
-    return sorted({path for path, *_ in chosen})
+    """Paths of the elements whose own text belongs to the article, of pages with a main region if there are any."""
+    main, other, _ = page_paths(wrapper)
+    return main or other
+
+
+def page_paths(wrapper: Element) -> tuple[list[str], list[str], list[str]]:
+    """Paths of the elements whose own text belongs to the article: of pages with a main region, of those without, and
+
+    of those without for which the second has nothing: if they are few, their text may differ from no other.
+    Then what is not on all pages counts.
+    """
+    usable = [slot for slot in slots(wrapper) if not slot[2]]
+    main = {slot[0] for slot in usable if slot[1]}
+    outside = [slot for slot in usable if not slot[1]]
+    differing = {slot[0] for slot in outside if slot[3]}
+    if not main:
+        return [], sorted(differing or {slot[0] for slot in outside}), []
+    rest = {slot[0] for slot in outside if slot[4]} or {slot[0] for slot in outside}
+    return sorted(main), sorted(differing - main), sorted(rest - main)
+
+
+def has_main(page: str) -> bool:
+    """Whether a page has a main region that is not aside."""
+    aside = [False]
+    for event in walk(page):
+        if event[0] == "open":
+            aside.append(aside[-1] or is_aside(event[1], False))
+            if not aside[-1] and is_main(event[1]):
+                return True
+        elif event[0] == "close":
+            aside.pop()
+    return False
+
+
+def page_text(page: str, main: frozenset[str], other: frozenset[str], rest: frozenset[str]) -> str:
+    """The article of a page, from its main region if it has one."""
+    text = extract(page, main) if main else ""
+    if text or (main and has_main(page)):
+        return text
+    return (extract(page, other) if other else "") or (extract(page, rest) if rest else "")
 
 
 def extract(page: str, content: frozenset[str]) -> str:
@@ -428,7 +459,7 @@ def _rows(found: dict[str, Element]) -> pa.RecordBatch:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """host, wrapper (packed), expression, content (paths as JSON) from host, html of all pages."""
+    """host, wrapper (packed), expression, content (three lists of paths as JSON) from host, html of all pages."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Element] = {}
@@ -461,7 +492,7 @@ def infer(pages: DataFrame) -> DataFrame:
         for batch in batches:
             wrappers = [Element.unpack(json.loads(p)) for p in batch.column("wrapper").to_pylist()]
             expressions = pa.array(["".join(map(str, w.children)) for w in wrappers], pa.string())
-            contents = pa.array([json.dumps(content_paths(w)) for w in wrappers], pa.string())
+            contents = pa.array([json.dumps(page_paths(w)) for w in wrappers], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("host"), batch.column("wrapper"), expressions, contents],
                 ["host", "wrapper", "expression", "content"],
@@ -487,15 +518,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     told = rows.join(side, "host", "left").select("page_id", "url", "html", "content")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, frozenset[str]] = {}
+        known: dict[str | None, tuple[frozenset[str], ...]] = {}
         for batch in slices(batches, 64):
             texts = []
             for page, content in zip(batch.column("html").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if content not in known:
                     if len(known) > HELD_HOSTS:
                         known.clear()
-                    known[content] = frozenset(json.loads(content or "[]"))
-                texts.append(extract(page or "", known[content]))
+                    known[content] = tuple(map(frozenset, json.loads(content or "[[],[],[]]")))
+                texts.append(page_text(page or "", *known[content]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
