@@ -11,6 +11,7 @@ from wattline.llm import (
     license_index,
     mixing,
     near_duplicates,
+    periodic_runs,
     quality_qda,
     sanitise,
     token_prefix,
@@ -57,10 +58,11 @@ def operators(spark):
         "near": near_duplicates.near_duplicates,
         "personal": sanitise.personal_data,
         "sanitise": sanitise.sanitise,
+        "runs": periodic_runs.periodic_runs,
     }
 
 
-NAMES = "quality tokens license rules mix contamination near personal sanitise".split()
+NAMES = "quality tokens license rules mix contamination near personal sanitise runs".split()
 
 
 @pytest.mark.parametrize("name", NAMES)

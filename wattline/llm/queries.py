@@ -14,13 +14,19 @@ from wattline.llm.html_wrapper import main_text
 from wattline.llm.license_index import license_scan
 from wattline.llm.mixing import mix
 from wattline.llm.near_duplicates import near_duplicates
+from wattline.llm.periodic_runs import periodic_runs
 from wattline.llm.quality_qda import quality_scores
 from wattline.llm.sanitise import personal_data
+from wattline.llm.token_grammar import read_token_files, write_token_files
 from wattline.llm.token_prefix import prefix_counts, total_tokens
 from wattline.llm.warc_revisit import ORACLE_SQL as WARC_SQL
 from wattline.llm.warc_revisit import crawl_records, header_lines, resolve_revisits
+from wattline.llm.whitening import whitened
+from wattline.session import new_work_dir
 
 TOKEN_LIMIT = 2048
+# The id that closes a document in token files.
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +85,53 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def _with_cycles(documents: DataFrame) -> DataFrame:
+    """doc_id, text: in a tenth of the documents, all words from one on repeat the first few of them in turn."""
+    digest = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda word: word != "")
+    parts = documents.select("doc_id", "text", F.when(digest % 10 == 0, words).alias("words"))
+    n, g = F.size("words").cast("long"), F.floor(digest / 10)
+    parts = parts.withColumns({"n": n, "a": F.when(n > 0, g % n), "g": g})
+    p = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    parts = parts.withColumn("p", p.cast("int")).withColumn("a", F.col("a").cast("int"))
+    rest = F.col("n").cast("int") - F.col("a")
+    cycle = F.slice("words", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    changed = F.concat_ws(" ", F.slice("words", F.lit(1), F.col("a")), tail)
+    return parts.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_with_cycles(table(spark, sf_dir, "documents")))
+    longer = "run.length * best.period > best.length * run.period"
+    best = F.expr(f"aggregate(slice(runs, 2, size(runs)), runs[0], (best, run) -> CASE WHEN {longer} THEN run ELSE best END)")
+    lines = F.transform("runs", lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")))
+    return found.withColumn("best", F.when(F.size("runs") > 0, best)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_work_dir(spark, "token-files")
+    write_token_files(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=END_ID
+    )
+    return read_token_files(spark, folder).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -92,6 +145,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_near_duplicates,
         op10_personal_data,
+        op11_periodic_runs,
+        op12_token_files,
+        op13_embedding_whitening,
     )
 }
 ORACLES: dict[str, str] = {"op3_revisits": WARC_SQL}
