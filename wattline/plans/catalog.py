@@ -737,3 +737,6 @@ def stream_aggregated_store_overwrites(spark, sf_dir):
     )
     topology.start_aggregated_store().awaitTermination()
     return history.aggregated(spark).records
+
+
+from wattline.plans import incremental  # noqa: E402, F401  registers its queries

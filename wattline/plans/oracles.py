@@ -17,6 +17,7 @@ from wattline.plans.catalog import (
     MINUTE_MS,
     TTL_MS,
 )
+from wattline.plans.incremental import DELAY_EVERY, DELAY_SHARE
 
 
 def _single(value: str) -> str:
@@ -144,6 +145,17 @@ _AFTER_DELAYS = f"""
                                         THEN "timestamp" - {A_LITTLE_LATE_MS} ELSE "timestamp" END AS "timestamp"
     FROM ({_BATCHED}) WHERE NOT (batch = {BATCHES - 1} AND event_type = 'click')"""
 _RAW_AND_GROUPED = f'{RAW} UNION ALL SELECT identifier, "timestamp", "sumInW" AS "valueInW" FROM ({GROUPED})'
+_LAST_EVENT = "(SELECT max(event_id) FROM events)"
+_DISORDERED = f"""
+    SELECT event_type AS identifier, epoch_us(ts) // 1000 AS "timestamp", "value" AS "valueInW",
+           event_id * 2 + event_id % 2
+           + CASE WHEN event_id % {DELAY_EVERY} = 0 THEN {_LAST_EVENT} // {DELAY_SHARE} ELSE 0 END * 2 AS arrival
+    FROM events"""
+_JUDGED_VALUES = f"""
+    SELECT *, "timestamp" // {HOUR_MS} * {HOUR_MS} + {DAY_MS} <= "streamTime" AS late
+    FROM (SELECT *, max("timestamp") OVER (ORDER BY arrival, "timestamp" ROWS UNBOUNDED PRECEDING) AS "streamTime"
+          FROM ({_DISORDERED}))"""
+_JUDGED = f'SELECT identifier, "timestamp", arrival, "streamTime", late FROM ({_JUDGED_VALUES})'
 
 ORACLES: dict[str, str] = {
     "windowed_minutely": _windows(RAW, MINUTE_MS),
@@ -257,5 +269,39 @@ ORACLES: dict[str, str] = {
         FROM (SELECT l_returnflag AS identifier, epoch_us(l_shipdate) // 1000 AS "timestamp", l_linenumber, count(*) AS n
               FROM lineitem GROUP BY ALL) GROUP BY ALL""",
 }
+ORACLES |= {
+    "windows_merged": HOURLY,
+    "windows_merged_daily_lineitem": f"""
+        SELECT identifier, "startTimestamp", "endTimestamp", "count",
+               round({_single("mean")}, 2) AS mean, "populationVariance"
+        FROM ({_windows(LINEITEM, DAY_MS)})""",
+    "late_by_record_clock": _JUDGED,
+    "windowed_by_record_clock": _windows(f"SELECT * FROM ({_JUDGED_VALUES}) WHERE NOT late", HOUR_MS),
+    "total_count_from_summaries": _total(RAW),
+    "value_range_from_summaries": f"""
+        SELECT identifier, min(v) AS "min", max(v) AS "max"
+        FROM (SELECT identifier, CASE WHEN batch = 0 THEN -"valueInW" ELSE "valueInW" END AS v FROM ({_BATCHED}))
+        GROUP BY identifier""",
+    "count_in_range_from_summaries": _count(_where(RAW, f'"timestamp" >= {FIRST_HOUR + 1} AND "timestamp" <= {LAST}')),
+    "stream_all_resolutions": f"""
+        SELECT *, 'minutely' AS resolution FROM ({_windows(COMBINED, MINUTE_MS)}) UNION ALL
+        SELECT *, 'hourly' AS resolution FROM ({_windows(COMBINED, HOUR_MS)})""",
+    "open_windows": f"""
+        SELECT *, "startTimestamp" + {DAY_MS} AS "closesAt" FROM ({HOURLY})
+        WHERE "startTimestamp" + {DAY_MS} > (SELECT max("timestamp") FROM ({RAW}))""",
+    "progress_rows": f"""
+        WITH arrived AS (
+            SELECT batch, identifier, "timestamp" FROM ({_BATCHED}) UNION ALL
+            SELECT {BATCHES} AS batch, identifier, "timestamp" FROM ({_BATCHED}) WHERE batch = 2),
+        received AS (SELECT batch, count(*) AS received FROM arrived GROUP BY batch),
+        new AS (
+            SELECT batch, count(*) AS new
+            FROM (SELECT min(batch) AS batch FROM arrived GROUP BY identifier, "timestamp") GROUP BY batch),
+        totals AS (
+            SELECT batch, received, CAST(sum(received) OVER (ORDER BY batch) AS BIGINT) AS "totalReceived",
+                   CAST(sum(coalesce(new, 0)) OVER (ORDER BY batch) AS BIGINT) AS "totalStored"
+            FROM received LEFT JOIN new USING (batch))
+        SELECT *, "totalReceived" - "totalStored" AS difference FROM totals""",
+}
 
 assert ORACLES.keys() == catalog.QUERIES.keys()

@@ -16,6 +16,7 @@ from wattline.resolution import Resolution
 from wattline.sources import folders
 from wattline.sources.readers import ARRIVAL
 from wattline.sources.table import KeyedTable
+from wattline.streaming.fanout import RESOLUTION, all_windows
 from wattline.streaming.feeds import Feed, file_feed
 from wattline.streaming.windows import windowed_stream
 
@@ -72,11 +73,13 @@ class HistoryTopology:
         self.clock = clock
         self.name = name
 
-    def start(self) -> list[StreamingQuery]:
-        """Start every query: both stores and all resolutions."""
+    def start(self, *, one_pass: bool = False) -> list[StreamingQuery]:
+        """Start every query: both stores and all resolutions, the latter in one query if ``one_pass``."""
         queries = [self.start_raw_store()]
         if self.aggregated is not None:
             queries.append(self.start_aggregated_store())
+        if one_pass:
+            return queries + [self.start_all_windows()]
         return queries + [self.start_windows(r) for r in self.history.resolutions]
 
     def start_raw_store(self) -> StreamingQuery:
@@ -92,27 +95,48 @@ class HistoryTopology:
     def start_windows(self, resolution: Resolution) -> StreamingQuery:
         updates = windowed_stream(self._windowable(), resolution)
         table = self.history.windowed_table(resolution)
-        feed = self.feeds.get(resolution.feed) or file_feed(self.history.feed_folder(resolution))
 
         def write(rows: DataFrame, batch_id: int) -> None:
             rows.persist()
             try:
-                changed = rows.count()
-                if changed == 0:
-                    return  # a batch that only closed windows
-                # State has many partitions, a micro-batch few rows: do not write a file for each.
-                merged = rows.coalesce(-(-changed // ROWS_PER_FILE))
-                # Update mode emits each changed window once per micro-batch.
-                table.write_batch(
-                    merged, batch_id, unique=True, written_at_ms=self.clock(), ttl_ms=resolution.ttl_ms
-                )
-                feed(merged, batch_id)
+                self._publish(rows, batch_id, resolution)
             finally:
                 rows.unpersist()
 
         return self._start(
-            updates.writeStream.outputMode("update").foreachBatch(write), f"windowed-{resolution.table}", table
+            updates.writeStream.outputMode("update").foreachBatch(write), f"windowed-{resolution.table}", [table]
+        )
+
+    def start_all_windows(self) -> StreamingQuery:
+        """All resolutions in one query that reads each input once."""
+        resolutions = self.history.resolutions
+        updates = all_windows(self._windowable(), resolutions)
+
+        def write(rows: DataFrame, batch_id: int) -> None:
+            rows.persist()
+            try:
+                for resolution in resolutions:
+                    own = rows.filter(F.col(RESOLUTION) == resolution.table).drop(RESOLUTION)
+                    self._publish(own, batch_id, resolution)
+            finally:
+                rows.unpersist()
+
+        tables = [self.history.windowed_table(r) for r in resolutions]
+        return self._start(updates.writeStream.outputMode("update").foreachBatch(write), "windowed-all", tables)
+
+    def _publish(self, rows: DataFrame, batch_id: int, resolution: Resolution) -> None:
+        """Changed windows of one resolution to its table and its feed."""
+        changed = rows.count()
+        if changed == 0:
+            return  # a batch that only closed windows
+        # State has many partitions, a micro-batch few rows: do not write a file for each.
+        merged = rows.coalesce(-(-changed // ROWS_PER_FILE))
+        # Update mode emits each changed window once per micro-batch.
+        self.history.windowed_table(resolution).write_batch(
+            merged, batch_id, unique=True, written_at_ms=self.clock(), ttl_ms=resolution.ttl_ms
         )
+        feed = self.feeds.get(resolution.feed) or file_feed(self.history.feed_folder(resolution))
+        feed(merged, batch_id)
 
     def _windowable(self) -> DataFrame:
         """The combined series, with the columns windows group by in identifier and timestamp."""
@@ -161,7 +185,7 @@ class HistoryTopology:
             F.min("timestamp").alias("firstTimestamp"),
             F.max("timestamp").alias("lastTimestamp"),
         )
-        return self._start(observed.writeStream.foreachBatch(write), f"{name}-store", table)
+        return self._start(observed.writeStream.foreachBatch(write), f"{name}-store", [table])
 
     def _rejected(self, rows: DataFrame, required: Sequence[str]) -> DataFrame:
         """Records that the store, or only the windows, cannot use, with the reason."""
@@ -170,14 +194,19 @@ class HistoryTopology:
         reason = F.coalesce(stored, F.concat(F.lit("not in windows: "), windowed))
         return rows.withColumn(REASON, reason).filter(F.col(REASON).isNotNull())
 
-    def _start(self, writer: DataStreamWriter, name: str, table: KeyedTable) -> StreamingQuery:
+    def query_name(self, part: str) -> str:
+        """The name of a running query, as listeners see it: ``raw-store``, ``windowed-<table>`` and so on."""
+        return f"{self.name}-{part}"
+
+    def _start(self, writer: DataStreamWriter, name: str, tables: Sequence[KeyedTable]) -> StreamingQuery:
         checkpoint = f"{self.checkpoints}/{name}"
         spark = self.raw.sparkSession
         # A fresh checkpoint counts batches from 0 again and would replace stored ones.
-        if not folders.exists(spark, checkpoint) and not table.is_empty(spark):
-            raise RuntimeError(f"{table.path} has data, but its checkpoint {checkpoint} is missing.")
+        for table in tables:
+            if not folders.exists(spark, checkpoint) and not table.is_empty(spark):
+                raise RuntimeError(f"{table.path} has data, but its checkpoint {checkpoint} is missing.")
         return (
-            writer.queryName(f"{self.name}-{name}")
+            writer.queryName(self.query_name(name))
             .option("checkpointLocation", checkpoint)
             .trigger(**self.trigger)
             .start()
