@@ -169,16 +169,24 @@ def test_many_terminals_use_wide_symbols():
 ODD = ["It's 'tis dogs' don't, x's", "<|endoftext|>, <|endoftext|>x", "İstanbul. Größe, naïve! ÀÉ", "a…. …b, ≮ ≮", "'s 't've", "日本。語, 12,3.4", "a b c \x1cd", "", "###word***", "ﬁne, K K. ñ."]
 
 
-@pytest.mark.parametrize("remembered", [3, 600_000])
+@pytest.mark.parametrize("remembered", [3, 40, 600_000])
 def test_chunks_give_the_tokens_of_the_library(remembered):
     tokenizer, chunks = Tokenizer.from_file(BPE), tg.ChunkIds(BPE, remembered)
     rng = random.Random(4)
     letters = "abcßéÉ 'İ.,!<|>1２日…̸ \t "
     texts = ODD + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
     for begin in range(0, len(texts), 50):
-        part = texts[begin : begin + 50]
-        for text, ids in zip(part, chunks.encode([t.encode() for t in part]), strict=True):
-            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+        part = [*texts[begin : begin + 50], None]
+        ids, ends = chunks.encode(pa.array(["not seen", *part]).slice(1))
+        for text, first, last in zip(part, [0, *ends], ends, strict=False):
+            assert ids[first:last].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_texts_are_encoded_in_pieces_of_bounded_size():
+    batch = pa.record_batch({"text": pa.array(["a" * n if n else None for n in (5, 0, 3, 30, 1, 1, 9)])})
+    parts = [p.num_rows for p in tg.pieces_of(batch, limit=10)]
+    assert sum(parts) == 7 and len(parts) > 2
+    assert [p for p in tg.pieces_of(batch.slice(0, 0))] == []
 
 
 def test_registered_token_files(spark):

@@ -21,15 +21,17 @@ import itertools
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm.common import slices, text_bytes
+from wattline.llm.common import slices
 
 MAGIC = b"RPG1"
 _HEADER = struct.Struct("<4sIIIIIQ")
@@ -40,10 +42,12 @@ LEAST_COUNT = 12
 ROUND_SHARE = 0.25
 #: Symbols, terminals included, if the terminals leave room for rules: so that a symbol takes two bytes.
 SYMBOLS = 1 << 16
-#: Distinct chunks remembered in a task; beyond it the memory starts afresh (results do not change).
+#: Distinct chunks of a generation; with the next one they are forgotten unless they are met again (results do not change).
 REMEMBERED = 600_000
 #: Pieces of letters that are encoded as one text.
 JOINED = 500
+#: Text encoded at a time.
+BATCH_BYTES = 8 << 20
 ROW_GROUP_BYTES = 16 << 20
 
 
@@ -186,33 +190,26 @@ class Shard:
 # -- tokenizer -------------------------------------------------------------------------------
 
 
-class _Numbers(dict):
-    """Numbers of byte strings in order of appearance; new ones are noted."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, value: bytes) -> int:
-        number = self[value] = len(self)
-        self.new.append(value)
-        return number
-
-
 class IdPool:
-    """Token ids of numbered byte strings, one after the other."""
+    """Token ids of distinct strings, numbered in order of appearance."""
 
     def __init__(self):
-        self.numbers, self.ids, self.begins = _Numbers(), np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.known = pa.array([], pa.string())
+        self.ids, self.begins = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def numbers(self, texts: pa.Array) -> np.ndarray:
+        """The number of each text, -1 for one that is not known."""
+        return np.asarray(pc.index_in(texts, value_set=self.known).fill_null(-1)).astype(np.int64)
 
-    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Ids of the strings that were numbered last and have none yet, in the order of their numbers."""
-        at = len(self.numbers) - len(self.numbers.new)
+    def add(self, texts: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """New texts, the ids of all of them, one after the other, and how many each has."""
+        at = len(self.known)
         ends = self.begins[at] + np.cumsum(lengths)
         self.begins = _with_room(self.begins, at + len(ends) + 1)
         self.ids = _with_room(self.ids, int(ends[-1]))
         self.ids[self.begins[at] : ends[-1]] = ids
         self.begins[at + 1 : at + 1 + len(ends)] = ends
-        self.numbers.new = []
+        self.known = pa.concat_arrays([self.known, texts])
 
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some strings, joined, and how many each has."""
@@ -229,17 +226,22 @@ def _with_room(values: np.ndarray, needed: int) -> np.ndarray:
 
 
 # ASCII marks before and after what begins and ends with a letter that has always been one (A-Z, a-z, and Latin to
-# U+024F, without the dotted I, whose small form ends with a mark). A chunk may be cut there; not after an apostrophe, which may belong to the letters, nor inside a special token.
+# U+024F, without the dotted I, whose small form ends with a mark). A chunk may be cut there; not after
+# an apostrophe, which may belong to the letters, nor inside a special token.
 _MARKS, _LETTERS = "!-/:-@\\[-`{-~", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 _ALL_LETTERS = re.compile(rf"[{_LETTERS}]+")
-_PIECES = re.compile(rf"([{_MARKS}]*(?<!'))((?:[{_LETTERS}].*[{_LETTERS}]|[{_LETTERS}]))([{_MARKS}]*)", re.S)
+_BEFORE_LETTERS = _MARKS.replace("!-/", "!-&(-/")
+_PIECES = (
+    rf"\A(?P<before>(?:[{_MARKS}]*[{_BEFORE_LETTERS}])?)(?P<letters>[{_LETTERS}](?:.*[{_LETTERS}])?)(?P<after>[{_MARKS}]*)\z"
+)
 
 
 class ChunkIds:
     """Token ids of texts from those of their chunks (what stands between white space), each encoded once.
 
     A new chunk is cut into marks, letters and marks, so that a word with and without a comma is
-    encoded once. Right for tokenizers that drop white space, join nothing across it and split letters from marks.
+    encoded once. Right for tokenizers that drop white space, join nothing across it, split letters from marks and
+    do not tell capitals from small letters. Chunks that have not been met for ``remembered`` others are forgotten.
     """
 
     def __init__(self, tokenizer_file: str, remembered: int = REMEMBERED):
@@ -250,44 +252,45 @@ class ChunkIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.remembered = remembered
-        self.chunks, self.pieces = IdPool(), IdPool()
+        self.chunks, self.older, self.pieces = IdPool(), IdPool(), IdPool()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if suffix:
             self.ends_word[[number for token, number in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each text."""
-        if len(self.chunks.numbers) > self.remembered:
-            self.chunks, self.pieces = IdPool(), IdPool()
-        numbers, each = self.chunks.numbers, []
-        for text in texts:
-            chunks = text.split()
-            each.append(np.fromiter(map(numbers.__getitem__, chunks), np.int64, len(chunks)))
-        if numbers.new:
-            self._learn(numbers.new)
-        return [self.chunks.take(own)[0] for own in each]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        numbers, parts, sizes = self.pieces.numbers, [], []
-        for chunk in chunks:
-            text = chunk.decode()
-            cut = None if "<|" in text else _PIECES.fullmatch(text)
-            own = [numbers[piece] for piece in cut.groups() if piece] if cut else [numbers[text]]
-            parts += own
-            sizes.append(len(own))
-        if numbers.new:
-            self.pieces.add(*self._encoded(numbers.new))
-        ids, lengths = self.pieces.take(np.array(parts, np.int64))
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
-        self.chunks.add(ids, np.diff(ends))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, one after the other, and where each text's end; a null has none."""
+        if len(self.chunks.known) > self.remembered:
+            self.chunks, self.older, self.pieces = IdPool(), self.chunks, IdPool()
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        ids, lengths = self.chunks.take(_numbered(split.flatten(), self.chunks, self._learn))
+        chunk_ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[chunk_ends]
+
+    def _learn(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        before = self.older.numbers(chunks)
+        seen = before >= 0
+        return _merged(seen, self.older.take(before[seen]), self._by_pieces(chunks.filter(pa.array(~seen))))
+
+    def _by_pieces(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of chunks, one after the other, and how many each has."""
+        cut = pc.extract_regex(pc.if_else(pc.match_substring(chunks, "<|"), None, chunks), _PIECES)
+        whole = cut.is_null()
+        parts = [
+            pc.if_else(whole, "", pc.struct_field(cut, "before")),
+            pc.if_else(whole, chunks, pc.ascii_lower(pc.struct_field(cut, "letters"))),
+            pc.if_else(whole, "", pc.struct_field(cut, "after")),
+        ]
+        numbers = _numbered(pa.concat_arrays(parts), self.pieces, lambda new: self._encoded(new.to_pylist()))
+        ids, lengths = self.pieces.take(numbers.reshape(3, -1).T.ravel())
+        return ids, lengths.reshape(-1, 3).sum(axis=1)
 
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of the pieces, one after the other, and how many each has.
+        """The same for pieces, by the tokenizer.
 
         Pieces of letters are encoded many in one text, if each has one id that ends a word; then these ids part them.
         """
-        ids, lengths = [], []
+        found = []
         for begin in range(0, len(pieces), JOINED):
             part = pieces[begin : begin + JOINED]
             letters = np.fromiter((_ALL_LETTERS.fullmatch(p) is not None for p in part), bool, len(part))
@@ -296,20 +299,52 @@ class ChunkIds:
             if len(places) != letters.sum() or (len(places) and places[-1] != len(joined)):
                 letters[:], joined, places = False, joined[:0], places[:0]
             other = self._ids(list(itertools.compress(part, ~letters)))
-            sizes = np.zeros(len(part), np.int64)
-            sizes[letters], sizes[~letters] = np.diff(places, prepend=0), [len(own) for own in other]
-            both = np.empty(int(sizes.sum()), np.uint32)
-            of_letters = np.repeat(letters, sizes)
-            both[of_letters] = joined
-            both[~of_letters] = np.concatenate([joined[:0], *other])
-            ids.append(both)
-            lengths.append(sizes)
-        return np.concatenate(ids), np.concatenate(lengths)
+            sizes = np.array([len(own) for own in other], np.int64)
+            found.append(_merged(letters, (joined, np.diff(places, prepend=0)), (np.concatenate([joined[:0], *other]), sizes)))
+        return np.concatenate([ids for ids, _ in found]), np.concatenate([lengths for _, lengths in found])
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _numbered(texts: pa.Array, pool: IdPool, learn: Callable[[pa.Array], tuple]) -> np.ndarray:
+    """Numbers in ``pool`` of some texts; each distinct text is looked up once, and ``learn`` gives the ids of new ones."""
+    coded = texts.dictionary_encode()
+    numbers = pool.numbers(coded.dictionary)
+    new = numbers < 0
+    if new.any():
+        fresh, at = coded.dictionary.filter(pa.array(new)), len(pool.known)
+        pool.add(fresh, *learn(fresh))
+        numbers[new] = at + np.arange(len(fresh))
+    return numbers[np.asarray(coded.indices)]
+
+
+def _merged(first: np.ndarray, these: tuple, others: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Two sequences of strings of ids (ids, lengths), merged: where ``first``, the next one comes from ``these``."""
+    lengths = np.zeros(len(first), np.int64)
+    lengths[first], lengths[~first] = these[1], others[1]
+    ids, of_these = np.empty(int(lengths.sum()), np.uint32), np.repeat(first, lengths)
+    ids[of_these], ids[~of_these] = these[0], others[0]
+    return ids, lengths
+
+
+@lru_cache(maxsize=2)
+def chunk_ids(tokenizer_file: str) -> ChunkIds:
+    """One for all tasks that a Python worker runs."""
+    return ChunkIds(tokenizer_file)
+
+
+def pieces_of(batch: pa.RecordBatch, text: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with texts of some ``limit`` bytes together, or a single longer text."""
+    if not batch.num_rows:
+        return
+    sizes = np.asarray(pc.binary_length(batch.column(text)).fill_null(0))
+    share = np.cumsum(sizes) // limit
+    first = np.append(True, share[1:] != share[:-1]).nonzero()[0]
+    for begin, end in zip(first, [*first[1:], len(sizes)], strict=True):
+        yield batch.slice(begin, end - begin)
+
+
 # -- files -----------------------------------------------------------------------------------
 
 
@@ -332,24 +367,26 @@ def write_token_files(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, partition = ChunkIds(tokenizer_file), TaskContext.get().partitionId()
+        chunks, partition = chunk_ids(tokenizer_file), TaskContext.get().partitionId()
         terminals = max(chunks.tokenizer.get_vocab_size(), 0 if end_id is None else end_id + 1)
         tail = np.array([] if end_id is None else [end_id], np.uint32)
-        pending, ids, held, before, number = [], [], 0, 0, 0
+        pending, doc_ids, held, before, number = [], [], 0, 0, 0
 
         def shard() -> pa.RecordBatch:
             data = Shard.pack(np.concatenate(pending), np.cumsum([len(p) for p in pending]), terminals)
-            row = [[partition], [number], [before], [held], [pa.concat_arrays(ids)], [data]]
+            row = [[partition], [number], [before], [held], [pa.concat_arrays(doc_ids)], [data]]
             return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(row, kinds, strict=True)], names)
 
-        for batch in slices(batches, 64):
-            for i, own in enumerate(chunks.encode(text_bytes(batch, "text"))):
-                pending.append(np.concatenate([own, tail]))
-                ids.append(batch.column("id").slice(i, 1))
-                held += len(pending[-1])
-                if held >= shard_tokens:
-                    yield shard()
-                    pending, ids, before, held, number = [], [], before + held, 0, number + 1
+        for whole in batches:
+            for batch in pieces_of(whole):
+                ids, ends = chunks.encode(batch.column("text"))
+                for i, (begin, end) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
+                    pending.append(np.concatenate([ids[begin:end], tail]))
+                    doc_ids.append(batch.column("id").slice(i, 1))
+                    held += len(pending[-1])
+                    if held >= shard_tokens:
+                        yield shard()
+                        pending, doc_ids, before, held, number = [], [], before + held, 0, number + 1
         if pending:
             yield shard()
 
