@@ -269,6 +269,54 @@ def test_pairs_among_texts_that_share_a_passage(documents):
     assert found == {i: i % 60 for i in range(120)}
 
 
+def _edited(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"e{rng.randrange(10**9)}"
+    return out
+
+
+def _half_alike(rng, n, edits):
+    base = [f"w{i}" for i in range(300)]
+    return [_edited(rng, base, edits) for _ in range(n)]
+
+
+def test_comparisons_grow_with_the_texts_not_with_their_pairs(documents, monkeypatch):
+    """Texts that are all about 0.5 alike and no duplicates of each other."""
+    compared, verified = [], nd.verified
+    monkeypatch.setattr(nd, "verified", lambda pairs, *more: compared.append(pairs.count()) or verified(pairs, *more))
+    totals = []
+    for n in (150, 300, 600):
+        compared.clear()
+        found = nd.near_duplicates(documents([" ".join(t) for t in _half_alike(random.Random(n), n, 11)])).collect()
+        assert len({r["class_id"] for r in found}) == n
+        totals.append(sum(compared))
+    assert totals[1] <= 2.4 * totals[0] and totals[2] <= 2.4 * totals[1]
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_recall_of_pairs_hidden_among_half_alike_texts(documents, exact):
+    rng = random.Random(12)
+    family = _half_alike(rng, 400 if not exact else 60, 11)
+    pairs = [(rng.randrange(len(family)), rng.randrange(1, 7)) for _ in range(100 if not exact else 20)]
+    texts = [" ".join(t) for t in family] + [" ".join(_edited(rng, family[k], m)) for k, m in pairs]
+    found = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(documents(texts), exact=exact).collect()}
+    weights = nd.Weights.from_frequencies(*nd.shingle_frequencies(documents(texts)))
+    counted = [nd.Shingler().counted(word_list(t.encode())) for t in texts]
+    weighed = [(s, weights.of(s, c)) for s, c in counted]
+    linked = [found[k] == found[len(family) + i] for i, (k, _) in enumerate(pairs)]
+    similar = [nd.weighted_jaccard(weighed[k], weighed[len(family) + i]) >= 0.8 for i, (k, _) in enumerate(pairs)]
+    assert sum(similar) >= 15
+    assert sum(a for a, b in zip(linked, similar, strict=True) if b) >= (1.0 if exact else 0.95) * sum(similar)
+    assert not any(a for a, b in zip(linked, similar, strict=True) if not b)
+
+
+def test_ties_between_central_texts_do_not_depend_on_order(documents):
+    texts = [" ".join(["w%d" % (j + 3 * k) for j in range(90)]) for k in range(12)]
+    first, again = (sorted(tuple(r) for r in nd.near_duplicates(frame).collect()) for frame in (documents(texts), documents(texts).orderBy(F.col("doc_id").desc()).repartition(5)))
+    assert first == again and {c for _, c in first} == {0}
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)]
