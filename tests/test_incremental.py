@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tests.helpers import plan, raw_rows, same, skewed
 from wattline.errors import InvalidQueryError
+from wattline.functions.ranks import quantile_borders, rank_among
 from wattline.history import PowerHistory
-from wattline.operators import record_clock
 from wattline.operators.record_clock import windows_by_record_clock, with_lateness, with_stream_time
 from wattline.operators.window_states import StateStore, merged_states, window_states, windows_of
 from wattline.operators.windows import tumbling_windows
@@ -147,8 +147,8 @@ def test_a_hot_sensor_is_split_by_arrival(spark):
     frame = skewed(spark).withColumn("arrival", F.col("timestamp") * 3)
     rows = with_stream_time(frame, ranges=8)
     assert "SinglePartition" not in plan(rows)
-    borders = record_clock.arrival_ranges(frame, "arrival", 8)
-    sizes = [r["count"] for r in frame.groupBy(record_clock._position(F.col("arrival"), borders)).count().collect()]
+    borders = quantile_borders(frame, "arrival", 8)
+    sizes = [r["count"] for r in frame.groupBy(rank_among(F.col("arrival"), borders)).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1.1 * min(sizes)
     assert rows.filter("streamTime <> timestamp").isEmpty()
 

@@ -12,9 +12,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions.ranks import quantile_borders, rank_among
 from wattline.operators.windows import tumbling_windows
 from wattline.resolution import Resolution
 
@@ -24,13 +25,6 @@ RANGES = 256
 _RANGE, _CARRIED = "_range", "_carried"
 
 
-def arrival_ranges(records: DataFrame, arrival: str, ranges: int) -> list:
-    """At most ``ranges`` - 1 borders that cut the arrival column into shares of about the same size."""
-    steps = [i / ranges for i in range(1, ranges)]
-    borders = records.agg(F.percentile_approx(F.col(arrival), steps, 100 * ranges)).first()[0]
-    return sorted(set(borders or []))
-
-
 def with_stream_time(
     records: DataFrame,
     arrival: str | Sequence[str] = "arrival",
@@ -53,8 +47,7 @@ def with_stream_time(
     usable = F.col(time).isNotNull()
     for column in arrival:
         usable = usable & F.col(column).isNotNull()
-    borders = arrival_ranges(records.filter(usable), arrival[0], ranges)
-    position = _position(F.col(arrival[0]), borders)
+    position = rank_among(F.col(arrival[0]), quantile_borders(records.filter(usable), arrival[0], ranges))
     key = F.lit(0) if clock is None else F.col(clock)
     placed = records.withColumns({_RANGE: F.when(usable, position), "_clock": key})
     carried = _carried(placed.filter(usable), time)
@@ -67,17 +60,6 @@ def with_stream_time(
     return moving.unionByName(still)
 
 
-def _position(value: Column, borders: list, first: int = 0) -> Column:
-    """How many borders are at or below a value, as a tree of comparisons."""
-    if not borders:
-        return F.lit(first)
-    middle = len(borders) // 2
-    below, above = borders[:middle], borders[middle + 1 :]
-    return F.when(value < F.lit(borders[middle]), _position(value, below, first)).otherwise(
-        _position(value, above, first + middle + 1)
-    )
-
-
 def _carried(placed: DataFrame, time: str) -> DataFrame:
     """For each clock and range, the largest time of the ranges before it; at most one row per clock and range."""
     largest = placed.groupBy("_clock", _RANGE).agg(F.max(time).alias("largest")).collect()

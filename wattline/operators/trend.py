@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.numeric import growth_ratio
@@ -13,6 +14,8 @@ from wattline.operators.ranges import named
 from wattline.restriction import UNRESTRICTED, TimeRestriction
 from wattline.series import Series
 
+LOGGER = logging.getLogger(__name__)
+
 NO_TREND = -1.0
 
 # The observed metrics that tell how many of the identifiers asked for have no records.
@@ -24,12 +27,14 @@ def trend(
     restriction: TimeRestriction = UNRESTRICTED,
     points_to_smooth: int = 10,
     identifiers: str | Sequence[str] | None = None,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Mean of the newest over mean of the oldest records, per identifier.
 
     The two groups hold up to ``points_to_smooth`` records each and may overlap. A start that
     is not positive gives 1; an identifier asked for by name but without records gives -1 and is
-    counted in the observed metric ``OBSERVED``, for a listener to warn about.
+    counted in the observed metric ``OBSERVED``, for a listener to warn about, or in ``observation``, for
+    ``warn_of_missing`` after the result has been used.
     """
     rows = series.values(restriction, identifiers)
     trends = _ends_of(rows, points_to_smooth).select(
@@ -38,10 +43,18 @@ def trend(
     if identifiers is None:
         return trends
     asked = named(series, identifiers).join(trends, "identifier", "left")
-    asked = asked.observe(OBSERVED, F.count_if(F.col("trend").isNull()).alias("identifiers"))
+    asked = asked.observe(observation or OBSERVED, F.count_if(F.col("trend").isNull()).alias("identifiers"))
     return asked.select("identifier", F.coalesce("trend", F.lit(NO_TREND)).alias("trend"))
 
 
+def warn_of_missing(observation: Observation) -> int:
+    """Warn about identifiers without records, once the trend that ``observation`` was given to has run; returns their number."""
+    missing = observation.get["identifiers"]
+    if missing:
+        LOGGER.warning("No trend for %d identifiers without records.", missing)
+    return missing
+
+
 def _ends_of(rows: DataFrame, n: int) -> DataFrame:
     """Mean of the oldest (start) and of the newest (end) ``n`` values per identifier.
 

@@ -17,7 +17,7 @@ from wattline.plans.catalog import (
     MINUTE_MS,
     TTL_MS,
 )
-from wattline.plans.incremental import DELAY_EVERY, DELAY_SHARE
+from wattline.plans.incremental import DELAY_EVERY, DELAY_SHARE, LOOKED_UP, MESSAGE_DELAY_MS
 
 
 def _single(value: str) -> str:
@@ -302,6 +302,26 @@ ORACLES |= {
                    CAST(sum(coalesce(new, 0)) OVER (ORDER BY batch) AS BIGINT) AS "totalStored"
             FROM received LEFT JOIN new USING (batch))
         SELECT *, "totalReceived" - "totalStored" AS difference FROM totals""",
+    "range_of_identifier_stored": _where(RAW, f"{_IN_RANGE} AND identifier IN {LOOKED_UP}"),
+    "distribution_refined": _distribution(RAW, "valueInW", 4),
+    "distribution_refined_dense": _distribution(DENSE, "valueInW", 50),
+    "distribution_refined_in_range": _distribution(_where(RAW, _IN_RANGE), "valueInW", 7),
+    "feed_latest": HOURLY,
+    "quarantine_replayed": RAW,
+    "latest_by_text_parameters": _ends(_where(RAW, _IN_RANGE), "timestamp", 2, "DESC"),
+    "trend_of_expression": _trend(
+        """
+        SELECT identifier, "timestamp", price * (l_linenumber + 1) AS v FROM (
+            SELECT CAST(l_suppkey AS VARCHAR) AS identifier, epoch_us(l_shipdate) // 1000 AS "timestamp", l_linenumber,
+                   l_extendedprice AS price,
+                   row_number() OVER (PARTITION BY l_suppkey, l_shipdate
+                                      ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) AS recency
+            FROM lineitem) WHERE recency = 1""",
+        "timestamp", "v", 1,
+    ),
+    "stream_by_message_time": _windows(
+        f'SELECT identifier, "timestamp" + {MESSAGE_DELAY_MS} AS "timestamp", "valueInW" FROM ({DENSE})', HOUR_MS
+    ),
 }
 
 assert ORACLES.keys() == catalog.QUERIES.keys()

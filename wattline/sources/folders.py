@@ -26,6 +26,16 @@ def size_bytes(spark: SparkSession, text: str) -> int:
     return file_system.getContentSummary(path).getLength()
 
 
+def sizes_below(spark: SparkSession, pattern: str) -> dict[str, int]:
+    """Bytes of the files that match a glob, summed by their folder: one listing, however many folders there are."""
+    file_system, path = _path(spark, pattern)
+    found: dict[str, int] = {}
+    for status in file_system.globStatus(path) or []:
+        folder = status.getPath().getParent().toString()
+        found[folder] = found.get(folder, 0) + status.getLen()
+    return found
+
+
 def remove(spark: SparkSession, text: str) -> None:
     file_system, path = _path(spark, text)
     file_system.delete(path, True)

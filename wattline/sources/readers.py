@@ -86,21 +86,25 @@ def kafka_stream(
     if max_offsets_per_trigger is not None:
         reader = reader.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
     body = F.expr(f"substring(value, {header_bytes + 1})")
-    return (
-        reader.load()
-        .select(
+    return decoded(
+        reader.load().select(
             from_avro(body, avro_schema, {"mode": "PERMISSIVE"}).alias("record"),
             F.col("key").cast("string").alias("messageKey"),
             F.unix_millis("timestamp").alias("messageTimestamp"),
             F.struct("timestamp", "partition", "offset").alias(ARRIVAL),
             F.col("value"),
         )
-        .select(
-            "record.*",
-            "messageKey",
-            "messageTimestamp",
-            ARRIVAL,
-            # A permissive decoder gives a record of nulls for what it cannot read.
-            F.when(F.col("record").isNull() | F.col("record.identifier").isNull(), F.base64("value")).alias(CORRUPT),
-        )
     )
+
+
+def decoded(messages: DataFrame) -> DataFrame:
+    """The fields of ``record`` beside the other columns; what could not be decoded is kept in ``_corrupt_record``.
+
+    A permissive decoder gives a null, or a record of nulls only, for what it cannot read. A record with some
+    fields missing has been read: its identifier may be null, and windows that follow the message key still count it. A message
+    without value is no record and nothing to keep.
+    """
+    fields = [f"record.{name}" for name in messages.schema["record"].dataType.names]
+    nothing = F.coalesce(*(F.when(F.col(field).isNotNull(), F.lit(1)) for field in fields)).isNull()
+    others = [c for c in messages.columns if c not in ("record", "value")]
+    return messages.select("record.*", *others, F.when(nothing, F.base64("value")).alias(CORRUPT))

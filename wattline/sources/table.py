@@ -171,7 +171,8 @@ class KeyedTable:
         rows = self.versions(spark, settled)
         if not contested:
             return rows
-        bases = [max(share, key=lambda part: self._bytes(spark, part)) for share in contested]
+        sizes = self._sizes(spark)
+        bases = [max(share, key=lambda part: sizes.get(part.path, 0)) for share in contested]
         changes = [part for share, base in zip(contested, bases, strict=True) for part in share if part != base]
         latest = self._with_changes(spark, bases, changes)
         return rows.unionByName(latest) if settled else latest
@@ -193,8 +194,9 @@ class KeyedTable:
         touched = base.join(keys, list(self.keys), "left_semi").select(*base.columns)
         return untouched.unionByName(last_write(touched.unionByName(changed), self.keys, [VERSION]))
 
-    def _bytes(self, spark: SparkSession, part: SegmentPart) -> int:
-        return folders.size_bytes(spark, part.path)
+    def _sizes(self, spark: SparkSession) -> dict[str, int]:
+        """Bytes of every segment part by its path, from one listing."""
+        return folders.sizes_below(spark, f"{self.path}/segment=*/{PERIOD}=*/*")
 
     def read(
         self,
@@ -226,13 +228,13 @@ class KeyedTable:
         for part in self.segment_parts(spark):
             by_period[part.period].append(part)
         folded, merged = [], []
+        sizes = self._sizes(spark)
         for share in by_period.values():
             if len(share) == 1:
                 continue
-            sizes = {part: self._bytes(spark, part) for part in share}
-            base = max(share, key=sizes.__getitem__)
+            base = max(share, key=lambda part: sizes.get(part.path, 0))
             others = [part for part in share if part != base]
-            if sum(sizes[part] for part in others) >= fold_share * sizes[base]:
+            if sum(sizes.get(part.path, 0) for part in others) >= fold_share * sizes.get(base.path, 0):
                 folded += share
             elif len(others) > 1:
                 merged += others
@@ -280,7 +282,8 @@ class KeyedTable:
         rows = self.resolved(spark, replaced)
         if as_of_ms is not None:
             rows = rows.filter(_alive(F.lit(as_of_ms)))
-        stored = sum(self._bytes(spark, p) for p in replaced)
+        sizes = self._sizes(spark)
+        stored = sum(sizes.get(part.path, 0) for part in replaced)
         segment = f"compact-{max(p.batch for p in replaced):012d}-{uuid.uuid4().hex[:8]}"
         self._write(rows, segment, max(1, -(-stored // TARGET_FILE_BYTES)))
         for part in replaced:

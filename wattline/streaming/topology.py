@@ -175,7 +175,8 @@ class HistoryTopology:
                 if received is not None:
                     counts = rows.groupBy("identifier").agg(F.count("*").alias("received"))
                     counts = counts.withColumn("batch", F.lit(batch_id).cast("long")).select(*received.schema.names)
-                    received.write_batch(counts.coalesce(1), batch_id, unique=True)
+                    files = -(-counts.count() // ROWS_PER_FILE)  # one row per identifier
+                    received.write_batch(counts.coalesce(max(1, files)), batch_id, unique=True)
             finally:
                 rows.unpersist()
 
