@@ -104,6 +104,13 @@ def test_targets_equal_repeated_sharing(spark):
         assert found == pytest.approx(brute.targets(sizes))
 
 
+def places_of(pages):
+    found = hw.Places()
+    for page in pages:
+        found.add(hw.Places.of(page, hw.Reader(page)))
+    return found
+
+
 def test_wrapper_is_a_union_free_expression():
     pages = [
         "<ul><li>a</li><li>b</li></ul><h2>x</h2><p>y</p><h2>z</h2><p>w</p><footer>same</footer>",
@@ -115,8 +122,7 @@ def test_wrapper_is_a_union_free_expression():
     assert text == (
         "(<div class=ad>#same</div>)?<ul>(<li>#text</li>)+</ul>(<h2>#text</h2><p>#text</p>)+<footer>#same</footer>"
     )
-    content = frozenset(hw.content_paths(whole))
-    assert hw.extract(pages[0], content) == "a\nb\nx\ny\nz\nw"
+    assert hw.page_text(pages[0], places_of(pages)) == "a\nb\nx\ny\nz\nw"
 
 
 def test_main_region_without_its_surroundings():
@@ -126,17 +132,13 @@ def test_main_region_without_its_surroundings():
         "<section id=comments><p>me too</p></section><form><label>mail</label></form><script>x='</p>'</script></article></main>"
         "<div class='cookie-notice'>cookies</div><footer>foot</footer></body>"
     )
-    content = frozenset(hw.content_paths(hw.page_wrapper(page)))
-    assert hw.extract(page, content) == "Title & more\none two three\nfour"
+    assert hw.page_text(page, places_of([page])) == "Title & more\none two three\nfour"
 
 
 def test_constant_text_outside_a_main_region_is_no_content():
     pages = [f"<div><p>Welcome to our site</p></div><div><h1>{t}</h1><p>{t} text</p></div>" for t in "abc"]
-    whole = hw.page_wrapper(pages[0])
-    for page in pages[1:]:
-        whole = hw.merge(whole, hw.page_wrapper(page))
-    # Both paragraphs have one path here, so the path is content as one of its texts differs.
-    assert hw.extract(pages[0], frozenset(hw.content_paths(whole))).endswith("a\na text")
+    # Both paragraphs have one path here; only the line that all pages have is no content.
+    assert hw.page_text(pages[0], places_of(pages)) == "a\na text"
 
 
 def test_a_host_with_and_without_main_regions(spark):
@@ -161,7 +163,71 @@ def test_attributes_beyond_long_class_lists():
     )
     keys = {event[1] for event in hw.walk(page) if event[0] == "open"}
     assert len(keys) == 6 and max(map(len, keys)) <= 120
-    assert hw.extract(page, frozenset(hw.content_paths(hw.page_wrapper(page)))) == "one"
+    assert hw.page_text(page, places_of([page])) == "one"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class='content with-sidebar'><article><h1>T</h1><p>a</p></article></div><div class=sidebar>s</div>", "T\na"),
+        ("<div class='page header-fixed'><article><p>a</p></article></div>", "a"),
+        ("<div class=sidebar><article><p>only here</p></article></div><p>x</p>", "only here"),
+        ("<div class=sidebar><article><p>teaser</p></article></div><main><p>a</p></main>", "a"),
+        ("<form action=/><div id=wrap><main><p>a</p><form><label>mail</label></form></main></div></form>", "a"),
+        ("<article><header class='entry-header'><h1>T</h1></header><p>a</p></article><footer>f</footer>", "T\na"),
+        ("<article><h1 class='article-header'>T</h1><p>a</p><h2 class=search>S</h2></article>", "T\na\nS"),
+        ("<main><p>a</p><section class='related-work'><p>earlier papers</p></section><p id='search-methods'>m</p></main>", "a\nearlier papers\nm"),
+        ("<main><p>a</p><div class='comment-list'><p>me</p></div><ul class='share-buttons'><li>s</li></ul></main>", "a"),
+    ],
+)
+def test_names_do_not_swallow_articles(page, text):
+    assert hw.page_text(page, places_of([page, page])) == text
+
+
+def test_a_suspect_name_needs_evidence_of_the_host():
+    page = "<main><p>{0}</p><div class='search-tips'>{1}</div><div class='login-story'>{2}</div></main>"
+    pages = [page.format(t, "Type a word", f"<a href=/{t}>more {t}</a>") for t in "abc"]
+    assert hw.page_text(pages[0], places_of(pages)) == "a"  # the same on all pages; mostly links
+    pages = [page.format(t, f"Tip {t}", f"Story {t} <a href=/>x</a>") for t in "abc"]
+    assert hw.page_text(pages[0], places_of(pages)) == "a\nTip a\nStory a x"
+
+
+@pytest.mark.parametrize("n", [10, 11, 12, 24, 25, 60])
+def test_fixed_lines_are_no_content_however_many(n):
+    """Paragraphs that all pages have, each followed by a block of its own."""
+    pages = ["<body>" + "".join(f"<p>fixed {i}</p><div class=b{chr(97 + i % 26)}{'x' * (i // 26)}>{t} {i}</div>" for i in range(n)) + "</body>" for t in "abc"]
+    places = places_of(pages)
+    for t, page in zip("abc", pages, strict=True):
+        assert hw.page_text(page, places) == "\n".join(f"{t} {i}" for i in range(n))
+
+
+def test_the_order_of_pages_does_not_matter(spark):
+    rng = random.Random(3)
+    blocks = ["<p>same</p>", "<p>{0} one</p>", "<div class=x><p>{0} two</p><p>same</p></div>", "<div class='search-tips'>{0}</div>", "<section><h2>head</h2><p>{0}</p></section>"]
+    pages = ["<body>" + "".join(rng.sample(blocks, rng.randint(2, 5))).format(t) + "</body>" for t in "abcde"]
+    results = set()
+    for order in itertools.permutations(range(5)):
+        places = places_of([pages[i] for i in order])
+        results.add((places.pack(), tuple(hw.page_text(p, places) for p in pages)))
+    assert len(results) == 1
+    halves = places_of(pages[:2]).add(hw.Places.unpack(places_of(pages[2:]).pack()))
+    assert halves.pack() == places_of(pages).pack()
+
+
+def test_very_deep_pages(spark):
+    deep = ["<div>" * 20_000 + f"<p>{t} text</p><p>same</p>" + "</div>" * 20_000 for t in "ab"]
+    deep.append("<main>" + "<b>" * 20_000 + "inside" + "</b>" * 20_000 + "</main>")
+    rows = spark.createDataFrame([(i, "https://d.org/", p) for i, p in enumerate(deep)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in hw.main_text(rows).collect()} == {0: "a text", 1: "b text", 2: "inside"}
+    whole = hw.merge(hw.page_wrapper(deep[0]), hw.page_wrapper(deep[1]))
+    text = "".join(map(str, whole.children))
+    assert "".join(map(str, hw.Element.unpack(whole.pack()).children)) == text and text.count("<div>") == 20_000
+
+
+def test_repeated_pages_are_one(spark):
+    page = "<body><h1>T</h1><p>text</p></body>"
+    rows = spark.createDataFrame([(i, "https://r.org/", page) for i in range(4)], "page_id long, url string, html string")
+    assert {r["text"] for r in hw.main_text(rows).collect()} == {"T\ntext"}
 
 
 def test_phrases_and_proximity(spark, documents):
