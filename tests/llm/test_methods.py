@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from wattline.llm import html_wrapper as hw
 from wattline.llm import near_duplicates as nd
+from wattline.llm import sanitise
 from wattline.llm.common import word_list
 from wattline.llm.components import connected_components
 from wattline.llm.decision_list import expression, learn
@@ -413,6 +414,63 @@ def test_terms_that_disclose_an_entity(documents):
     assert [s["kind"] for s in rows[50]["base"]] == ["email"]
 
 
+def test_a_signature_does_not_make_letters_copies(documents):
+    """Independent letters that end in the same line with a name and an address."""
+    rng = random.Random(21)
+    end = "yours sincerely captain Zebulon Quirk of the harbour office zeb@ships.org"
+    prose = lambda n: " ".join(f"v{rng.randrange(900)}" for _ in range(n))
+    texts = [f"{prose(80)} {end}" for _ in range(300)] + [prose(90) for _ in range(700)]
+    extra = {r["row"]["doc_id"]: {s["value"] for s in r["extra"]} for r in with_spans(documents(texts)).collect()}
+    assert all({"Zebulon", "Quirk"} <= extra[i] for i in range(300))
+    assert all(extra[i] == set() for i in range(300, 1000))
+
+
+def test_two_independent_documents_suffice_and_one_does_not(documents):
+    rng = random.Random(22)
+    prose = lambda n: " ".join(f"v{rng.randrange(300)}" for _ in range(n))
+    texts = [f"{prose(40)} Ozymandias ozy@sand.org {prose(40)}" for _ in range(2)]
+    texts += [f"{prose(40)} Quirinus lone@ships.org {prose(40)}"]
+    texts += [prose(80) for _ in range(300)]
+    extra = {r["row"]["doc_id"]: {s["value"] for s in r["extra"]} for r in with_spans(documents(texts)).collect()}
+    assert "Ozymandias" in extra[0] and "Ozymandias" in extra[1] and extra[2] == set()
+
+
+def test_disclosures_equal_brute_force(documents, spark):
+    """On a corpus without copies, where every document is a witness of its own."""
+    import math
+
+    rng = random.Random(23)
+    people = [f"p{i}@x.org" for i in range(6)]
+    hints = {e: [f"hint{i}{j}" for j in range(3)] for i, e in enumerate(people)}
+    texts = []
+    for _ in range(250):
+        words = [f"v{rng.randrange(200)}" for _ in range(30)]
+        for e in rng.sample(people, rng.choice([0, 0, 0, 1, 2])):
+            words += [e, *(h for h in hints[e] if rng.random() < 0.7)]
+        words += [rng.choice(hints[rng.choice(people)])] * (rng.random() < 0.05)
+        texts.append(" ".join(words))
+    docs = documents(texts).select(F.struct("doc_id").alias("key"), "text")
+    _, found = sanitise.disclosing_terms(docs)
+    sets = [set(brute.words(t)) for t in texts]
+    expected = {}
+    for e in people:
+        own = {i for i, t in enumerate(texts) if e in t.split()}
+        for term in set().union(*(sets[i] for i in own)) if own else ():
+            n_term, both = sum(term in s for s in sets), sum(term in sets[i] for i in own)
+            if both < 2:
+                continue
+            z, share = 1.28, both / n_term
+            low = (share + z * z / (2 * n_term) - z * math.sqrt(share * (1 - share) / n_term + z * z / (4 * n_term**2))) / (1 + z * z / n_term)
+            value = math.log(low * len(texts) / len(own)) / math.log(len(texts) / len(own))
+            rate, rest = len(own) / len(texts), 1 - share
+            likely = n_term * (share * math.log(share / rate) + (rest * math.log(rest / (1 - rate)) if rest else 0)) if share > rate else 0
+            if value >= 0.6 and likely >= math.log(10_000):
+                expected[f"email:{e}", term] = value
+    got = {(r["entity"], r["term"]): r["disclosure"] for r in found.collect()}
+    assert got.keys() == expected.keys() and len(got) > 10
+    assert all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
 def test_many_edited_copies_do_not_hide_independent_mentions(documents):
     rng = random.Random(10)
     prose = lambda n: " ".join(f"v{rng.randrange(5000)}" for _ in range(n))

@@ -5,16 +5,23 @@ tells who is meant: with document counts over the whole corpus,
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log(N n_te / (n_t n_e)) / log(N / n_e)
 
-which is 1 when the term stands only beside the entity and 0 when it is independent of it. In
-documents that mention the entity, terms beyond one threshold are removed and beyond a lower one
-generalised. Copies of one mention prove nothing, however many there are and even if some are edited,
-so a term counts only with several independent mentions. Mentions whose surrounding words are the same or
-nearly so, directly or through others, are one (shared bands of minima over pairs of neighbouring words);
-document counts are over all documents. Only built-in functions are used.
+which is 1 when the term stands only beside the entity and 0 when it is independent of it. It grows with the share
+n_te / n_t of the term's documents that mention the entity, and for that share its lower confidence bound is
+taken, so that few documents say less than many; and what chance alone would bring together among so many
+rare terms does not count. In documents that mention the entity, terms beyond one threshold are
+removed and beyond a lower one generalised.
+
+Copies of one document prove nothing, however many there are and even if some are edited: documents of an entity that are
+the same or nearly so as a whole, directly or through others, are one witness (shared bands of minima over pairs of neighbouring
+words of the whole text). A signature, a form or a passage that letters share does not make them copies. A term
+needs two witnesses: of a single document nobody can tell which of its rare words belong to the entity. Document counts
+n are over all documents. Only built-in functions are used.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +41,20 @@ PATTERNS = {
 # What a text must contain for a pattern to have a chance; cheap to test.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: Independent mentions of an entity, with the term, before the term may count.
-WITNESSES = 3
+#: Independent documents with an entity and a term before the term may count.
+WITNESSES = 2
+#: The confidence bound lies so many standard deviations below (one-sided 90 %).
+DEVIATIONS = 1.28
+#: A term must stand beside an entity more often than it would by chance with this probability (a corpus has very many rare terms).
+CHANCE = 1e-4
 #: Disclosure from which a term is removed, and from which it is generalised.
 REMOVE, GENERALISE = 0.8, 0.6
-#: Words on either side, and characters in which they are looked for, that tell one mention from a copy of another.
-SURROUNDING, WITHIN = 12, 160
-#: Minima in bands: copies that have 0.7 of their pairs of words in common share a band with probability 0.96.
-BANDS, ROWS = 8, 3
+#: Minima in bands: whole texts that have 0.8 of their pairs of words in common share a band with probability 0.99,
+#: those with 0.2 with probability 0.001.
+BANDS, ROWS = 16, 6
+
+#: What documents mention is broadcast up to this size, by its real lengths.
+BROADCAST_BYTES = 16 << 20
 
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
@@ -113,38 +126,51 @@ def entity_of(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], written)
 
 
-def _surroundings(text: Column, span: Column) -> Column:
-    """Pairs of neighbouring words around a span; the span itself counts as one word."""
-    begin = F.greatest(span["start"] - WITHIN + 1, F.lit(1))
-    before = words_of(F.substring(text, begin, F.least(span["start"], F.lit(WITHIN))))
-    after = F.slice(words_of(F.substring(text, span["end"] + 1, F.lit(WITHIN))), 1, SURROUNDING)
-    before = F.slice(before, F.greatest(F.size(before) - SURROUNDING + 1, F.lit(1)), SURROUNDING)
-    words = F.transform(F.concat(before, F.array(F.lit("|")), after), lower_ascii)
-    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-
-
-def _independent(mentions: DataFrame, witnesses: float) -> DataFrame:
-    """entity, context, group for the entities with enough groups of contexts that are not copies of each other.
-
-    ``mentions`` has entity, context (a hash) and pairs (of words).
-    """
-    each = mentions.groupBy("entity", "context").agg(F.first("pairs").alias("pairs"))
-    enough = each.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= witnesses).select("entity")
-    node = F.xxhash64("entity", "context").alias("node")
-    each = stored(each.join(enough, "entity").select("entity", "context", node, "pairs"), "pii-contexts")
+def _bands(text: Column) -> tuple[Column, Column]:
+    """Pairs of neighbouring words of a whole text as digests, and from a column ``pairs`` of these its bands of minima."""
+    words = F.concat(F.array(F.lit("|")), F.transform(words_of(text), lower_ascii))
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
 
     def least(seed: int) -> Column:
         return F.array_min(F.transform("pairs", lambda p: F.xxhash64(p, F.lit(seed))))
 
-    bands = F.array(*(F.xxhash64(F.lit(b), *(least(b * ROWS + r) for r in range(ROWS))) for b in range(BANDS)))
-    keyed = stored(each.select("entity", "node", F.explode(bands).alias("band")), "pii-bands")
+    rows = F.array(*(F.xxhash64(F.lit(b), *(least(b * ROWS + r) for r in range(ROWS))) for b in range(BANDS)))
+    return pairs, rows
+
+
+def _witnesses(mentions: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, entity, group: which documents of an entity are copies of each other; ``mentions`` has key, entity."""
+    keys = stored(mentions.select("key").distinct(), "pii-keys")
+    side = F.broadcast(keys) if small_enough(keys, 200) else keys
+    pairs, rows = _bands(F.col("text"))
+    texts = docs.join(side, "key").dropDuplicates(["key"]).select("key", pairs.alias("pairs")).select("key", rows.alias("bands"))
+    # Equal bands are one node, so that exact copies do not multiply.
+    sketched = mentions.join(texts, "key").withColumn("node", F.xxhash64("entity", "bands"))
+    sketched = stored(sketched, "pii-sketches")
+    keyed = sketched.dropDuplicates(["node"]).select("entity", "node", F.explode("bands").alias("band"))
+    keyed = stored(keyed, "pii-bands")
     first = keyed.groupBy("entity", "band").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter(F.col("a") < F.col("z"))
     edges = keyed.join(first.select("entity", "band", "a"), ["entity", "band"]).filter(F.col("a") < F.col("node"))
     edges = stored(edges.select("a", F.col("node").alias("b")).distinct(), "pii-copies")
     if edges.isEmpty():
-        return each.select("entity", "context", F.col("node").alias("group"))
+        return sketched.select("key", "entity", F.col("node").alias("group"))
     groups = connected_components(edges)
-    return each.join(groups, "node", "left").select("entity", "context", F.coalesce("component", "node").alias("group"))
+    return sketched.join(groups, "node", "left").select("key", "entity", F.coalesce("component", "node").alias("group"))
+
+
+def lower_bound(successes: Column, trials: Column, deviations: float = DEVIATIONS) -> Column:
+    """The lower confidence bound of a share (Wilson's)."""
+    z2 = F.lit(deviations**2)
+    share = successes / trials
+    spread = F.lit(deviations) * F.sqrt(share * (1 - share) / trials + z2 / (4 * trials * trials))
+    return (share + z2 / (2 * trials) - spread) / (1 + z2 / trials)
+
+
+def surprise(successes: Column, trials: Column, rate: Column) -> Column:
+    """Minus the logarithm of a bound (Chernoff's) on the probability of so many successes, or more, at a rate below theirs."""
+    share = successes / trials
+    other = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(F.lit(0.0))
+    return F.when(share > rate, trials * (share * F.log(share / rate) + other)).otherwise(F.lit(0.0))
 
 
 def disclosing_terms(docs: DataFrame, *, witnesses: float = WITNESSES, generalise: float = GENERALISE):
@@ -154,30 +180,30 @@ def disclosing_terms(docs: DataFrame, *, witnesses: float = WITNESSES, generalis
     and is left out. Words of the entity's own text are terms like others.
     """
     spotted = docs.select("key", "text", base_spans(F.col("text")).alias("base")).filter(F.size("base") > 0)
-    named = lambda s: F.struct(entity_of(s).alias("entity"), s["start"].alias("start"), _surroundings(F.col("text"), s).alias("pairs"))
-    each = F.explode(F.transform("base", named))
-    mentions = spotted.select("key", each.alias("m")).select("key", "m.*")
-    mentions = mentions.groupBy("key", "entity").agg(F.min_by("pairs", F.struct("start", "pairs")).alias("pairs"))
-    mentions = stored(mentions.withColumn("context", F.xxhash64("pairs")), "pii-mentions")
-
-    groups = stored(_independent(mentions, witnesses), "pii-groups")
-    several = groups.groupBy("entity").agg(F.countDistinct("group").alias("n")).filter(F.col("n") >= witnesses).select("entity")
-    known = mentions.join(several, "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_entity"))
+    mentions = spotted.select("key", F.explode(F.array_distinct(F.transform("base", entity_of))).alias("entity"))
+    mentions = stored(mentions.distinct(), "pii-mentions")
+
+    known = mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= witnesses)
     known = stored(known, "pii-entities")
     side = F.broadcast(known) if small_enough(known, 300) else known
-    relevant = mentions.select("key", "entity", "context").join(side.select("entity"), "entity", "left_semi")
-    relevant = stored(relevant.join(groups, ["entity", "context"]).select("key", "entity", "group"), "pii-relevant")
+    several = stored(mentions.join(side.select("entity"), "entity").select("key", "entity"), "pii-several")
+    groups = stored(_witnesses(several, docs), "pii-groups")
+    enough = groups.groupBy("entity").agg(F.countDistinct("group").alias("n")).filter(F.col("n") >= witnesses).select("entity")
+    enough = stored(enough, "pii-enough")
+    side = F.broadcast(enough) if small_enough(enough, 300) else enough
+    relevant = stored(groups.join(side, "entity").select("key", "entity", "group"), "pii-relevant")
 
     by_document = relevant.groupBy("key").agg(F.collect_set(F.struct("entity", "group")).alias("of"))
     by_document = stored(by_document, "pii-documents")
-    near = F.broadcast(by_document) if small_enough(by_document, 500) else by_document
+    size = by_document.agg(F.sum(F.size("of") * 100 + 200)).first()[0] or 0
+    near = F.broadcast(by_document) if size <= BROADCAST_BYTES else by_document
     terms = F.array_distinct(F.transform(words_of(F.col("text")), lower_ascii))
     together = (
         docs.join(near, "key").select(F.explode("of").alias("o"), terms.alias("terms"))
         .select("o.entity", "o.group", F.explode("terms").alias("term"))
         .groupBy("entity", "term", "group").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("mentions"))
-        .filter(F.col("mentions") >= witnesses)
+        .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("groups"))
+        .filter(F.col("groups") >= witnesses)
     )
     together = stored(together, "pii-together")
     wanted = stored(together.select("term").distinct(), "pii-terms")
@@ -186,25 +212,34 @@ def disclosing_terms(docs: DataFrame, *, witnesses: float = WITNESSES, generalis
         docs.select(F.explode(terms).alias("term")).join(side, "term").groupBy("term").agg(F.count("*").alias("n_term"))
     )
     n_docs = F.lit(docs.count()).cast("double")
-    disclosure = F.log(n_docs * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log(
-        n_docs / F.col("n_entity")
-    )
+    # Witnesses among the term's documents, others counted one by one.
+    trials = F.col("groups") + F.col("n_term") - F.col("n_both")
+    share = lower_bound(F.col("groups"), trials)
+    unlikely = surprise(F.col("groups"), trials, F.col("n_entity") / n_docs) >= F.lit(-math.log(CHANCE))
+    disclosure = F.log(share * n_docs / F.col("n_entity")) / F.log(n_docs / F.col("n_entity"))
     scored = (
         together.join(frequency, "term").join(known, "entity")
         .filter(F.col("n_entity") < n_docs)
+        .filter(unlikely)
         .select("entity", "term", disclosure.alias("disclosure"))
         .filter(F.col("disclosure") >= generalise)
     )
     return relevant, scored
 
 
+def _key() -> Column:
+    """What tells rows apart: the id and the text."""
+    return F.struct(F.col("doc_id"), F.xxhash64("text").alias("content"))
+
+
 def with_spans(docs: DataFrame, *, witnesses: float = WITNESSES, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """row (all columns of ``docs``), ``base`` and ``extra`` (arrays of (kind, start, end, value)) for each row.
 
     ``docs`` has doc_id, text and any others. ``extra`` are the disclosing terms, of kind ``removed`` or ``general``, outside base spans. Null
-    and empty texts have none. Rows that repeat a doc_id share the terms found for it.
+    and empty texts have none. Rows with the same doc_id and text share the terms found for them; of rows with the same
+    id, or none, and different texts each has its own.
     """
-    keyed = docs.select(F.struct("doc_id").alias("key"), "text")
+    keyed = docs.select(_key().alias("key"), "text")
     mentions, terms = disclosing_terms(keyed, witnesses=witnesses, generalise=generalise)
     terms = stored(terms, "pii-disclosing")
     chosen = (
@@ -214,7 +249,7 @@ def with_spans(docs: DataFrame, *, witnesses: float = WITNESSES, remove: float =
     )
     chosen = stored(chosen, "pii-chosen")
     side = F.broadcast(chosen) if small_enough(chosen, 2000) else chosen
-    packed = docs.select(F.struct("doc_id").alias("key"), F.struct("*").alias("row"), F.col("text").alias("text"))
+    packed = docs.select(_key().alias("key"), F.struct("*").alias("row"), F.col("text").alias("text"))
     marked = packed.join(side, "key", "left").withColumn("base", base_spans(F.col("text")))
     outside = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     told = lambda s: F.try_element_at("disclosing", lower_ascii(s["value"]))
