@@ -4,13 +4,14 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
 from wattline.llm import html_wrapper as hw
 from wattline.llm import near_duplicates as nd
-from wattline.llm import sanitise
+from wattline.llm import sanitise, token_prefix
 from wattline.llm.common import word_list
 from wattline.llm.components import connected_components
 from wattline.llm.decision_list import expression, learn
@@ -52,6 +53,59 @@ def test_every_prefix(spark, documents):
     assert words.select(bytes_within(F.lit(0)).alias("n")).first()["n"] == 0
 
 
+@pytest.fixture(scope="module")
+def bpe():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return path, Tokenizer.from_file(path)
+
+
+def test_counts_at_every_prefix_of_many_texts(spark, documents, bpe):
+    path, tokenizer = bpe
+    rng = random.Random(31)
+    letters = "abcdefghiklmnoprstuvwyz" * 3 + "éßäñ日本のü'.,!-1２😂🇺🇸 ́<>|İ" + "  \n"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(196)]
+    texts += ["we'll don't 're 'tis it's --'ve", "hahahahahahaha aaaaaaaaaaaaaaaaaaaaa", "😂" * 30, "<|endoftext|>x <|startoftext|> a<b"]
+    for row in prefix_counts(documents(texts), path, inside=True).collect():
+        text = texts[row["doc_id"]]
+        stored = dict(zip(row["ends"], row["counts"], strict=True))
+        for i in range(1, len(text) + 1):
+            if text[i - 1] not in " \t\n\r\x0b\x0c":
+                assert stored[len(text[:i].encode())] == len(tokenizer.encode(text[:i], add_special_tokens=False).ids), text[:i]
+
+
+def test_one_word_of_twenty_thousand_letters(bpe):
+    path, tokenizer = bpe
+    rng = random.Random(32)
+    text = "".join(chr(rng.choice([rng.randrange(0x3042, 0x3093), rng.randrange(0x4E00, 0x9FA0)])) for _ in range(20_000))
+    counts = token_prefix.prefix_counter(path).inside(text)
+    assert len(counts) == 19_999
+    for i in [*range(1, 200), *range(200, 20_000, 1237), 19_999]:
+        assert counts[i - 1] == len(tokenizer.encode(text[:i], add_special_tokens=False).ids)
+
+
+def test_tokens_of_the_table_are_those_of_the_library(bpe):
+    path, tokenizer = bpe
+    merges, rng = token_prefix.prefix_counter(path).merges, random.Random(33)
+    assert all(merges.is_whole(token) for token in merges.vocabulary.values())
+    for alphabet in ("ab", "eitnsrh", "abcdefghijklmnopqrstuvwxyz"):
+        for _ in range(400):
+            word = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30)))
+            ids = tokenizer.encode(word, add_special_tokens=False).ids
+            assert merges.tokens(word) == ids
+            count, ended, _ = merges.table(word)
+            assert ended[-1] == len(ids)
+
+
+def test_chunk_ends_of_slices_and_odd_texts():
+    texts = pa.array(["skipped one", "a b", None, "", " \n ", "x", "\té é\v", "end"]).slice(1)
+    ends, number = token_prefix.chunk_ends(texts)
+    assert number.tolist() == [0, 2, 2, 2, 2, 3, 5, 6]
+    assert ends.tolist() == [1, 3, 1, 3, 6, 3]
+
+
 def test_as_of_of_a_hot_url(spark):
     rng = random.Random(2)
     rows = [

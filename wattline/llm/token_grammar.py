@@ -260,13 +260,24 @@ class ChunkIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, one after the other, and where each text's end; a null has none."""
-        if len(self.chunks.known) > self.remembered:
-            self.chunks, self.older, self.pieces = IdPool(), self.chunks, IdPool()
+        self._forget()
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         ids, lengths = self.chunks.take(_numbered(split.flatten(), self.chunks, self._learn))
         chunk_ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
         return ids, np.concatenate([[0], np.cumsum(lengths)])[chunk_ends]
 
+    def chunk_counts(self, texts: pa.Array) -> np.ndarray:
+        """Number of token ids of each chunk of all texts, one text after the other."""
+        self._forget()
+        chunks = pc.ascii_split_whitespace(texts.fill_null("")).flatten()
+        # White space at either end of a text leaves an empty string there.
+        numbers = _numbered(chunks.filter(pc.not_equal(chunks, "")), self.chunks, self._learn)
+        return np.diff(self.chunks.begins)[numbers]
+
+    def _forget(self) -> None:
+        if len(self.chunks.known) > self.remembered:
+            self.chunks, self.older, self.pieces = IdPool(), self.chunks, IdPool()
+
     def _learn(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         before = self.older.numbers(chunks)
         seen = before >= 0
