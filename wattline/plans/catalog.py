@@ -613,38 +613,37 @@ def _late(rows: DataFrame) -> DataFrame:
 
 
 def _run_batches(spark, sf_dir, rows: DataFrame, part: str) -> PowerHistory:
-    """Drain one file per group, each in a micro-batch of its own.
+    """Let one group after the other arrive, in as many files as it has, and drain it in a run of its own.
 
-    With both inputs (``all``) there is one micro-batch: the sums of the whole month come in one file,
+    With both inputs (``all``) there is one run: the sums of the whole month come at once,
     and one clock covers both inputs, so that events after it would be late.
     """
     work = new_work_dir(spark, "batches")
-    staged = stored(spark, rows.select("identifier", "timestamp", "valueInW", "arrival", "batch"), "staged")
+    staged = new_work_dir(spark, "staged")
+    rows.select("identifier", "timestamp", "valueInW", "arrival", "batch").write.partitionBy("batch").parquet(staged)
+    schema = rows.select("identifier", "timestamp", "valueInW", "arrival").schema
+    groups = {int(p.rsplit("=", 1)[1]): p for p in folders.matching(spark, f"{staged}/batch=*")}
     history = PowerHistory(f"{work}/tables", default_resolutions())
     folders.create(spark, f"{work}/raw")
-    schema = staged.drop("batch").schema
-    numbers = [row["batch"] for row in staged.select("batch").distinct().orderBy("batch").collect()]
-    for number in numbers:  # a handful, as many as BATCHES
-        share = staged.filter(F.col("batch") == number).drop("batch")
-        share.coalesce(1).write.mode("append").parquet(f"{work}/raw")
     grouped = f"{work}/groups"
     tables.events_grouped(spark, sf_dir).write.parquet(grouped)
     topology = HistoryTopology(
         history,
-        file_stream(spark, f"{work}/raw", schema, max_files_per_trigger=None if part == "all" else 1),
+        file_stream(spark, f"{work}/raw", schema),
         file_stream(spark, grouped, AGGREGATED_POWER) if part == "all" else None,
         f"{work}/checkpoints",
         trigger={"availableNow": True},
         name=work.rsplit("/", 1)[-1],
     )
+    for number in sorted(groups):  # a handful, as many as BATCHES
+        spark.read.schema(schema).parquet(groups[number]).write.mode("append").parquet(f"{work}/raw")
+        if part == "windows":
+            topology.start_windows(_resolution("hourly")).awaitTermination()
+        elif part == "raw":
+            topology.start_raw_store().awaitTermination()
     if part == "all":
-        running = topology.start()
-    elif part == "windows":
-        running = [topology.start_windows(_resolution("hourly"))]
-    else:
-        running = [topology.start_raw_store()]
-    for query in running:
-        query.awaitTermination()
+        for query in topology.start():
+            query.awaitTermination()
     return history
 
 
