@@ -79,8 +79,8 @@ def personal_data_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the words taken of each and the number of whole copies.
 
-    Texts without words are never taken. A null source is a source of its own; repeated rows are taken one by one, ties between
-    their keys being broken by the rows themselves.
+    Texts without words are never taken. A null source is a source of its own; repeated rows are taken one by one, in the
+    order of their common key and their sizes.
     """
     mixed = mix(docs.select(*DOCUMENT), carry=True).filter(F.col("taken") > 0)
     return mixed.select("row.*", "size", "taken", "epochs")
