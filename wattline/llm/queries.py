@@ -150,4 +150,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_embedding_whitening,
     )
 }
-ORACLES: dict[str, str] = {"op3_revisits": WARC_SQL}
+# Capitals are lowered by table, as the contract lowers A-Z only.
+_WORDS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+CONTAMINATION_SQL = f"""
+    WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+    items AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
+                FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+    places AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
+               FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                     FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+    hits AS (SELECT doc_id, n, i, item_id FROM places JOIN windows USING (n, g)),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
+ORACLES: dict[str, str] = {"op3_revisits": WARC_SQL, "op8_decontamination": CONTAMINATION_SQL}
