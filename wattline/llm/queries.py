@@ -172,4 +172,37 @@ CONTAMINATION_SQL = f"""
            sha256(coalesce(names, '')) AS items_sha256,
            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
     FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
-ORACLES: dict[str, str] = {"op3_revisits": WARC_SQL, "op8_decontamination": CONTAMINATION_SQL}
+MIX_SQL = """
+    WITH d AS (
+        SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+               -ln((CAST('0x' || md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:13] AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)
+               / greatest(0.05, coalesce(1 - 5 * len(regexp_extract_all(text, '[#*$%&|<>!{}\\[\\]=\\\\^~]'))::DOUBLE
+                                         / greatest(length(text), 1), 0.05)) AS key
+        FROM documents),
+    sources AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+               CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
+        FROM d GROUP BY source),
+    levels AS (
+        SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS ratio,
+               (1.5::DOUBLE * sum(source_size) OVER ()
+                - coalesce(sum(source_size * 2.0::DOUBLE) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+               / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+        FROM sources WINDOW o AS (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST)),
+    shares AS (
+        SELECT *, least(cap, coalesce(weight * (SELECT arg_min(level, ratio) FROM levels WHERE level <= ratio), cap)) AS target FROM levels),
+    plan AS (
+        SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs
+        FROM shares),
+    ordered AS (
+        SELECT d.*, source_size, target, epochs, greatest(CAST(round(target) AS BIGINT) - epochs * source_size, 0) AS budget,
+               sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+        FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source)
+    SELECT doc_id, size, source_size, target,
+           CAST(epochs * size + greatest(0, least(size, budget - (upto - size))) AS BIGINT) AS taken
+    FROM ordered"""
+ORACLES: dict[str, str] = {
+    "op3_revisits": WARC_SQL,
+    "op6_mix_sources": MIX_SQL,
+    "op8_decontamination": CONTAMINATION_SQL,
+}
