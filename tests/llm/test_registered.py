@@ -2,12 +2,15 @@
 
 import zlib
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
 from corpus_pipeline import DOCUMENT, STAGES, run
 from tests.compare import assert_same, connect
 from tests.llm import brute
+from wattline.llm import decision_list as rules
+from wattline.llm import quality_qda as qda
 from wattline.llm.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -134,3 +137,69 @@ def test_pipeline(spark, texts):
     final = run(spark, SF_DIR).collect()
     assert {r["doc_id"] for r in final} <= ids
     assert all(r["taken"] > 0 for r in final)
+
+
+def test_scores_equal_the_formula(spark):
+    """Log densities by inverse and determinant of the covariances, for every document."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    featured = qda.with_features(qda.document_statistics(docs)).checkpoint()
+    training = featured.join(qda.training_labels(labels), "id")
+    model = qda.fit(training)
+    rows = training.toPandas()
+    x = {k: rows.loc[rows["label"] == k, list(qda.FEATURES)].to_numpy() for k in (0, 1)}
+    pooled = sum(np.cov(x[k].T, bias=True) * len(x[k]) for k in (0, 1)) / len(rows)
+    identity = np.diag(np.maximum(np.diag(pooled), 1e-4))
+    all_rows = featured.toPandas()
+    every, odds = all_rows[list(qda.FEATURES)].to_numpy(), np.log(len(x[1]) / len(x[0]))
+    for k, sign in ((0, -1), (1, 1)):
+        own = (1 - qda.TOWARDS_POOLED) * np.cov(x[k].T, bias=True) + qda.TOWARDS_POOLED * pooled
+        covariance = (1 - qda.TOWARDS_IDENTITY) * own + qda.TOWARDS_IDENTITY * identity
+        away = every - x[k].mean(axis=0)
+        distance = np.einsum("ij,jk,ik->i", away, np.linalg.inv(covariance), away)
+        odds = odds + sign * (-0.5 * distance - 0.5 * np.linalg.slogdet(covariance)[1])
+    expected = dict(zip(all_rows["id"], 1 / (1 + np.exp(-np.clip(odds / model.temperature, -700, 700))), strict=True))
+    found = {r["doc_id"]: r["score"] for r in QUERIES["op1_quality_classifier"](spark, folder).collect()}
+    assert found.keys() == expected.keys()
+    assert all(found[i] == pytest.approx(expected[i], abs=1e-6) for i in found)
+
+
+def test_verdicts_equal_the_rules_by_hand(spark):
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    statistics = rules.document_statistics(docs).checkpoint()
+    learnt = rules.learn(*rules.labelled_sample(statistics, labels))
+    columns = rules.rule_statistics()
+    values = statistics.select("id", *(c.alias(n) for n, c in columns.items())).toPandas()
+    x = {name: values[name].to_numpy(float) for name in columns}
+    hit = np.zeros(len(values), bool)
+    for rule in learnt:
+        hit |= np.logical_and.reduce([(x[t.statistic] > t.cut) == t.above for t in rule.tests])
+    bad = dict(zip(values["id"], hit, strict=True))
+    for row in QUERIES["op5_quality_rules"](spark, SF_DIR).collect():
+        assert row["kept"] == (not row["base_failed"] and not bad[row["doc_id"]])
+
+
+def test_mix_takes_documents_in_the_order_of_their_keys(spark):
+    """Python's own hash, logarithm and sorting."""
+    import math
+    import re
+    from hashlib import md5
+
+    docs = pq.read_table(f"{SF_DIR}/documents.parquet").to_pylist()
+    rows = {r["doc_id"]: r for r in QUERIES["op6_mix_sources"](spark, SF_DIR).collect()}
+    sizes = {d["doc_id"]: len(brute.SPACED.findall(d["text"] or "")) for d in docs}
+    sources = {}
+    for d in docs:
+        u = (int(md5(f"mix:{d['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        symbols, chars = len(re.findall(r"[#*$%&|<>!{}\[\]=\\^~]", d["text"] or "")), max(len(d["text"] or ""), 1)
+        weight = max(0.05, 1 - 5 * symbols / chars) if d["text"] is not None else 0.05
+        sources.setdefault(d["source"], []).append((-math.log(u) / weight, d["doc_id"]))
+    targets = brute.targets({s: sum(sizes[i] for _, i in keys) for s, keys in sources.items()})
+    for source, keys in sources.items():
+        whole = sum(sizes[i] for _, i in keys)
+        epochs = int(targets[source] // whole) if whole else 0
+        left = max(0, round(targets[source]) - epochs * whole)
+        for _, i in sorted(keys):
+            extra = min(sizes[i], left)
+            assert rows[i]["taken"] == epochs * sizes[i] + extra
+            left -= extra
