@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from wattline.llm import html_wrapper as hw
+from wattline.llm import license_index
 from wattline.llm import near_duplicates as nd
 from wattline.llm import sanitise, token_prefix
 from wattline.llm.common import word_list
@@ -86,6 +87,34 @@ def test_one_word_of_twenty_thousand_letters(bpe):
         assert counts[i - 1] == len(tokenizer.encode(text[:i], add_special_tokens=False).ids)
 
 
+def test_whole_licence_texts(documents):
+    whole = {t.label: t.text for t in license_index.WHOLE_TEXTS}
+    assert len(whole) >= 5 and min(len(t.split()) for t in whole.values()) > 80
+    rng, prose = random.Random(41), "nothing to see here at all " * 5
+    texts, expected = [], []
+    for label, text in whole.items():
+        words = text.split()
+        edited = list(words)
+        for at in rng.sample(range(12, len(words)), 2):  # two words more, as names of holders are
+            edited.insert(at, "inc")
+        parts = (words, edited, words[: len(words) // 2], rng.sample(words, len(words)))
+        texts += [prose + " ".join(part).title() + ". " + prose for part in parts]
+        expected += [True, True, False, False]
+    rows = {r["doc_id"]: r for r in license_scan(documents(texts)).collect()}
+    for i, found in enumerate(expected):
+        label = list(whole)[i // 4]
+        assert (label in rows[i]["labels"].split(",")) == found, (label, i % 4)
+        assert rows[i]["n_base"] == 0
+        if i % 4 == 0:
+            assert rows[i]["score"] == 1.0
+
+
+def test_rare_words_of_equal_idf_go_by_the_alphabet():
+    templates = (license_index.Template("x", "delta alpha charlie bravo echo foxtrot", ("alpha charlie",)),)
+    index = license_index.RareWordIndex(templates, dict.fromkeys((w.encode() for w in templates[0].text.split()), 1.0))
+    assert index.rarest == [(b"alpha", b"bravo", b"charlie", b"delta")]
+
+
 def test_tokens_of_the_table_are_those_of_the_library(bpe):
     path, tokenizer = bpe
     merges, rng = token_prefix.prefix_counter(path).merges, random.Random(33)

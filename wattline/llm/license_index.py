@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from wattline.llm.common import slices, text_bytes, word_list
 
-#: Rarest words of a template that are looked up; all must agree on a start within SLACK words.
+#: Rarest words of a template that are looked up; all must agree on a start within the template's slack.
 RARE_WORDS = 4
-SLACK = 2
-#: Share of a template's words that must stand at their places (within SLACK).
+#: Words by which parts of a template may be moved, and one more for each so many words of a long template.
+SLACK, SLACK_EVERY = 2, 25
+#: Share of a template's words that must stand at their places (within the slack).
 COVERED = 0.7
 
 
@@ -59,7 +60,65 @@ NOTICES = (
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0 international license",)),
     Template("all-rights-reserved", "all rights reserved"),
 )
-TEMPLATES = BASE + NOTICES
+_AS_IS = "the software is provided as is"
+# Whole texts of short licences, without the line that names the holder.
+WHOLE_TEXTS = (
+    Template(
+        "mit-full",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the "
+        "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice "
+        "and this permission notice shall be included in all copies or substantial portions of the software the software is "
+        "provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright "
+        "holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+        ("permission is hereby granted free of charge", _AS_IS),
+    ),
+    Template(
+        "isc-full",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies the software is provided "
+        "as is and the author disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential "
+        "damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        ("with or without fee is hereby granted", _AS_IS),
+    ),
+    Template(
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met 1 redistributions of source code must retain the above copyright notice this list of "
+        "conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice "
+        "this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
+        "distribution this software is provided by the copyright holders and contributors as is and any express or implied "
+        "warranties including but not limited to the implied warranties of merchantability and fitness for a particular "
+        "purpose are disclaimed",
+        ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce"),
+    ),
+    Template(
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met 1 redistributions of source code must retain the above copyright notice this list of "
+        "conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice "
+        "this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
+        "distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission",
+        ("redistribution and use in source and binary forms", "may be used to endorse or promote products"),
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable "
+        "for any damages arising from the use of this software permission is granted to anyone to use this software for any "
+        "purpose including commercial applications and to alter it and redistribute it freely subject to the following "
+        "restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original "
+        "software 2 altered source versions must be plainly marked as such and must not be misrepresented as being the "
+        "original software 3 this notice may not be removed or altered from any source distribution",
+        ("the origin of this software must not be misrepresented",),
+    ),
+)
+TEMPLATES = BASE + NOTICES + WHOLE_TEXTS
 
 
 def _words(phrase: str) -> tuple[bytes, ...]:
@@ -72,6 +131,7 @@ class RareWordIndex:
     def __init__(self, templates: tuple[Template, ...], idf: dict[bytes, float], rare_words: int = RARE_WORDS):
         self.templates, self.idf = templates, idf
         self.words = [_words(template.text) for template in templates]
+        self.slack = [max(SLACK, len(words) // SLACK_EVERY) for words in self.words]
         self.mandatory = []  # per template: (words, offset in the template)
         self.rarest: list[tuple[bytes, ...]] = []
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
@@ -87,7 +147,7 @@ class RareWordIndex:
                     self.postings[word].append((t, position))
 
     def lookup(self, words: list[bytes]) -> dict[int, set[int]]:
-        """Template -> starts on which the postings of all its rarest words agree (within SLACK)."""
+        """Template -> starts on which the postings of all its rarest words agree (within the slack)."""
         if self.postings.keys().isdisjoint(words):
             return {}
         places: dict[bytes, list[int]] = defaultdict(list)
@@ -106,7 +166,7 @@ class RareWordIndex:
                     start = position - offset
                     if first:
                         starts[t][start].add(word)
-                    for shift in range(-SLACK, SLACK + 1):
+                    for shift in range(-self.slack[t], self.slack[t] + 1):
                         if start + shift in starts[t]:
                             starts[t][start + shift].add(word)
         for t, candidates in starts.items():
@@ -118,7 +178,7 @@ class RareWordIndex:
     def verify(self, words: list[bytes], t: int, start: int) -> float:
         """Share of the template's words in place, 0 if a mandatory phrase is missing."""
         own = self.words[t]
-        slack = 0 if self.templates[t].base else SLACK
+        slack = 0 if self.templates[t].base else self.slack[t]
         for phrase, offset in self.mandatory[t]:
             at = start + offset
             span = range(max(0, at - slack), at + slack + 1)
