@@ -271,10 +271,7 @@ ORACLES: dict[str, str] = {
 }
 ORACLES |= {
     "windows_merged": HOURLY,
-    "windows_merged_daily_lineitem": f"""
-        SELECT identifier, "startTimestamp", "endTimestamp", "count",
-               round({_single("mean")}, 2) AS mean, "populationVariance"
-        FROM ({_windows(LINEITEM, DAY_MS)})""",
+    "windows_merged_daily_lineitem": _windows(LINEITEM, DAY_MS),
     "late_by_record_clock": _JUDGED,
     "windowed_by_record_clock": _windows(f"SELECT * FROM ({_JUDGED_VALUES}) WHERE NOT late", HOUR_MS),
     "total_count_from_summaries": _total(RAW),
