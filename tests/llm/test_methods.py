@@ -461,6 +461,58 @@ def test_recall_of_pairs_hidden_among_half_alike_texts(documents, exact):
     assert not any(a for a, b in zip(linked, similar, strict=True) if not b)
 
 
+def _linked(texts):
+    """Class ids by comparing every pair of the texts."""
+    shingler, frequency = nd.Shingler(), np.zeros(nd.BUCKETS, np.int64)
+    counted = [shingler.counted(word_list(t.encode())) for t in texts]
+    for shingles, _ in counted:
+        np.add.at(frequency, (shingles % np.uint64(nd.BUCKETS)).astype(int), 1)
+    weights = nd.Weights.from_frequencies(frequency, len(texts))
+    weighed = [(s, weights.of(s, c)) for s, c in counted]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if label[i] != label[j] and nd.weighted_jaccard(weighed[i], weighed[j]) >= 0.8:
+            low = min(label[i], label[j])
+            label = [low if x in (label[i], label[j]) else x for x in label]
+    return dict(enumerate(label))
+
+
+def _just_below(rng, pairs):
+    """Pairs of texts that are 0.81 alike, all others being up to 0.79 alike: edits are in ten of thirteen places."""
+    base = [f"w{i}" for i in range(574)]
+    texts = []
+    for places in rng.sample(list(itertools.combinations(range(9, 139, 10), 10)), pairs):
+        for _ in range(2):
+            edited = list(base)
+            for at in places:
+                edited[at] = f"e{rng.randrange(10**12)}"
+            texts.append(" ".join(edited))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_no_link_is_lost_among_many_texts_just_below_the_threshold(documents):
+    """More texts are nearly as near as the partner than any number of neighbours would cover."""
+    texts = _just_below(random.Random(5), 150)
+    found = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(documents(texts)).collect()}
+    expected = _linked(texts)
+    assert len(set(expected.values())) == 150
+    assert found == expected
+
+
+def test_every_pair_is_found_that_can_reach_the_threshold(documents, monkeypatch):
+    """Without bands in common, links between texts of different lengths come from the join of rare shingles alone."""
+    rng = random.Random(21)
+    texts = []
+    for k in range(12):
+        base = [f"w{k}x{i}" for i in range(120)]
+        for n in (99, 104, 109, 114, 119):
+            texts.append(" ".join(_edited(rng, base[:n], rng.randrange(3))))
+    monkeypatch.setattr(nd.Sampler, "band_keys", lambda self, shingles, weights: shingles[:1].view(np.int64))
+    found = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(documents(texts), exact=True).collect()}
+    assert found == _linked(texts)
+
+
 def test_ties_between_central_texts_do_not_depend_on_order(documents):
     texts = [" ".join(["w%d" % (j + 3 * k) for j in range(90)]) for k in range(12)]
     first, again = (sorted(tuple(r) for r in nd.near_duplicates(frame).collect()) for frame in (documents(texts), documents(texts).orderBy(F.col("doc_id").desc()).repartition(5)))

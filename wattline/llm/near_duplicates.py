@@ -8,14 +8,13 @@ link only if its weighted Jaccard similarity, computed from the whole texts, rea
 Equal texts are one node. Within a band bucket every text is first compared with the bucket's most
 central one, the text whose buckets are largest: of edited copies that is the original, whatever its id.
 Links are joined to classes. Buckets whose other members are still in several classes - texts that share a passage or a
-form, say - are *open*. Their members, and only they, get new and longer sequences of independent draws: in each of
-``TREES`` orders by such a sequence, a text is compared with its nearest neighbours, which share the longest
-beginnings with it. Pairs whose sketches of ``SKETCH`` further draws agree too little are not read. So the work is a fixed
-number of comparisons for each text, however large a bucket is. Rounds with new draws follow while they find links. The
-chance that a pair at the threshold is missed grows slowly with the number of texts that are half alike; the README
-states measured recall. ``exact=True`` compares instead every pair of an open bucket that can reach the
-threshold (it has a shingle in common among the rarest fifth of each text's weight): a group whose texts are all a
-little below the threshold then costs as many comparisons as it has pairs.
+form, say - are *open*. Between their members a join finds every pair of different classes that can reach the threshold, so
+that none is lost: all shingles have one order, the rarest first, and what two texts have in common lies behind the
+first shingle they share. It must weigh ``similarity / (1 + similarity)`` of both texts together, so that shingle is among
+the rarest ninth (at 0.8) of one text's weight and the rarest fifth of the other's. Texts that are only half alike differ in
+their rarest shingles and do not meet. Within a class nothing is compared again. A group whose texts are all a little below
+the threshold may cost as many comparisons as it has pairs. ``exact=True`` lets all texts take part in that join, so that
+pairs that miss every band are found too.
 """
 
 from __future__ import annotations
@@ -26,7 +25,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +42,6 @@ BUCKETS = 1 << 18
 #: It is small so that edits of a much-copied text do not outweigh what the copies share.
 IDF_GAIN = 0.25
 
-#: Orders of the members of open buckets, draws in each, neighbours on either side, and draws that are compared beforehand.
-TREES, DEPTH, NEIGHBOURS, SKETCH = 24, 12, 4, 96
-#: A pair is not read if its share of equal sketch draws is further below the threshold than this: 4.5 standard deviations.
-SKETCH_SLACK = 4.5 * 0.041
-#: Rounds of new draws at most; a round that finds no link is the last.
-ROUNDS = 3
-
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2, _M3 = (np.uint64(m) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -263,7 +254,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, *, exact: b
     whatever is connected through links. A text without words (null and empty ones) is alone. A
     text of fewer than five words is one shingle. Rows that share a doc_id count as one document;
     a null id is left alone. Only doc_id and text are read. Ties between central texts go to the smallest id.
-    ``exact`` compares all possible pairs of open buckets instead of nearest neighbours.
+    ``exact`` compares all pairs that can reach the threshold, whether they share a band or not.
     """
     docs = docs.select("doc_id", "text")
     frequency, documents = shingle_frequencies(docs)
@@ -282,8 +273,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, *, exact: b
     if not links.isEmpty():
         classes = connected_components(links)
 
-    find = _every_pair if exact else _nearest
-    links, classes = find(docs, weights, similarity, keyed, seen, links, classes)
+    if exact:
+        central = keyed.select("rep", "central").distinct()
+        members = bands.select("rep").join(central, "rep", "left").select("rep", F.coalesce("central", F.lit(0)).alias("central"))
+    else:
+        members = _open(keyed, classes).select("rep", "central").distinct()
+    links, classes = _every_pair(docs, weights, similarity, stored(members, "open"), seen, links, classes)
 
     same = stored(_within(texts, contents), "same-id")
     if not same.isEmpty():
@@ -299,32 +294,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, *, exact: b
     return found.select("doc_id", F.col("class").alias("class_id")).unionByName(alone)
 
 
-def _nearest(docs, weights, similarity, keyed, seen, links, classes) -> tuple[DataFrame, DataFrame]:
-    """Links and classes after comparing the members of open buckets with their nearest neighbours."""
-    for number in range(ROUNDS):
-        members = stored(_named(_open(keyed, classes).select("rep").distinct(), classes), "open")
-        if members.isEmpty():
-            break
-        near = _neighbours(members, docs, weights, similarity, number)
-        new = stored(near.join(seen, ["a", "b"], "left_anti"), "neighbour-pairs")
-        found = verified(new, docs, weights, similarity)
-        if found.isEmpty():
-            break
-        seen, links = seen.union(new), links.union(found)
-        classes = connected_components(links)
-    return links, classes
-
-
-def _every_pair(docs, weights, similarity, keyed, seen, links, classes) -> tuple[DataFrame, DataFrame]:
-    """The same after comparing every pair of an open bucket that has a rare shingle in common."""
-    mixed = stored(_mixed(keyed, classes), "mixed")
-    rare = stored(_rare_shingles(mixed.select("rep", "central").distinct(), docs, weights, similarity), "rare-shingles")
+def _every_pair(docs, weights, similarity, members, seen, links, classes) -> tuple[DataFrame, DataFrame]:
+    """Links and classes after comparing every pair of ``members`` that can reach the threshold, unless in one class."""
+    if members.isEmpty():
+        return links, classes
+    rare = stored(_rare_shingles(members, docs, weights, similarity), "rare-shingles")
     for pairs_of in (_with_leaders, _all_pairs):
         rare = stored(_mixed(rare, classes), "mixed-rare")
-        near = pairs_of(rare, classes, similarity)
-        new = stored(near.join(seen, ["a", "b"], "left_anti"), "rare-pairs")
-        if pairs_of is _all_pairs:
-            new = stored(_in_one_bucket(new, mixed), "bucket-pairs")
+        new = stored(pairs_of(rare, classes, similarity).join(seen, ["a", "b"], "left_anti"), "rare-pairs")
+        if new.isEmpty():
+            continue
         found = verified(new, docs, weights, similarity)
         seen, links = seen.union(new), links.union(found)
         if not found.isEmpty():
@@ -345,75 +324,6 @@ def _open(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     return others.join(several.select("key"), "key").select(*keyed.columns)
 
 
-def _sequences(members: DataFrame, docs: DataFrame, weights, number: int) -> DataFrame:
-    """tree, sequence, rep, of, weight, sketch: ``TREES`` rows for each member."""
-    side = F.broadcast(members) if small_enough(members, 80) else members
-    texts = docs.withColumnRenamed("doc_id", "rep").join(side, "rep").select("rep", "of", "text")
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        sampler = Sampler(TREES, DEPTH, BANDS * ROWS + number * TREES * DEPTH)
-        step = TREES * DEPTH // SKETCH
-        for batch in slices(batches, 64):
-            rows, totals, sequences, sketches = [], [], [], []
-            for i, value in enumerate(text_bytes(batch, "text")):
-                if not (words := word_list(value)):
-                    continue
-                shingles, counts = shingler.counted(words)
-                weight = weights.value.of(shingles, counts)
-                drawn = sampler.draws(shingles, weight)
-                rows.append(i)
-                totals.append(float(weight.sum()))
-                sequences += [own.tobytes() for own in (drawn >> np.uint64(32)).astype(">u4").reshape(TREES, DEPTH)]
-                sketches.append(drawn[::step].astype(np.uint8).tobytes())
-            if rows:
-                place = pa.array(np.repeat(rows, TREES))
-                each = pa.array(np.repeat(np.arange(len(rows)), TREES))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(rows))), pa.array(sequences, pa.binary()),
-                     batch.column("rep").take(place), batch.column("of").take(place),
-                     pa.array(totals).take(each), pa.array(sketches, pa.binary()).take(each)],
-                    ["tree", "sequence", "rep", "of", "weight", "sketch"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(draw, f"tree int, sequence binary, rep {kind}, of {kind}, weight double, sketch binary")
-
-
-def _neighbours(members: DataFrame, docs: DataFrame, weights, similarity: float, number: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different classes that are near each other in the order of some tree.
-
-    Orders are cut by ranges of whole sequences, so that a large bucket is spread over tasks; the few neighbours that
-    a border between ranges parts have the other trees to meet.
-    """
-    rows = stored(_sequences(members, docs, weights, number), "sequences")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            both = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            n = both.num_rows
-            tree, weight = (both.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "weight"))
-            begins = np.frombuffer(b"".join(both.column("sequence").to_pylist()), ">u4").reshape(n, DEPTH)[:, :ROWS]
-            sketch = np.frombuffer(b"".join(both.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
-            rep, of = both.column("rep"), both.column("of")
-            for far in range(1, min(NEIGHBOURS, n - 1) + 1):
-                near = (tree[far:] == tree[:-far]) & (begins[far:] == begins[:-far]).all(axis=1)
-                small, large = np.minimum(weight[far:], weight[:-far]), np.maximum(weight[far:], weight[:-far])
-                near &= small >= large * (similarity - 1e-6)
-                near &= np.asarray(pc.not_equal(of.slice(far), of.slice(0, n - far)).fill_null(False))
-                at = near.nonzero()[0]
-                at = at[(sketch[at + far] == sketch[at]).mean(axis=1) >= similarity - SKETCH_SLACK]
-                if len(at):
-                    pairs = [rep.take(pa.array(at)), rep.take(pa.array(at + far))]
-                    yield pa.RecordBatch.from_arrays(pairs, ["a", "b"])
-            held = both.slice(max(0, n - NEIGHBOURS))
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ordered = rows.repartitionByRange("tree", "sequence", "rep").sortWithinPartitions("tree", "sequence", "rep")
-    return _ordered(ordered.mapInArrow(compare, f"a {kind}, b {kind}"))
-
-
 def _central(keyed: DataFrame) -> DataFrame:
     """``keyed`` with ``central``: how many texts a text shares its buckets with, over all its bands."""
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
@@ -422,9 +332,10 @@ def _central(keyed: DataFrame) -> DataFrame:
     return shared.select("rep", "key").join(central, "rep")
 
 
-def _comparable(similarity: float) -> Column:
-    """Whether two weights are near enough for the similarity; a little is left for rounding."""
-    return F.least("weight_a", "weight_b") >= F.greatest("weight_a", "weight_b") * (similarity - 1e-6)
+def _reach(similarity: float) -> Column:
+    """Whether two texts that have no shingle in common before this one can be similar; a little is left for rounding."""
+    both = F.col("weight_a") + F.col("weight_b")
+    return F.least("left_a", "left_b") * (1 + similarity) >= both * (similarity - 1e-6)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -434,30 +345,32 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _with_leaders(keyed: DataFrame, classes: DataFrame, similarity: float | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of a bucket's most central text and each member of another class."""
     named = _named(keyed, classes)
-    weight = [F.col("weight")] if similarity else []
-    leaders = _leaders(named, [F.col("rep"), F.col("of"), *weight])
+    weight = ["weight", "left"] if similarity else []
+    leaders = _leaders(named, [F.col(c) for c in ("rep", "of", *weight)])
     met = named.join(leaders, "key").filter(F.col("leader.of") != F.col("of"))
     both = met.select(
         F.col("leader.rep").alias("a"), F.col("rep").alias("b"),
-        *([F.col("leader.weight").alias("weight_a"), F.col("weight").alias("weight_b")] if similarity else []),
+        *(F.col(f"leader.{c}").alias(f"{c}_a") for c in weight), *(F.col(c).alias(f"{c}_b") for c in weight),
     )
-    return _ordered(both.filter(_comparable(similarity)) if similarity else both)
+    return _ordered(both.filter(_reach(similarity)) if similarity else both)
 
 
 def _all_pairs(keyed: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, of one bucket and different classes."""
-    named = _named(keyed, classes)
-    left, right = (
-        named.select("key", F.col("rep").alias(x), F.col("of").alias(f"of_{x}"), F.col("weight").alias(f"weight_{x}")) for x in "ab"
-    )
-    differ = (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _comparable(similarity)
-    return left.join(right, "key").filter(differ).select("a", "b").distinct()
-
+    """Pairs (a, b), a < b, of different classes with a rare shingle in common that can reach the similarity.
 
-def _in_one_bucket(pairs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The pairs that share a band."""
-    left, right = (mixed.groupBy(F.col("rep").alias(x)).agg(F.collect_set("key").alias(f"keys_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").filter(F.arrays_overlap("keys_a", "keys_b")).select("a", "b")
+    Of such a pair one text, the lighter, has the shingle among its very rarest, so that only those rows look for others.
+    The rows of a shingle's largest class do not meet each other.
+    """
+    named = _named(keyed, classes)
+    sizes = named.groupBy("key", "of").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("of", F.struct("n", "of")).alias("largest"))
+    rows = named.join(largest, "key").withColumn("side", (F.col("of") == F.col("largest")).cast("int"))
+    early = rows.filter(F.col("left") * (1 + similarity) >= 2 * F.col("weight") * (similarity - 1e-6))
+    left = early.select("key", "side", *(F.col(c).alias(f"{c}_a") for c in ("rep", "of", "weight", "left")))
+    meets = F.explode(F.when(F.col("side") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    right = rows.select("key", meets.alias("side"), *(F.col(c).alias(f"{c}_b") for c in ("rep", "of", "weight", "left")))
+    met = left.join(right, ["key", "side"]).filter((F.col("of_a") != F.col("of_b")) & _reach(similarity))
+    return _ordered(met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
 
 
 def _mixed(keyed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -473,19 +386,19 @@ def _named(keyed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _rare_shingles(reps: DataFrame, docs: DataFrame, weights, similarity: float) -> DataFrame:
-    """rep, central, weight, key for each shingle (key) among the rarest of a text, and the weight of the whole text.
+    """rep, central, weight, left, key for each shingle (key) among the rarest of a text.
 
-    Shingles are in one order for all texts, by frequency, then by hash. What two texts of the similarity
-    have in common weighs at least ``similarity`` times either text; so where it begins, that much is left of each.
+    ``weight`` is that of the whole text, ``left`` what remains of it from this shingle on. Shingles are in one order for all
+    texts, by frequency, then by hash. What two texts of the similarity have in common weighs at least ``similarity`` times
+    either text; so where it begins, that much is left of each.
     """
-    reps = stored(reps, "mixed-reps")
     side = F.broadcast(reps) if small_enough(reps, 60) else reps
     texts = docs.withColumnRenamed("doc_id", "rep").join(side, "rep").select("rep", "central", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in slices(batches, 64):
-            at, totals, keys = [], [], []
+            at, totals, rests, keys = [], [], [], []
             for i, value in enumerate(text_bytes(batch, "text")):
                 if not (words := word_list(value)):
                     continue
@@ -494,20 +407,21 @@ def _rare_shingles(reps: DataFrame, docs: DataFrame, weights, similarity: float)
                 # idf falls with frequency, so that the rarest come first.
                 order = np.lexsort((shingles, -weights.value.idf_of(shingles)))
                 left = np.cumsum(weight[order][::-1])[::-1]
-                keep = order[left >= (similarity - 1e-6) * left[0]]
+                keep = (left >= (similarity - 1e-6) * left[0]).nonzero()[0]
                 at.append(np.full(len(keep), i))
                 totals.append(np.full(len(keep), left[0]))
-                keys.append(shingles[keep].view(np.int64))
+                rests.append(left[keep])
+                keys.append(shingles[order[keep]].view(np.int64))
             if keys:
                 place = pa.array(np.concatenate(at))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("rep").take(place), batch.column("central").take(place),
-                     pa.array(np.concatenate(totals)), pa.array(np.concatenate(keys))],
-                    ["rep", "central", "weight", "key"],
+                     *(pa.array(np.concatenate(column)) for column in (totals, rests, keys))],
+                    ["rep", "central", "weight", "left", "key"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(cut, f"rep {kind}, central long, weight double, key long")
+    return texts.mapInArrow(cut, f"rep {kind}, central long, weight double, left double, key long")
 
 
 def _within(exact: DataFrame, contents: DataFrame) -> DataFrame:
