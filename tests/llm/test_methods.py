@@ -513,6 +513,14 @@ def test_every_pair_is_found_that_can_reach_the_threshold(documents, monkeypatch
     assert found == _linked(texts)
 
 
+@pytest.mark.parametrize("words", [[b"a"], [b"a", b"b"], [b"%d" % (i % 7) for i in range(40)], [b"x" * 50_000, *[b"yz%d" % i for i in range(9000)]]])
+def test_shingles_are_alike_if_and_only_if_their_words_are(words):
+    hashes = nd.Shingler().hashes(words)
+    places = [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+    assert len(hashes) == len(places) and len(set(hashes.tolist())) == len(set(places))
+    assert len({(h, p) for h, p in zip(hashes.tolist(), places, strict=True)}) == len(set(places))
+
+
 def test_ties_between_central_texts_do_not_depend_on_order(documents):
     texts = [" ".join(["w%d" % (j + 3 * k) for j in range(90)]) for k in range(12)]
     first, again = (sorted(tuple(r) for r in nd.near_duplicates(frame).collect()) for frame in (documents(texts), documents(texts).orderBy(F.col("doc_id").desc()).repartition(5)))

@@ -53,26 +53,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Hashes of the shingles of a text; hashes of words are remembered."""
+    """Hashes of the shingles of a text: polynomials of its bytes, words apart by one space, mixed."""
 
-    def __init__(self, width: int = SHINGLE, remembered: int = 400_000):
-        self.width, self.remembered, self.known = width, remembered, {}
+    #: Words worked on at a time: their numbers stay in a core's cache.
+    PLACES = 4096
+
+    def __init__(self, width: int = SHINGLE):
+        self.width = width
+        self.of_byte = _mix(np.arange(1, 257, dtype=np.uint64) * _M3)
+        self._powers(1 << 15)
+
+    def _powers(self, n: int) -> None:
+        steps = np.full(n, _P)
+        steps[0] = 1
+        self.powers = np.cumprod(steps)
+        steps[1:] = np.uint64(pow(int(_P), -1, 1 << 64))
+        self.inverse = np.cumprod(steps)
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         """One hash per place; a text of fewer words is one shingle."""
-        import xxhash
-
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        for word in set(words):
-            if word not in known:
-                known[word] = xxhash.xxh64_intdigest(word)
-        each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         width = min(self.width, len(words))
-        total = np.full(len(words) - width + 1, np.uint64(width))
-        for i in range(width):
-            total = total * _P + each[i : len(words) - width + 1 + i]
+        total = np.empty(len(words) - width + 1, np.uint64)
+        for begin in range(0, len(total), self.PLACES):
+            part = words[begin : begin + self.PLACES + width - 1]
+            text = np.frombuffer(b" ".join(part), np.uint8)
+            if len(text) > len(self.powers):
+                self._powers(2 * len(text))
+            run = np.zeros(len(text) + 1, np.uint64)
+            np.cumsum(self.of_byte[text] * self.powers[: len(text)], out=run[1:])
+            gaps = (text == 0x20).nonzero()[0]
+            first = np.append(0, gaps + 1)[: len(part) - width + 1]
+            last = np.append(gaps, len(text))[width - 1 :]
+            total[begin : begin + len(first)] = (run[last] - run[first]) * self.inverse[first]
         return _mix(total)
 
     def counted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +117,10 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return common / total if total > 0 else 0.0
 
 
+def _halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return values.astype(np.uint32), (values >> np.uint64(32)).astype(np.uint32)
+
+
 class Sampler:
     """Improved consistent weighted sampling: for each of K draws, the shingle that has the smallest
 
@@ -114,37 +130,71 @@ class Sampler:
     """
 
     #: (draw, shingle) pairs worked on at a time: their numbers stay in a core's cache.
-    PLACES = 20_000
+    PLACES = 30_000
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS, first: int = 0):
-        """``first`` draws are left out, so that samplers with others draw independently."""
+    def __init__(self, bands: int = BANDS, rows: int = ROWS):
         self.bands, self.rows = bands, rows
-        self.block = max(64, self.PLACES // (bands * rows))
-        self.seeds = _mix(np.arange(first + 1, first + bands * rows + 1, dtype=np.uint64) * _M3)[:, None]
+        draws = bands * rows
+        self.block = max(64, self.PLACES // draws)
+        seeds = _mix(np.arange(1, draws + 1, dtype=np.uint64) * _M3)
+        self.low, self.high = (half[:, None] for half in _halves(seeds))
+        # Numbers are written where others were: new memory for each step would cost more than the step.
+        self.room = [np.empty(draws * self.block, np.uint32) for _ in range(7)]
 
     def draws(self, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        best = np.full(len(self.seeds), np.inf, np.float32)
-        drawn = np.zeros(len(self.seeds), np.uint64)
+        n = len(self.low)
+        best, drawn = np.full(n, np.inf, np.float32), np.zeros(n, np.uint64)
+        row, log_w = np.arange(n), np.log(weights).astype(np.float32)
+        low, high = _halves(shingles)
         for begin in range(0, len(shingles), self.block):
-            part = shingles[begin : begin + self.block]
-            log_w = np.log(weights[begin : begin + self.block]).astype(np.float32)
-            x = _mix(part[None, :] ^ self.seeds)
-            y = (x ^ (x >> np.uint64(32))) * _M3
-
-            def uniform(bits: np.ndarray, shift: int, width: int) -> np.ndarray:
-                mask = np.uint64((1 << width) - 1)
-                return (((bits >> np.uint64(shift)) & mask).astype(np.float32) + np.float32(0.5)) / np.float32(1 << width)
-
-            r = -np.log(uniform(x, 0, 22) * uniform(x, 22, 22))
-            log_c = np.log(-np.log(uniform(y, 20, 22) * uniform(y, 42, 22)))
-            beta = uniform(x, 44, 20)
-            t = np.floor(log_w[None, :] / r + beta)
-            log_a = log_c - r * (t - beta) - r
+            end = min(begin + self.block, len(shingles))
+            x, y, bits, other, *floats = (own[: n * (end - begin)].reshape(n, end - begin) for own in self.room)
+            r, log_c, t = (own.view(np.float32) for own in floats)
+
+            def stir(value: np.ndarray, factor: int, shift: int) -> None:
+                np.multiply(value, np.uint32(factor), out=value)
+                np.right_shift(value, np.uint32(shift), out=bits)
+                np.bitwise_xor(value, bits, out=value)
+
+            def gamma(value: np.ndarray, out: np.ndarray) -> None:
+                """-ln(u v), u and v being the halves of ``value``, made odd, over 2^16; overwrites ``t``."""
+                np.bitwise_or(value, np.uint32(0x10001), out=bits)
+                np.right_shift(bits, np.uint32(16), out=other)
+                np.bitwise_and(bits, np.uint32(0xFFFF), out=bits)
+                np.copyto(out, bits.view(np.int32))
+                np.copyto(t, other.view(np.int32))
+                np.multiply(out, t, out=out)
+                np.log(out, out=out)
+                np.subtract(np.float32(32 * np.log(2)), out, out=out)
+
+            np.bitwise_xor(low[begin:end], self.low, out=x)
+            stir(x, 0x7FEB352D, 15)
+            np.bitwise_xor(x, high[begin:end], out=x)
+            np.add(x, self.high, out=x)
+            stir(x, 0x846CA68B, 16)
+            np.copyto(y, x)
+            stir(y, 0x9E3779B1, 15)
+            stir(y, 0x85EBCA77, 13)
+            gamma(x, r)
+            gamma(y, log_c)
+            np.log(log_c, out=log_c)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, np.uint32(0xC2B2AE3D), out=x)
+            np.right_shift(x, np.uint32(8), out=x)
+            log_a = y.view(np.float32)  # beta at first
+            np.copyto(log_a, x.view(np.int32))
+            np.multiply(log_a, np.float32(2**-24), out=log_a)
+            np.divide(log_w[begin:end], r, out=t)
+            np.add(t, log_a, out=t)
+            np.floor(t, out=t)
+            np.subtract(log_a, t, out=log_a)
+            np.subtract(log_a, np.float32(1), out=log_a)
+            np.multiply(log_a, r, out=log_a)
+            np.add(log_a, log_c, out=log_a)
             at = log_a.argmin(axis=1)
-            row = np.arange(len(at))
             smallest = log_a[row, at]
             better = smallest < best
-            here = _mix(part[at] ^ _mix(t[row, at].astype(np.int64).astype(np.uint64) + _P))
+            here = _mix(shingles[begin:end][at] ^ _mix(t[row, at].astype(np.int64).astype(np.uint64) + _P))
             best[better], drawn[better] = smallest[better], here[better]
         return drawn
 
