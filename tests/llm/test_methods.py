@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from wattline.llm import html_wrapper as hw
 from wattline.llm import license_index
 from wattline.llm import near_duplicates as nd
 from wattline.llm import sanitise, token_prefix
-from wattline.llm.common import word_list
+from wattline.llm.common import WORD, WORD_ANY_CASE, word_list
 from wattline.llm.components import connected_components
 from wattline.llm.decision_list import expression, learn
 from wattline.llm.decontaminate import PositionalIndex, phrase_places, phrases, proximity_matches
@@ -355,6 +356,16 @@ def test_draws_collide_as_often_as_sets_are_similar():
     assert same == pytest.approx(nd.weighted_jaccard(a, b), abs=0.05)
 
 
+def test_words_are_runs_of_the_contracts_characters_without_ranges(spark):
+    """Every ASCII character, and some others, alone between two letters; Java reads ranges in a class much more slowly."""
+    texts = [f"a{chr(c)}b" for c in [*range(128), 0x80, 0xE9, 0xFF, 0x130, 0x2028, 0xFFFD, 0x1F600]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for pattern, plain in ((WORD, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), (WORD_ANY_CASE, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")):
+        found = rows.select("doc_id", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("words")).collect()
+        assert {r["doc_id"]: r["words"] for r in found} == {i: re.findall(plain, t) for i, t in enumerate(texts)}
+        assert "-" not in pattern
+
+
 def test_near_duplicates_equal_brute_force(documents):
     rng = random.Random(7)
     texts = []

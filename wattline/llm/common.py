@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from wattline.session import new_work_dir
 
-# Fixed by the contracts: a word is a maximal run of these characters, after A-Z are lowered.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Fixed by the contracts: a word is a maximal run of [^\x00-\x2F\x3A-\x60\x7B-\x7F], after A-Z are lowered. The characters
+# are listed one by one: Java looks these up in a table, but tries ranges one after the other, ten times as slowly.
+WORD = "[^" + "".join(f"\\x{b:02X}" for b in range(128) if not chr(b).islower() and not chr(b).isdigit()) + "]+"
 # The same words in text whose capitals are still there.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD_ANY_CASE = "[^" + "".join(f"\\x{b:02X}" for b in range(128) if not chr(b).isalnum()) + "]+"
 # Fixed by the contracts: a word between white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 

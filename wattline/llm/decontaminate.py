@@ -23,7 +23,7 @@ SHARE = 20
 
 def words_of(text: Column) -> Column:
     """All words in order, capitals as they stand; a null text has none."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD_ANY_CASE})"), F.lit(1)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD_ANY_CASE), F.lit(0)), F.array().cast("array<string>"))
 
 
 def phrases(items: DataFrame) -> DataFrame:
