@@ -182,6 +182,22 @@ def test_chunks_give_the_tokens_of_the_library(remembered):
             assert ids[first:last].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_strings_are_copied_in_blocks_and_batches_are_looked_up_at_once(monkeypatch):
+    """Ids of known strings do not depend on the size of a block; a usual batch of Spark's is one piece."""
+    rng = np.random.default_rng(4)
+    pool, lengths = tg.IdPool(), rng.integers(0, 5, 50)
+    ids = rng.integers(0, 1 << 30, int(lengths.sum())).astype(np.uint32)
+    pool.add(pa.array([f"s{i}" for i in range(50)]), ids, lengths)
+    numbers, begins = rng.integers(0, 50, 1000), np.cumsum(lengths) - lengths
+    expected = np.concatenate([ids[begins[n] : begins[n] + lengths[n]] for n in numbers])
+    monkeypatch.setattr(tg, "TAKEN", 7)
+    found, sizes = pool.take(numbers)
+    assert (found == expected).all() and (sizes == lengths[numbers]).all()
+    assert len(pool.take(numbers[:0])[0]) == 0
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 2500] * 9000)], ["text"])
+    assert len(list(tg.pieces_of(batch, limit=tg.ENCODE_BYTES))) == 1
+
+
 def test_texts_are_encoded_in_pieces_of_bounded_size():
     batch = pa.record_batch({"text": pa.array(["a" * n if n else None for n in (5, 0, 3, 30, 1, 1, 9)])})
     parts = [p.num_rows for p in tg.pieces_of(batch, limit=10)]

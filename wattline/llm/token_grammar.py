@@ -48,6 +48,10 @@ REMEMBERED = 600_000
 JOINED = 500
 #: Text encoded at a time.
 BATCH_BYTES = 8 << 20
+#: The same for token files: each lookup goes over all known chunks, so that few large ones take less time than many.
+ENCODE_BYTES = 24 << 20
+#: Strings whose ids are copied at a time.
+TAKEN = 1 << 18
 ROW_GROUP_BYTES = 16 << 20
 
 
@@ -88,9 +92,12 @@ def compatible(keys: np.ndarray, room: int, shift: int) -> np.ndarray:
 
 def replaced(sequence: np.ndarray, pairs: np.ndarray, keys: np.ndarray, first_symbol: int, shift: int) -> np.ndarray:
     """``sequence`` with compatible ``pairs`` (whose ``keys`` are sorted) replaced by symbols from ``first_symbol`` on."""
-    begins, ends = (np.zeros(first_symbol, bool) for _ in range(2))
-    begins[pairs[:, 0]], ends[pairs[:, 1]] = True, True
-    at = (begins[sequence[:-1]] & ends[sequence[1:]]).nonzero()[0]
+    # For each symbol, whether it begins a pair (1) and ends one (2): one look at each place.
+    roles = np.zeros(first_symbol, np.uint8)
+    roles[pairs[:, 0]], roles[pairs[:, 1]] = 1, 2
+    roles[pairs[pairs[:, 0] == pairs[:, 1], 0]] = 3
+    role = roles.take(sequence)
+    at = ((role[:-1] & (role[1:] >> 1)).view(bool)).nonzero()[0]
     here = pair_keys(sequence[at], sequence[at + 1], shift)
     rank = np.minimum(np.searchsorted(keys, here), len(keys) - 1)
     right = keys[rank] == here
@@ -214,8 +221,15 @@ class IdPool:
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some strings, joined, and how many each has."""
         lengths = self.begins[numbers + 1] - self.begins[numbers]
-        before = np.cumsum(lengths) - lengths
-        return self.ids[np.arange(int(lengths.sum())) + np.repeat(self.begins[numbers] - before, lengths)], lengths
+        ids, at = np.empty(int(lengths.sum()), np.uint32), 0
+        for first in range(0, len(numbers), TAKEN):
+            own = lengths[first : first + TAKEN]
+            ends = np.cumsum(own)
+            places = np.arange(ends[-1])
+            places += np.repeat(self.begins[numbers[first : first + TAKEN]] - ends + own, own)
+            self.ids.take(places, out=ids[at : at + len(places)], mode="clip")
+            at += len(places)
+        return ids, lengths
 
 
 def _with_room(values: np.ndarray, needed: int) -> np.ndarray:
@@ -389,7 +403,7 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(row, kinds, strict=True)], names)
 
         for whole in batches:
-            for batch in pieces_of(whole):
+            for batch in pieces_of(whole, limit=ENCODE_BYTES):
                 ids, ends = chunks.encode(batch.column("text"))
                 for i, (begin, end) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
                     pending.append(np.concatenate([ids[begin:end], tail]))
