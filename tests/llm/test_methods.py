@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import near_duplicate_removal
 from tests.llm import brute
 from wattline.llm import html_wrapper as hw
 from wattline.llm import license_index
@@ -511,6 +512,12 @@ def test_no_link_is_lost_among_many_texts_just_below_the_threshold(documents):
     assert found == expected
 
 
+def test_pipeline_removes_every_copy_among_texts_just_below_the_threshold(spark, documents):
+    texts = _just_below(random.Random(5), 150)
+    kept = near_duplicate_removal(spark, documents(texts), "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(_linked(texts).values()))
+
+
 def test_every_pair_is_found_that_can_reach_the_threshold(documents, monkeypatch):
     """Without bands in common, links between texts of different lengths come from the join of rare shingles alone."""
     rng = random.Random(21)
