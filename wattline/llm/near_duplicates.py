@@ -7,14 +7,14 @@ link only if its weighted Jaccard similarity, computed from the whole texts, rea
 
 Equal texts are one node. Within a band bucket every text is first compared with the bucket's most
 central one, the text whose buckets are largest: of edited copies that is the original, whatever its id.
-Links are joined to classes. Buckets whose other members are still in several classes - texts that share a passage or a
-form, say - are *open*. Between their members a join finds every pair of different classes that can reach the threshold, so
-that none is lost: all shingles have one order, the rarest first, and what two texts have in common lies behind the
-first shingle they share. It must weigh ``similarity / (1 + similarity)`` of both texts together, so that shingle is among
-the rarest ninth (at 0.8) of one text's weight and the rarest fifth of the other's. Texts that are only half alike differ in
-their rarest shingles and do not meet. Within a class nothing is compared again. A group whose texts are all a little below
-the threshold may cost as many comparisons as it has pairs. ``exact=True`` lets all texts take part in that join, so that
-pairs that miss every band are found too.
+Links are joined to classes. What the bands leave - other members of a bucket, and pairs that miss every band - an exact join
+finds: every pair of different classes that can reach the threshold, so that none is lost. All shingles have one order, the
+rarest first, and what two texts have in common lies behind the first shingle they share. It must weigh
+``similarity / (1 + similarity)`` of both texts together, so that shingle is among the rarest ninth (at 0.8) of one text's weight
+and the rarest fifth of the other's. Texts that are only half alike differ in their rarest shingles and do not meet. Within a
+class nothing is compared again. A group whose texts are all a little below the threshold may cost as many comparisons as it has
+pairs. ``exact=False`` lets only members of *open* buckets take part in that join, those whose other members are still in several
+classes - texts that share a passage or a form, say; pairs that miss every band are lost then.
 """
 
 from __future__ import annotations
@@ -236,34 +236,58 @@ def shingle_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray
     return frequency, int(n[bucket < 0].sum())
 
 
-def signatures(docs: DataFrame, weights) -> DataFrame:
-    """doc_id, content (digest of the word sequence, null without words), bands, for each row of ``docs``."""
+def signatures(docs: DataFrame, weights, similarity: float | None = None) -> DataFrame:
+    """doc_id, content (digest of the word sequence, null without words), bands, for each row of ``docs``.
+
+    With a similarity also what ``_rarest`` gives for each text: weight, keys, lefts.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sampler, known = Shingler(), Sampler(), {}
         for batch in slices(batches):
-            contents, bands = [], []
+            contents, bands, rare = [], [], []
             for value in text_bytes(batch, "text"):
                 words = word_list(value)
                 if not words:
                     contents.append(None)
                     bands.append(None)
+                    rare.append((None, None, None))
                     continue
                 content = hashlib.md5(b" ".join(words), usedforsecurity=False).digest()
+                counted = None
                 if content not in known:
                     if len(known) > 20_000:
                         known.clear()
-                    shingles, counts = shingler.counted(words)
-                    known[content] = sampler.band_keys(shingles, weights.value.of(shingles, counts))
+                    counted = shingler.counted(words)
+                    known[content] = sampler.band_keys(counted[0], weights.value.of(*counted))
                 contents.append(content)
                 bands.append(known[content])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(contents, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "content", "bands"],
-            )
-
+                if similarity:
+                    rare.append(_rarest(*(counted or shingler.counted(words)), weights.value, similarity))
+            columns = [batch.column("doc_id"), pa.array(contents, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            if similarity:
+                kinds = (pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+                columns += [pa.array(column, kind) for column, kind in zip(zip(*rare, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "content", "bands", *(["weight", "keys", "lefts"] if similarity else [])]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, content binary, bands array<long>")
+    kinds = [kind, "binary", "array<long>", "double", "array<long>", "array<double>"]
+    return docs.select("doc_id", "text").mapInArrow(sign, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+
+
+def _rarest(shingles: np.ndarray, counts: np.ndarray, weights: Weights, similarity: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weight of a text, its rarest shingles as keys, and what remains of the weight from each of them on.
+
+    Shingles are in one order for all texts, by frequency, then by hash. What two texts of the similarity have in common weighs
+    at least ``similarity`` times either text; so where it begins, that much is left of each.
+    """
+    weight = weights.of(shingles, counts).astype(np.float64)
+    # idf falls with frequency, so that the rarest come first.
+    order = np.lexsort((shingles, -weights.idf_of(shingles)))
+    left = np.cumsum(weight[order][::-1])[::-1]
+    keep = (left >= (similarity - 1e-6) * left[0]).nonzero()[0]
+    return left[0], shingles[order[keep]].view(np.int64), left[keep]
 
 
 def verified(pairs: DataFrame, docs: DataFrame, weights, similarity: float = SIMILARITY) -> DataFrame:
@@ -297,19 +321,20 @@ def verified(pairs: DataFrame, docs: DataFrame, weights, similarity: float = SIM
     return stored(found.distinct(), "near-links")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, *, exact: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, *, exact: bool = True) -> DataFrame:
     """doc_id, class_id for each row of ``docs``: the smallest id of the documents it is linked with.
 
     Texts with equal words are linked; so are texts of a similarity of at least ``similarity``, and
     whatever is connected through links. A text without words (null and empty ones) is alone. A
     text of fewer than five words is one shingle. Rows that share a doc_id count as one document;
     a null id is left alone. Only doc_id and text are read. Ties between central texts go to the smallest id.
-    ``exact`` compares all pairs that can reach the threshold, whether they share a band or not.
+    All pairs that can reach the threshold are compared, whether they share a band or not; only those that share one
+    if ``exact`` is false.
     """
     docs = docs.select("doc_id", "text")
     frequency, documents = shingle_frequencies(docs)
     weights = docs.sparkSession.sparkContext.broadcast(Weights.from_frequencies(frequency, documents))
-    signed = stored(signatures(docs, weights), "signatures")
+    signed = stored(signatures(docs, weights, similarity if exact else None), "signatures")
 
     contents = signed.filter(F.col("content").isNotNull() & F.col("doc_id").isNotNull())
     texts = stored(contents.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "contents")
@@ -324,11 +349,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, *, exact: b
         classes = connected_components(links)
 
     if exact:
-        central = keyed.select("rep", "central").distinct()
-        members = bands.select("rep").join(central, "rep", "left").select("rep", F.coalesce("central", F.lit(0)).alias("central"))
+        rare = _rare_of_all(contents, texts, keyed.select("rep", "central").distinct(), classes)
     else:
-        members = _open(keyed, classes).select("rep", "central").distinct()
-    links, classes = _every_pair(docs, weights, similarity, stored(members, "open"), seen, links, classes)
+        members = stored(_open(keyed, classes).select("rep", "central").distinct(), "open")
+        rare = stored(_rare_shingles(members, docs, weights, similarity), "rare-shingles")
+    links, classes = _every_pair(docs, weights, similarity, rare, seen, links, classes)
 
     same = stored(_within(texts, contents), "same-id")
     if not same.isEmpty():
@@ -344,11 +369,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, *, exact: b
     return found.select("doc_id", F.col("class").alias("class_id")).unionByName(alone)
 
 
-def _every_pair(docs, weights, similarity, members, seen, links, classes) -> tuple[DataFrame, DataFrame]:
-    """Links and classes after comparing every pair of ``members`` that can reach the threshold, unless in one class."""
-    if members.isEmpty():
+def _every_pair(docs, weights, similarity, rare, seen, links, classes) -> tuple[DataFrame, DataFrame]:
+    """Links and classes after comparing every pair of texts with a rare shingle in common, if it can reach the threshold.
+
+    Pairs within a class are left out.
+    """
+    if rare.isEmpty():
         return links, classes
-    rare = stored(_rare_shingles(members, docs, weights, similarity), "rare-shingles")
     for pairs_of in (_with_leaders, _all_pairs):
         rare = stored(_mixed(rare, classes), "mixed-rare")
         new = stored(pairs_of(rare, classes, similarity).join(seen, ["a", "b"], "left_anti"), "rare-pairs")
@@ -436,12 +463,7 @@ def _named(keyed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _rare_shingles(reps: DataFrame, docs: DataFrame, weights, similarity: float) -> DataFrame:
-    """rep, central, weight, left, key for each shingle (key) among the rarest of a text.
-
-    ``weight`` is that of the whole text, ``left`` what remains of it from this shingle on. Shingles are in one order for all
-    texts, by frequency, then by hash. What two texts of the similarity have in common weighs at least ``similarity`` times
-    either text; so where it begins, that much is left of each.
-    """
+    """rep, central, weight, left, key for each shingle (key) among the rarest of a text (see ``_rarest``)."""
     side = F.broadcast(reps) if small_enough(reps, 60) else reps
     texts = docs.withColumnRenamed("doc_id", "rep").join(side, "rep").select("rep", "central", "text")
 
@@ -452,16 +474,11 @@ def _rare_shingles(reps: DataFrame, docs: DataFrame, weights, similarity: float)
             for i, value in enumerate(text_bytes(batch, "text")):
                 if not (words := word_list(value)):
                     continue
-                shingles, counts = shingler.counted(words)
-                weight = weights.value.of(shingles, counts).astype(np.float64)
-                # idf falls with frequency, so that the rarest come first.
-                order = np.lexsort((shingles, -weights.value.idf_of(shingles)))
-                left = np.cumsum(weight[order][::-1])[::-1]
-                keep = (left >= (similarity - 1e-6) * left[0]).nonzero()[0]
-                at.append(np.full(len(keep), i))
-                totals.append(np.full(len(keep), left[0]))
-                rests.append(left[keep])
-                keys.append(shingles[order[keep]].view(np.int64))
+                weight, rarest, left = _rarest(*shingler.counted(words), weights.value, similarity)
+                at.append(np.full(len(left), i))
+                totals.append(np.full(len(left), weight))
+                rests.append(left)
+                keys.append(rarest)
             if keys:
                 place = pa.array(np.concatenate(at))
                 yield pa.RecordBatch.from_arrays(
@@ -474,6 +491,28 @@ def _rare_shingles(reps: DataFrame, docs: DataFrame, weights, similarity: float)
     return texts.mapInArrow(cut, f"rep {kind}, central long, weight double, left double, key long")
 
 
+def _rare_of_all(contents: DataFrame, texts: DataFrame, central: DataFrame, classes: DataFrame) -> DataFrame:
+    """What ``_rare_shingles`` gives for all texts, from their signatures; only shingles that several classes have.
+
+    Nearly all shingles are in one text only, so that few rows are left to be joined.
+    """
+    copies = stored(contents.select("doc_id", "content").join(texts.select("content", "rep"), "content").filter("doc_id <> rep"), "copies")
+    other = F.broadcast(copies) if small_enough(copies, 60) else copies
+    own = contents.withColumnRenamed("doc_id", "rep").join(
+        other.select(F.col("doc_id").alias("rep"), "content"), ["rep", "content"], "left_anti"
+    )
+    named = classes.withColumnRenamed("node", "rep")
+    named = F.broadcast(named) if small_enough(classes, 60) else named
+    of = own.select("rep", "keys").join(named, "rep", "left").select(F.coalesce("component", "rep").alias("of"), F.explode("keys").alias("key"))
+    several = of.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high")
+    several = stored(several.select("key"), "mixed-keys")
+    few = F.broadcast(several) if small_enough(several, 30) else several
+    rows = own.select("rep", "weight", F.explode(F.arrays_zip("keys", "lefts")).alias("at"))
+    rows = rows.select("rep", "weight", F.col("at.lefts").alias("left"), F.col("at.keys").alias("key")).join(few, "key")
+    rows = rows.join(central, "rep", "left").select("rep", F.coalesce("central", F.lit(0)).alias("central"), "weight", "left", "key")
+    return stored(rows, "rare-shingles")
+
+
 def _within(exact: DataFrame, contents: DataFrame) -> DataFrame:
     """Edges between the nodes that rows sharing a doc_id belong to; there are none if ids are unique."""
     several = contents.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("content").alias("c")).filter(F.col("n") > 1)
