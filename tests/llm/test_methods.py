@@ -551,6 +551,65 @@ def test_every_pair_is_found_that_can_reach_the_threshold(documents, monkeypatch
     assert found == _linked(texts)
 
 
+def test_texts_are_opened_only_for_pairs_that_cells_leave(documents, monkeypatch):
+    """Texts that are some 0.3 alike share rare shingles and bands; five pairs of them are duplicates."""
+    opened, stored = [], nd.stored
+    monkeypatch.setattr(nd, "stored", lambda rows, purpose: (out := stored(rows, purpose), purpose == "near-texts" and opened.append(out.count()))[0])
+    rng = random.Random(31)
+    family = _half_alike(rng, 120, 20)
+    texts = [" ".join(t) for t in [*family, *(_edited(rng, family[k], 2) for k in range(5))]]
+    found = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(documents(texts)).collect()}
+    assert found == _linked(texts) and len(set(found.values())) == 120
+    assert 10 <= sum(opened) <= 20
+
+
+def test_rare_shingles_of_all_texts_are_shuffled_once(spark, documents, monkeypatch):
+    """If no table may be broadcast, and if the table of bits is full, too."""
+    plans, stored, before = [], nd.stored, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def spied(rows, purpose):
+        if purpose == "rare-shingles":
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return stored(rows, purpose)
+
+    monkeypatch.setattr(nd, "stored", spied)
+    monkeypatch.setattr(nd, "small_enough", lambda *_: False)
+    monkeypatch.setattr(nd.Sampler, "band_keys", lambda self, shingles, weights: shingles[:1].view(np.int64))
+    texts = _just_below(random.Random(6), 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bits_of in (nd._bits, lambda keys: (64 - 15, np.full(1 << 12, 255, np.uint8))):
+            monkeypatch.setattr(nd, "_bits", bits_of)
+            assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(documents(texts)).collect()} == _linked(texts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2 and not any("hashpartitioning(key" in plan for plan in plans)
+
+
+def test_bits_are_those_of_the_keys(spark):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), *(random.Random(3).randrange(-(2**63), 2**63) for _ in range(3000))]
+    shift, table = nd._bits(spark.createDataFrame([(k,) for k in keys], "key long"))
+    places = {(k % 2**64) >> shift for k in keys}
+    assert set(np.unpackbits(table, bitorder="little").nonzero()[0].tolist()) == places
+    assert len(table) * 8 >= nd.KEY_BITS * len(keys)
+
+
+def test_cells_never_hide_a_similar_pair():
+    rng = np.random.default_rng(4)
+    far = 0
+    for n in (1, 5, 30, 300, 3000):
+        for changed in (0.0, 0.05, 0.1, 0.2, 0.6, 1.0):
+            shingles = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            other = np.where(rng.random(len(shingles)) < changed, rng.integers(0, 2**64, len(shingles), np.uint64), shingles)
+            other = np.unique(np.append(other, rng.integers(0, 2**64, n // 7, np.uint64)))
+            for high in (2, 10**8):
+                a, b = ((s, 1.2 * (1 + np.log((s >> np.uint64(20)) % np.uint64(high) + np.uint64(1)))) for s in (shingles, other))
+                most = nd._most_alike(nd._cells(*a), nd._cells(*b), a[1].sum(), b[1].sum())
+                assert most >= nd.weighted_jaccard(a, b) - 1e-9
+                far += changed == 1 and most < 0.8
+    assert far >= 4
+
+
 @pytest.mark.parametrize("words", [[b"a"], [b"a", b"b"], [b"%d" % (i % 7) for i in range(40)], [b"x" * 50_000, *[b"yz%d" % i for i in range(9000)]]])
 def test_shingles_are_alike_if_and_only_if_their_words_are(words):
     hashes = nd.Shingler().hashes(words)

@@ -12,7 +12,8 @@ finds: every pair of different classes that can reach the threshold, so that non
 rarest first, and what two texts have in common lies behind the first shingle they share. It must weigh
 ``similarity / (1 + similarity)`` of both texts together, so that shingle is among the rarest ninth (at 0.8) of one text's weight
 and the rarest fifth of the other's. Texts that are only half alike differ in their rarest shingles and do not meet. Within a
-class nothing is compared again. A group whose texts are all a little below the threshold may cost as many comparisons as it has
+class nothing is compared again. Before whole texts meet, their weights per cell of a small table do: what two texts have in common
+is at most what both have in each cell, so that pairs that are far apart are dropped without opening a text. A group whose texts are all a little below the threshold may cost as many comparisons as it has
 pairs. ``exact=False`` lets only members of *open* buckets take part in that join, those whose other members are still in several
 classes - texts that share a passage or a form, say; pairs that miss every band are lost then.
 """
@@ -41,6 +42,12 @@ BUCKETS = 1 << 18
 #: How much more a shingle of one document weighs than one of all: idf runs from 1 to 1 + this.
 #: It is small so that edits of a much-copied text do not outweigh what the copies share.
 IDF_GAIN = 0.25
+#: Most bits of the table of shingles that several classes have, for each task; it has ``KEY_BITS`` per shingle until then.
+MIXED_BITS, KEY_BITS = 1 << 27, 128
+#: Bits on one page of that table, as Spark's bitmap functions have them.
+PAGE_BITS = 1 << 15
+#: Steps in which cells count the weight of a text.
+CELL_STEPS = 16
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2, _M3 = (np.uint64(m) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -117,6 +124,23 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return common / total if total > 0 else 0.0
 
 
+def _cells(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weight in each of 2^k cells of shingles by hash, about one per shingle, in steps, rounded up; 255 stands for more, too."""
+    n = max(8, 1 << len(shingles).bit_length() - 1)
+    summed = np.bincount((shingles % np.uint64(n)).astype(np.int64), weights, minlength=n)
+    return np.minimum(np.ceil(summed * CELL_STEPS), 255).astype(np.uint8)
+
+
+def _most_alike(a: np.ndarray, b: np.ndarray, weight_a: float, weight_b: float) -> float:
+    """The weighted Jaccard similarity is at most this, by the cells of two texts and their weights."""
+    n = min(len(a), len(b))
+    a, b = (x.reshape(-1, n) for x in (a, b))
+    least = np.minimum(a.sum(axis=0, dtype=np.int64), b.sum(axis=0, dtype=np.int64)).sum() / CELL_STEPS
+    # A full cell may hold more than it says; then the weights alone decide.
+    common = min(weight_a, weight_b, least if max(a.max(), b.max()) < 255 else np.inf)
+    return common / (weight_a + weight_b - common)
+
+
 def _halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values.astype(np.uint32), (values >> np.uint64(32)).astype(np.uint32)
 
@@ -266,13 +290,13 @@ def signatures(docs: DataFrame, weights, similarity: float | None = None) -> Dat
                     rare.append(_rarest(*(counted or shingler.counted(words)), weights.value, similarity))
             columns = [batch.column("doc_id"), pa.array(contents, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             if similarity:
-                kinds = (pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+                kinds = (pa.float32(), pa.list_(pa.int64()), pa.list_(pa.float32()))
                 columns += [pa.array(column, kind) for column, kind in zip(zip(*rare, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "content", "bands", *(["weight", "keys", "lefts"] if similarity else [])]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    kinds = [kind, "binary", "array<long>", "double", "array<long>", "array<double>"]
+    kinds = [kind, "binary", "array<long>", "float", "array<long>", "array<float>"]
     return docs.select("doc_id", "text").mapInArrow(sign, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 
@@ -280,23 +304,21 @@ def _rarest(shingles: np.ndarray, counts: np.ndarray, weights: Weights, similari
     """Weight of a text, its rarest shingles as keys, and what remains of the weight from each of them on.
 
     Shingles are in one order for all texts, by frequency, then by hash. What two texts of the similarity have in common weighs
-    at least ``similarity`` times either text; so where it begins, that much is left of each.
+    at least ``similarity`` times either text; so where it begins, that much is left of each. Weights are rounded to single
+    precision, which errs by less than the 1e-6 that comparisons leave.
     """
     weight = weights.of(shingles, counts).astype(np.float64)
     # idf falls with frequency, so that the rarest come first.
     order = np.lexsort((shingles, -weights.idf_of(shingles)))
     left = np.cumsum(weight[order][::-1])[::-1]
     keep = (left >= (similarity - 1e-6) * left[0]).nonzero()[0]
-    return left[0], shingles[order[keep]].view(np.int64), left[keep]
+    return np.float32(left[0]), shingles[order[keep]].view(np.int64), left[keep].astype(np.float32)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, weights, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of document ids whose whole texts are at least so similar."""
-    pairs = stored(pairs, "near-pairs")
-    needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-needed")
-    side = F.broadcast(needed) if small_enough(needed, 60) else needed
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(side, "id")
-    texts = stored(texts, "near-texts")
+    pairs = _close(stored(pairs, "near-pairs"), docs, weights, similarity)
+    texts = stored(_needed(pairs, docs), "near-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, vector = Shingler(), None, None
@@ -321,6 +343,44 @@ def verified(pairs: DataFrame, docs: DataFrame, weights, similarity: float = SIM
     return stored(found.distinct(), "near-links")
 
 
+def _needed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, text of the documents in the pairs."""
+    needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-needed")
+    side = F.broadcast(needed) if small_enough(needed, 60) else needed
+    return docs.select(F.col("doc_id").alias("id"), "text").join(side, "id")
+
+
+def _close(pairs: DataFrame, docs: DataFrame, weights, similarity: float) -> DataFrame:
+    """The pairs that can be so similar by their cells, a tenth of the size of their texts."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in slices(batches):
+            totals, cells = [], []
+            for value in text_bytes(batch, "text"):
+                shingles, counts = shingler.counted(word_list(value))
+                weight = weights.value.of(shingles, counts)
+                totals.append(weight.sum())
+                cells.append(_cells(shingles, weight).tobytes())
+            columns = [batch.column("id"), pa.array(totals, pa.float64()), pa.array(cells, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "weight", "cells"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            cells = ([np.frombuffer(c, np.uint8) for c in batch.column(name).to_pylist()] for name in ("cells_a", "cells_b"))
+            weight = (batch.column(name).to_numpy() for name in ("weight_a", "weight_b"))
+            most = [_most_alike(*both) for both in zip(*cells, *weight, strict=True)]
+            keep = pa.array([m >= similarity - 1e-6 for m in most], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    found = stored(_needed(pairs, docs).mapInArrow(weigh, f"id {kind}, weight double, cells binary"), "near-cells")
+    both = pairs
+    for end in ("a", "b"):
+        both = both.join(found.select(*(F.col(c).alias(name) for c, name in (("id", end), ("weight", f"weight_{end}"), ("cells", f"cells_{end}")))), end)
+    return stored(both.mapInArrow(compare, f"a {kind}, b {kind}").distinct(), "near-close")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, *, exact: bool = True) -> DataFrame:
     """doc_id, class_id for each row of ``docs``: the smallest id of the documents it is linked with.
 
@@ -341,7 +401,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, *, exact: b
     bands = texts.select("rep", "bands")
     keyed = stored(bands.select("rep", F.explode("bands").alias("key")), "band-keys")
 
-    classes = bands.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+    # Texts without a link are classes of their own.
+    classes = stored(bands.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0), "classes")
     keyed = stored(_central(keyed), "band-ranks")
     seen = stored(_with_leaders(keyed, classes), "leader-pairs")
     links = verified(seen, docs, weights, similarity)
@@ -353,6 +414,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, *, exact: b
     else:
         members = stored(_open(keyed, classes).select("rep", "central").distinct(), "open")
         rare = stored(_rare_shingles(members, docs, weights, similarity), "rare-shingles")
+        rare = stored(_mixed(rare, classes), "mixed-rare")
     links, classes = _every_pair(docs, weights, similarity, rare, seen, links, classes)
 
     same = stored(_within(texts, contents), "same-id")
@@ -377,7 +439,6 @@ def _every_pair(docs, weights, similarity, rare, seen, links, classes) -> tuple[
     if rare.isEmpty():
         return links, classes
     for pairs_of in (_with_leaders, _all_pairs):
-        rare = stored(_mixed(rare, classes), "mixed-rare")
         new = stored(pairs_of(rare, classes, similarity).join(seen, ["a", "b"], "left_anti"), "rare-pairs")
         if new.isEmpty():
             continue
@@ -439,10 +500,14 @@ def _all_pairs(keyed: DataFrame, classes: DataFrame, similarity: float) -> DataF
     The rows of a shingle's largest class do not meet each other.
     """
     named = _named(keyed, classes)
-    sizes = named.groupBy("key", "of").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("of", F.struct("n", "of")).alias("largest"))
+    early = F.col("left") * (1 + similarity) >= 2 * F.col("weight") * (similarity - 1e-6)
+    sizes = named.groupBy("key", "of").agg(F.count("*").alias("n"), F.max(early).alias("early"))
+    largest = sizes.groupBy("key").agg(
+        F.max_by("of", F.struct("n", "of")).alias("largest"), F.max("early").alias("early"), F.count("*").alias("classes")
+    )
+    largest = largest.filter(F.col("early") & (F.col("classes") > 1)).select("key", "largest")
     rows = named.join(largest, "key").withColumn("side", (F.col("of") == F.col("largest")).cast("int"))
-    early = rows.filter(F.col("left") * (1 + similarity) >= 2 * F.col("weight") * (similarity - 1e-6))
+    early = rows.filter(early)
     left = early.select("key", "side", *(F.col(c).alias(f"{c}_a") for c in ("rep", "of", "weight", "left")))
     meets = F.explode(F.when(F.col("side") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
     right = rows.select("key", meets.alias("side"), *(F.col(c).alias(f"{c}_b") for c in ("rep", "of", "weight", "left")))
@@ -458,7 +523,8 @@ def _mixed(keyed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _named(keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    named = keyed.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    side = F.broadcast(classes) if small_enough(classes, 60) else classes
+    named = keyed.join(side.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select(*keyed.columns, F.coalesce("component", "rep").alias("of"))
 
 
@@ -476,7 +542,7 @@ def _rare_shingles(reps: DataFrame, docs: DataFrame, weights, similarity: float)
                     continue
                 weight, rarest, left = _rarest(*shingler.counted(words), weights.value, similarity)
                 at.append(np.full(len(left), i))
-                totals.append(np.full(len(left), weight))
+                totals.append(np.full(len(left), weight, np.float32))
                 rests.append(left)
                 keys.append(rarest)
             if keys:
@@ -488,13 +554,15 @@ def _rare_shingles(reps: DataFrame, docs: DataFrame, weights, similarity: float)
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(cut, f"rep {kind}, central long, weight double, left double, key long")
+    return texts.mapInArrow(cut, f"rep {kind}, central long, weight float, left float, key long")
 
 
 def _rare_of_all(contents: DataFrame, texts: DataFrame, central: DataFrame, classes: DataFrame) -> DataFrame:
-    """What ``_rare_shingles`` gives for all texts, from their signatures; only shingles that several classes have.
+    """What ``_rare_shingles`` gives for all texts, from their signatures; only shingles that several classes have, and few others.
 
-    Nearly all shingles are in one text only, so that few rows are left to be joined.
+    Nearly all shingles are in one text only, so that few rows are left to be joined. Those in several classes are told to all
+    tasks as a table of bits of limited size, so that no text's other shingles are shuffled again; a bit that is set by another
+    shingle costs a row and no pair.
     """
     copies = stored(contents.select("doc_id", "content").join(texts.select("content", "rep"), "content").filter("doc_id <> rep"), "copies")
     other = F.broadcast(copies) if small_enough(copies, 60) else copies
@@ -506,11 +574,41 @@ def _rare_of_all(contents: DataFrame, texts: DataFrame, central: DataFrame, clas
     of = own.select("rep", "keys").join(named, "rep", "left").select(F.coalesce("component", "rep").alias("of"), F.explode("keys").alias("key"))
     several = of.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high")
     several = stored(several.select("key"), "mixed-keys")
-    few = F.broadcast(several) if small_enough(several, 30) else several
-    rows = own.select("rep", "weight", F.explode(F.arrays_zip("keys", "lefts")).alias("at"))
-    rows = rows.select("rep", "weight", F.col("at.lefts").alias("left"), F.col("at.keys").alias("key")).join(few, "key")
-    rows = rows.join(central, "rep", "left").select("rep", F.coalesce("central", F.lit(0)).alias("central"), "weight", "left", "key")
-    return stored(rows, "rare-shingles")
+    shift, table = _bits(several)
+    table = own.sparkSession.sparkContext.broadcast(table)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            keys, lefts = (batch.column(name).flatten() for name in ("keys", "lefts"))
+            place = keys.to_numpy().view(np.uint64) >> np.uint64(shift)
+            keep = (table.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            row = np.repeat(np.arange(batch.num_rows), batch.column("keys").value_lengths().to_numpy())[keep]
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(ends, column.filter(pa.array(keep))) for column in (keys, lefts))
+            found = pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("weight"), *lists], ["rep", "weight", "keys", "lefts"])
+            yield found.filter(pa.array(np.diff(ends.to_numpy()) > 0))
+
+    kind = contents.schema["doc_id"].dataType.simpleString()
+    rows = own.select("rep", "weight", "keys", "lefts").mapInArrow(cut, f"rep {kind}, weight float, keys array<long>, lefts array<float>")
+    rows = rows.join(central, "rep", "left").select(
+        "rep", F.coalesce("central", F.lit(0)).alias("central"), "weight", F.explode(F.arrays_zip("keys", "lefts")).alias("at")
+    )
+    return stored(rows.select("rep", "central", "weight", F.col("at.lefts").alias("left"), F.col("at.keys").alias("key")), "rare-shingles")
+
+
+def _bits(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """By how much to shift a key, and a table of bits: that of a key is set, and few others; at most ``MIXED_BITS`` of any number of keys.
+
+    Places are the first bits of keys: rare shingles are much alike in the last ones, which are their bucket's.
+    """
+    bits = min(MIXED_BITS, max(PAGE_BITS, 1 << (KEY_BITS * keys.count()).bit_length()))
+    shift = 64 - (bits.bit_length() - 1)
+    place = F.shiftrightunsigned("key", shift)
+    pages = keys.groupBy(F.floor(place / PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(place % PAGE_BITS).alias("bits")).toArrow()
+    table = np.zeros((bits // PAGE_BITS, PAGE_BITS // 8), np.uint8)
+    for page, found in zip(pages.column("page").to_pylist(), pages.column("bits").to_pylist(), strict=True):
+        table[page] = np.frombuffer(found, np.uint8)
+    return shift, table.ravel()
 
 
 def _within(exact: DataFrame, contents: DataFrame) -> DataFrame:
