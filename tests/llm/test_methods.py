@@ -563,6 +563,18 @@ def test_texts_are_opened_only_for_pairs_that_cells_leave(documents, monkeypatch
     assert 10 <= sum(opened) <= 20
 
 
+def test_pipeline_stores_only_texts_that_cells_leave(spark, documents, monkeypatch):
+    """What near-duplicate removal stores stays on disk in the stages after it."""
+    opened, stored = [], nd.stored
+    monkeypatch.setattr(nd, "stored", lambda rows, purpose: (out := stored(rows, purpose), purpose == "near-texts" and opened.append(out.count()))[0])
+    rng = random.Random(32)
+    family = _half_alike(rng, 100, 20)
+    texts = [" ".join(t) for t in [*family, *(_edited(rng, family[k], 2) for k in range(4))]]
+    kept = near_duplicate_removal(spark, documents(texts), "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(_linked(texts).values())) == list(range(100))
+    assert 8 <= sum(opened) <= 16
+
+
 def test_rare_shingles_of_all_texts_are_shuffled_once(spark, documents, monkeypatch):
     """If no table may be broadcast, and if the table of bits is full, too."""
     plans, stored, before = [], nd.stored, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
